@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import BLANKS, LINE_ENDS, fold, strip, unix_newlines
+from corpusloom.functions.text import BLANKS, LINE_ENDS, fold, let, strip, unix_newlines
 
 # Layer names, size limits and the public size limit of a corpus file.
 LAYERS = ("shared", "project", "candidate")
@@ -27,24 +27,28 @@ def first_line(value: Column) -> Column:
 
 def title_of(value: Column) -> Column:
     """First level-one heading, else the first nonblank line, else ``untitled``."""
-    raw = unix_newlines(value)
-    plain = first_line(raw)
-    return F.when(raw.rlike(HAS_HEADING), strip(F.regexp_extract(raw, JAVA_FIRST_HEADING, 2))).otherwise(
-        F.when(plain == "", F.lit("untitled")).otherwise(plain)
-    )
+
+    def title(raw: Column) -> Column:
+        return F.when(raw.rlike(HAS_HEADING), strip(F.regexp_extract(raw, JAVA_FIRST_HEADING, 2))).otherwise(
+            F.coalesce(F.nullif(first_line(raw), F.lit("")), F.lit("untitled"))
+        )
+
+    return let(unix_newlines(value), title)
+
+
+def _without_heading(raw: Column, otherwise: Column) -> Column:
+    return F.when(raw.rlike(HAS_HEADING), strip(F.regexp_replace(raw, JAVA_FIRST_HEADING, "$1"))).otherwise(otherwise)
 
 
 def body_of(value: Column) -> Column:
     """The text without its title heading; a note without one keeps every line."""
-    raw = unix_newlines(value)
-    return F.when(raw.rlike(HAS_HEADING), strip(F.regexp_replace(raw, JAVA_FIRST_HEADING, "$1"))).otherwise(strip(raw))
+    return let(unix_newlines(value), lambda raw: _without_heading(raw, strip(raw)))
 
 
 def release_body_of(value: Column) -> Column:
     """Body by the stricter release gate: without a heading the first line is not body."""
-    raw = unix_newlines(value)
-    rest = F.when(F.instr(raw, "\n") == 0, F.lit("")).otherwise(strip(F.regexp_replace(raw, r"\A[^\n]*\n", "")))
-    return F.when(raw.rlike(HAS_HEADING), strip(F.regexp_replace(raw, JAVA_FIRST_HEADING, "$1"))).otherwise(rest)
+    rest = lambda raw: F.when(F.instr(raw, "\n") > 0, strip(F.regexp_replace(raw, r"\A[^\n]*\n", ""))).otherwise(F.lit(""))
+    return let(unix_newlines(value), lambda raw: _without_heading(raw, rest(raw)))
 
 
 def render(title: Column, body: Column) -> Column:

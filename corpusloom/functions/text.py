@@ -83,11 +83,14 @@ def content_hash(value: Column) -> Column:
 
 def fold(value: Column) -> Column:
     """Case folding as far as it can change tokens or caseless comparisons."""
-    lowered = F.lower(value)
-    full = lowered
-    for char, text in FOLDS.items():
-        full = F.replace(full, F.lit(char), F.lit(text))
-    return F.when(lowered.rlike("[" + "".join(FOLDS) + "]"), full).otherwise(lowered)
+
+    def folded(lowered: Column) -> Column:
+        full = lowered
+        for char, text in FOLDS.items():
+            full = F.replace(full, F.lit(char), F.lit(text))
+        return F.when(lowered.rlike("[" + "".join(FOLDS) + "]"), full).otherwise(lowered)
+
+    return let(F.lower(value), folded)
 
 
 def _pairs(word: Column) -> Column:
@@ -137,7 +140,7 @@ def term_counts(words: Column) -> Column:
             ),
         )
 
-    return let(F.array_sort(words), runs)
+    return let(F.sort_array(words), runs)
 
 
 def merge_term_counts(weighted: list[tuple[Column, float]]) -> Column:
@@ -169,15 +172,16 @@ def merge_term_counts(weighted: list[tuple[Column, float]]) -> Column:
             ),
         )
 
-    return let(F.array_sort(rows), runs)
+    return let(F.sort_array(rows), runs)
 
 
 def lines(value: Column) -> Column:
     """Lines of a text with normalised newlines; a final line end adds no line."""
-    text = unix_newlines(value)
-    split = F.split(text, "[" + LINE_ENDS.replace("\r", "") + "]", -1)
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        let(split, lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts))
+    parts = F.split(unix_newlines(value), "[" + LINE_ENDS.replace("\r", "") + "]", -1)
+    # A text that ends in a line end (or is empty) splits off one empty last part.
+    return let(
+        parts,
+        lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p),
     )
 
 

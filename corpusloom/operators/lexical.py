@@ -17,14 +17,16 @@ FIELD_WEIGHTS = {"title": 2.0, "body": 1.0, "aliases": 0.5}
 def query_terms(queries: DataFrame, limit: int | None = MAX_QUERY_TERMS) -> DataFrame:
     """queries(query_id, text) -> (query_id, term): distinct terms, the first ``limit``."""
     distinct = F.array_distinct(tokens(F.col("text")))
-    return queries.select("query_id", F.explode(F.slice(distinct, 1, limit) if limit else distinct).alias("term"))
+    kept = F.slice(distinct, 1, limit) if limit else distinct
+    return queries.select("query_id", F.explode_outer(kept).alias("term")).where("term is not null")
 
 
 def note_terms(notes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """One row per note: uri, layer, doc_len, terms array<struct<term, tf>>.
+    """One row per note: uri, layer, terms array<struct<term, tf, doc_len>>.
 
     Counting happens inside the row, so no shuffle and no skew: a term that occurs in
-    every note is only a short array entry here.
+    every note is only a short array entry here. The length sits in each entry, so that
+    exploding the array carries nothing but the id along.
     """
     has_aliases = "aliases" in notes.columns
     weights = weights or {"title": 1.0, "body": 1.0, "aliases": ALIAS_WEIGHT}
@@ -41,15 +43,15 @@ def note_terms(notes: DataFrame, weights: dict[str, float] | None = None) -> Dat
     else:
         counted = plain
     keep = [c for c in ("uri", "layer") if c in notes.columns]
-    return notes.select(
-        *keep,
-        let(
-            counted,
-            lambda terms: F.struct(
-                F.aggregate(terms, F.lit(0.0), lambda total, t: total + t["tf"]).alias("doc_len"), terms.alias("terms")
-            ),
-        ).alias("counted"),
-    ).select(*keep, "counted.doc_len", "counted.terms")
+
+    def with_length(terms):
+        total = F.aggregate(terms, F.lit(0.0), lambda n, t: n + t["tf"])
+        return let(
+            total,
+            lambda n: F.transform(terms, lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), n.alias("doc_len"))),
+        )
+
+    return notes.select(*keep, let(counted, with_length).alias("terms"))
 
 
 def note_lengths(notes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -72,8 +74,10 @@ def corpus_stats(lengths: DataFrame) -> DataFrame:
 
 
 def postings(terms: DataFrame) -> DataFrame:
-    keep = [c for c in ("uri", "layer", "doc_len") if c in terms.columns]
-    return terms.select(*keep, F.inline("terms"))
+    keep = [c for c in ("uri", "layer") if c in terms.columns]
+    # The outer form: a plain inline() makes Spark test size(terms) > 0 below the scan,
+    # which would tokenise every note twice.
+    return terms.select(*keep, F.inline_outer("terms")).where("term is not null")
 
 
 def term_frequencies(posts: DataFrame) -> DataFrame:
@@ -97,12 +101,16 @@ def bm25(terms_by_query: DataFrame, posts: DataFrame, stats: DataFrame, frequenc
     facts = stats.select(F.struct("n_notes", "avg_len")).scalar()
     idf = F.log(1 + (F.col("facts.n_notes") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("doc_len") / F.col("facts.avg_len"))
-    weighted = terms_by_query.join(frequencies, "term")
-    return (
-        matched.join(weighted, "term")
+    # A posting weighs the same for every query, so weigh first and fan out after.
+    weighed = (
+        matched.join(frequencies, "term")
         .withColumn("facts", facts)
+        .select("uri", "term", (idf * F.col("tf") * 2.2 / norm).alias("weight"))
+    )
+    return (
+        weighed.join(terms_by_query, "term")
         .groupBy("query_id", "uri")
-        .agg(F.sum(idf * F.col("tf") * 2.2 / norm).alias("score"))
+        .agg(F.sum("weight").alias("score"))
         .where("score > 0")
     )
 

@@ -40,13 +40,17 @@ def best_per_uri(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query_id", "uri").agg(F.max("score").alias("score"))
 
 
-def fuse(vector: DataFrame, lexical: DataFrame) -> DataFrame:
+def fuse(vector: DataFrame | None, lexical: DataFrame) -> DataFrame:
     """Fuse two ranked routes(query_id, uri, rank, score) into one scored list.
 
     Each route votes 1/(60+rank). The stronger vote counts in full; agreement adds the
     weaker vote scaled by the lexical score relative to the query's best finite positive
-    one. Vector score units are never used.
+    one. Vector score units are never used. Without a vector route the votes are the
+    lexical ones.
     """
+    if vector is None:
+        vote = (F.lit(1.0) / (RANK_CONSTANT + F.col("rank"))).alias("score")
+        return lexical.select("query_id", "uri", vote, F.array(F.lit("lexical")).alias("methods"))
     usable = F.when((F.col("score") > 0) & ~F.isnan("score") & (F.col("score") != float("inf")), F.col("score"))
     left = vector.select("query_id", "uri", (F.lit(1.0) / (RANK_CONSTANT + F.col("rank"))).alias("vector_vote"))
     right = lexical.select(

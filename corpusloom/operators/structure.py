@@ -34,8 +34,12 @@ PLAIN_LINK = rf"(?<!!)\[[^\]\n]*\]\(<?([^{BLANKS}<>]+)>?(?:[{BLANKS}]+\"[^\"]*\"
 
 def line_table(notes: DataFrame) -> DataFrame:
     """(uri, line, text), lines counted from 1."""
-    return notes.select("uri", F.posexplode(lines(F.col("raw"))).alias("at", "text")).select(
-        "uri", (F.col("at") + 1).alias("line"), "text"
+    # Outer form, here and below: a plain explode adds a size() > 0 filter that would
+    # evaluate the array twice.
+    return (
+        notes.select("uri", F.posexplode_outer(lines(F.col("raw"))).alias("at", "text"))
+        .where("text is not null")
+        .select("uri", (F.col("at") + 1).alias("line"), "text")
     )
 
 
@@ -149,17 +153,16 @@ def conditions(notes: DataFrame, structure: DataFrame | None = None) -> DataFram
     return written.unionByName(recorded)
 
 
-@F.pandas_udf("array<boolean>")
-def _fenced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _fenced(markers: Column) -> Column:
     """Which lines belong to a fence, given each line's fence marker or ''.
 
     A fence closes on the same character at least as long as its opening, which needs
     the opening length: sequential, so a small per-note loop over short markers.
     """
 
-    def one(markers):
+    def one(row):
         flags, opened = [], ""
-        for marker in markers:
+        for marker in row:
             flags.append(bool(marker) or bool(opened))
             if marker:
                 if not opened:
@@ -168,8 +171,12 @@ def _fenced(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
                     opened = ""
         return flags
 
-    for batch in batches:
-        yield batch.map(one, na_action="ignore")
+    @F.pandas_udf("array<boolean>")
+    def flag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(one, na_action="ignore")
+
+    return flag(markers)
 
 
 def unfenced_lines(notes: DataFrame) -> DataFrame:
@@ -177,11 +184,12 @@ def unfenced_lines(notes: DataFrame) -> DataFrame:
     base = notes.select("uri", lines(F.col("raw")).alias("texts"))
     markers = F.transform("texts", lambda t: F.regexp_extract(t, FENCE, 1))
     flagged = base.withColumn("flags", _fenced(F.when(F.exists(markers, lambda m: m != ""), markers)))
-    return (
-        flagged.select("uri", "flags", F.posexplode("texts").alias("at", "text"))
-        .where(~F.coalesce(F.get("flags", F.col("at")), F.lit(False)))
-        .select("uri", (F.col("at") + 1).alias("line"), "text")
+    # Each exploded line brings its own flag; nothing note-sized is carried per line.
+    marked = F.transform(
+        "texts",
+        lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), F.coalesce(F.get("flags", i), F.lit(False)).alias("fenced")),
     )
+    return flagged.select("uri", F.inline_outer(marked)).where(~F.col("fenced")).drop("fenced")
 
 
 def links(notes: DataFrame) -> DataFrame:
@@ -204,7 +212,7 @@ def links(notes: DataFrame) -> DataFrame:
     prose = rows.where(~is_definition & F.col("text").rlike(r"[\[<]"))
 
     def matches(pattern: str) -> Column:
-        return F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+        return F.explode_outer(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
 
     def either(pattern: str, first: int, second: int) -> Column:
         one = F.regexp_extract("found", pattern, first)
@@ -220,7 +228,7 @@ def links(notes: DataFrame) -> DataFrame:
         "uri", "line", F.regexp_extract("found", AUTOLINK, 1).alias("target")
     )
     referenced = named.join(defined, ["uri", "label"]).select("uri", "line", "target")
-    return inline.where("target <> ''").unionByName(referenced).unionByName(automatic)
+    return inline.unionByName(referenced).unionByName(automatic).where("target <> ''")
 
 
 def plain_links(body: Column) -> Column:
@@ -233,5 +241,6 @@ def code_spans(notes: DataFrame) -> DataFrame:
     return (
         line_table(notes)
         .where(F.contains("text", F.lit("`")))
-        .select("uri", "line", F.explode(F.regexp_extract_all("text", F.lit(CODE_SPAN), F.lit(1))).alias("mention"))
+        .select("uri", "line", F.explode_outer(F.regexp_extract_all("text", F.lit(CODE_SPAN), F.lit(1))).alias("mention"))
+        .where("mention is not null")
     )
