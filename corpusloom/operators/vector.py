@@ -33,12 +33,12 @@ def vector_topk(
         F.col("uri"),
         "vector",
         F.pmod(F.xxhash64("uri"), F.lit(rows)).alias("row"),
-        F.explode(F.sequence(F.lit(0), F.lit(cols - 1))).cast("long").alias("col"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cols - 1).cast("long"))).alias("col"),
     )
     right = queries.select(
         F.col("query_id"),
         "vector",
-        F.explode(F.sequence(F.lit(0), F.lit(rows - 1))).cast("long").alias("row"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))).alias("row"),
         F.pmod(F.xxhash64("query_id"), F.lit(cols)).alias("col"),
     )
     query_type = dict(queries.dtypes)["query_id"]
