@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.markdown import normal_url
 from corpusloom.operators.health import normal_path
 from corpusloom.operators.structure import code_spans, links
+from corpusloom.session import materialize
 
 WEB = r"(?i)^https?:"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
@@ -59,8 +60,10 @@ def link_targets(notes: DataFrame, found: DataFrame, code_files: DataFrame | Non
             local.alias("local"),
         )
         .distinct()
-        .withColumn("link_id", F.xxhash64("uri", "line", "target", "field"))
+        .withColumn("link_id", F.sha2(F.concat_ws("\0", "uri", F.coalesce("line", F.lit(0)), "target", F.coalesce("field", F.lit(""))), 256))
     )
+    # Links are found once; five resolution stages and the final join read them.
+    asked = materialize(asked, "links")
     empty = F.lit(None).cast("string")
     by_uri = notes.select(F.col("uri").alias("target"), F.col("uri").alias("hit"))
     sources = notes.select(F.col("uri").alias("hit"), F.explode(F.map_values("source")).alias("value")).where(F.col("value").rlike(WEB))
@@ -87,6 +90,7 @@ def link_targets(notes: DataFrame, found: DataFrame, code_files: DataFrame | Non
     for rows, priority, rec in stages:
         part = rows.select("link_id", "hit", F.lit(priority).alias("priority"), rec.alias("record"))
         hits = part if hits is None else hits.unionByName(part)
+    hits = materialize(hits, "link-hits")
     best = hits.groupBy("link_id").agg(F.min("priority").alias("priority"))
     # A remote code file wins over notes that share its address.
     best = best.join(hits.where("priority = 2").select("link_id").distinct().withColumn("pinned", F.lit(True)), "link_id", "left").select(

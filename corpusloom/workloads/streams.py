@@ -1 +1,78 @@
-QUERIES = {}
+"""Streaming queries run to the end of their input, compared with their batch meaning."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from corpusloom.session import shared_folder
+from corpusloom.sources.notes import notes_from_texts
+from corpusloom.streaming import capture
+from corpusloom.streaming.catalog import catalog_stream
+from corpusloom.plans import catalog
+from corpusloom.workloads import sql as q
+from corpusloom.workloads.tables import table
+from corpusloom.workloads.text import _SUMMARY
+
+
+def _stream(spark, folder, name):
+    path = f"{folder}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+
+
+def _place(spark, name):
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def captured_summaries(spark, folder):
+    """Assistant turns delivered as hook events; one note per content, first delivery kept."""
+    turns = _stream(spark, folder, "conversations").where("role = 'assistant'")
+    payload = F.to_json(F.struct(F.lit("Stop").alias("hook_event_name"), F.col("text").alias("last_assistant_message"), F.col("conv_id").cast("string").alias("session_id")))
+    events = turns.select(F.lit("codex").alias("client"), payload.alias("payload"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("received"))
+    target = _place(spark, "captured")
+    capture.capture_stream(capture.final_messages(events), target, _place(spark, "progress"))
+    return spark.read.parquet(target).select("slug", "title", "received", F.element_at("source", "session_id").alias("session_id"))
+
+
+CAPTURED_SUMMARIES = f"""WITH said AS (SELECT conv_id, conv_id * 100000 + turn AS received, text FROM conversations WHERE role = 'assistant'), {_SUMMARY}
+SELECT slug, arg_min(title, received) AS title, min(received) AS received, CAST(arg_min(conv_id, received) AS VARCHAR) AS session_id FROM slugged GROUP BY slug"""
+
+
+def latest_bodies(spark, folder):
+    """Turns as captures titled by conversation and role: the latest body stays, and so does
+    the last status that was supplied."""
+    turns = _stream(spark, folder, "conversations")
+    rows = turns.select(
+        F.concat(F.col("role"), F.lit(" "), "conv_id").alias("title"), F.col("text").alias("body"), F.col("turn").alias("received"),
+        F.when(F.col("turn") < 2, F.concat(F.lit("s"), "turn")).alias("status"),
+    )
+    root = _place(spark, "titles")
+    capture.update_stream(rows, root, _place(spark, "progress"), keep=("status",))
+    return spark.read.parquet(f"{root}/version=0").select("title", F.sha2("body", 256).alias("body_sha256"), "received", "status")
+
+
+LATEST_BODIES = """SELECT role || ' ' || conv_id AS title, sha256(arg_max(text, turn)) AS body_sha256, max(turn) AS received,
+  arg_max(CASE WHEN turn < 2 THEN 's' || turn END, CASE WHEN turn < 2 THEN turn END) AS status FROM conversations GROUP BY role, conv_id"""
+
+
+def streamed_catalog(spark, folder):
+    """Documents arriving as a stream, kept in catalog tables; counts of what is stored."""
+    rows = notes_from_texts(_stream(spark, folder, "documents")).drop("doc_id")
+    shaped = rows.withColumn("modified", F.timestamp_seconds(F.lit(0))).withColumn("stat_key", F.col("length").cast("string")).withColumn("fingerprint", F.col("source_sha256"))
+    root = _place(spark, "catalog")
+    catalog_stream(shaped, root, _place(spark, "progress"))
+    stored = catalog.latest(spark, root)
+    return (
+        stored.table("postings").groupBy("layer").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("words"))
+        .join(stored.table("notes").groupBy("layer").agg(F.count(F.lit(1)).alias("notes")), "layer")
+    )
+
+
+STREAMED_CATALOG = f"""WITH {q.bm25()} SELECT layer, count(*) AS postings, sum(tf) AS words, count(DISTINCT uri) AS notes FROM postings JOIN notes USING (uri) GROUP BY layer"""
+
+QUERIES = {
+    "captured_summaries": (captured_summaries, CAPTURED_SUMMARIES),
+    "latest_bodies": (latest_bodies, LATEST_BODIES),
+    "streamed_catalog": (streamed_catalog, STREAMED_CATALOG),
+}

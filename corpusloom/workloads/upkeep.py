@@ -1 +1,426 @@
-QUERIES = {}
+"""Snapshots, integrity, health, intake and public queue over whole tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from corpusloom.operators import health, intake, lexical, ranking, redact, snapshots
+from corpusloom.plans import catalog, export
+from corpusloom.sources.change_requests import change_request_notes
+from corpusloom.sources.notes import check_identity
+from corpusloom.session import shared_folder
+from corpusloom.workloads import sql as q
+from corpusloom.workloads.tables import benchmark_queries, documents, notes, table
+from corpusloom.workloads.text import _MASKED
+
+# Two snapshots of the documents: es is new after, fr is gone after, de was edited, and
+# the notes of src1 moved to an archive folder.
+BEFORE = "SELECT source || '/doc-' || doc_id AS path, sha256(text) AS sha256 FROM documents WHERE lang <> 'es'"
+AFTER = """SELECT CASE WHEN source = 'src1' THEN 'archive' ELSE source END || '/doc-' || doc_id AS path,
+  sha256(CASE WHEN lang = 'de' THEN text || ' (revised)' ELSE text END) AS sha256 FROM documents WHERE lang <> 'fr'"""
+SNAPSHOTS = f"before AS ({BEFORE}), after AS ({AFTER})"
+DIFF = """changes AS (SELECT coalesce(b.path, a.path) AS path, b.sha256 AS old, a.sha256 AS new,
+  CASE WHEN b.path IS NULL THEN 'added' WHEN a.path IS NULL THEN 'removed' WHEN a.sha256 = b.sha256 THEN 'unchanged' ELSE 'updated' END AS change
+  FROM before b FULL JOIN after a ON a.path = b.path)"""
+
+
+def _snapshots(spark, folder):
+    d = documents(spark, folder)
+    name = F.concat(F.lit("/doc-"), "doc_id")
+    before = d.where("lang <> 'es'").select(F.concat("source", name).alias("path"), F.sha2("text", 256).alias("sha256"))
+    place = F.when(F.col("source") == "src1", F.lit("archive")).otherwise(F.col("source"))
+    text = F.when(F.col("lang") == "de", F.concat("text", F.lit(" (revised)"))).otherwise(F.col("text"))
+    after = d.where("lang <> 'fr'").select(F.concat(place, name).alias("path"), F.sha2(text, 256).alias("sha256"))
+    return before, after
+
+
+def snapshot_diff(spark, folder):
+    before, after = _snapshots(spark, folder)
+    return snapshots.diff(before, after, "path", "sha256").select("path", "change")
+
+
+SNAPSHOT_DIFF = f"WITH {SNAPSHOTS}, {DIFF} SELECT path, change FROM changes"
+
+
+def snapshot_renames(spark, folder):
+    before, after = _snapshots(spark, folder)
+    return snapshots.renames(snapshots.diff(before, after, "path", "sha256"), "path").select("renamed_from", "renamed_to")
+
+
+SNAPSHOT_RENAMES = f"""WITH {SNAPSHOTS}, {DIFF},
+gone AS (SELECT old AS h, min(path) AS path FROM changes WHERE change = 'removed' GROUP BY old HAVING count(*) = 1),
+fresh AS (SELECT new AS h, min(path) AS path FROM changes WHERE change = 'added' GROUP BY new HAVING count(*) = 1)
+SELECT gone.path AS renamed_from, fresh.path AS renamed_to FROM gone JOIN fresh USING (h)"""
+
+
+def _three(spark, folder, edited: bool):
+    before, after = _snapshots(spark, folder)
+    journal = before.select(F.col("path").alias("name"), F.col("sha256").alias("hash"))
+    actual = journal.withColumn("hash", F.when(F.startswith("name", F.lit("src7/")), F.sha2("name", 256)).otherwise(F.col("hash"))) if edited else journal
+    return snapshots.three_way(journal, actual, after.select(F.col("path").alias("name"), F.col("sha256").alias("hash")))
+
+
+def three_way_clean(spark, folder):
+    return _three(spark, folder, False)
+
+
+def three_way_conflict(spark, folder):
+    return _three(spark, folder, True)
+
+
+THREE_WAY_CLEAN = f"""WITH {SNAPSHOTS}, {DIFF} SELECT path AS name, false AS conflict, change <> 'unchanged' AS changed, change = 'removed' AS missing,
+  change <> 'unchanged' AS applied FROM changes"""
+THREE_WAY_CONFLICT = f"""WITH {SNAPSHOTS}, {DIFF} SELECT path AS name, starts_with(path, 'src7/') AND old IS NOT NULL AS conflict,
+  change <> 'unchanged' AS changed, change = 'removed' AS missing, false AS applied FROM changes"""
+
+
+def corpus_digest(spark, folder):
+    before, _ = _snapshots(spark, folder)
+    return snapshots.corpus_digest(before)
+
+
+CORPUS_DIGEST = f"""WITH before AS ({BEFORE}), keyed AS (SELECT *, sha256(path) AS hex FROM before),
+leaves AS (SELECT left(hex, 5) AS node, sha256(string_agg(path || chr(0) || sha256 || chr(10), '' ORDER BY path)) AS digest FROM keyed GROUP BY 1),
+middle AS (SELECT left(node, 2) AS parent, sha256(string_agg(node || chr(0) || digest || chr(10), '' ORDER BY node)) AS digest FROM leaves GROUP BY 1)
+SELECT sha256(string_agg(parent || chr(0) || digest || chr(10), '' ORDER BY parent)) AS digest FROM middle"""
+
+
+def manifest_digests(spark, folder):
+    before, _ = _snapshots(spark, folder)
+    return snapshots.manifest_digest(before.withColumn("source", F.substring_index("path", "/", 1)), "source")
+
+
+MANIFEST_DIGESTS = f"""WITH before AS ({BEFORE}) SELECT split_part(path, '/', 1) AS source,
+  CASE WHEN count(*) <= 1024 THEN sha256(string_agg(path || chr(0) || sha256 || chr(10), '' ORDER BY path)) END AS digest,
+  least(count(*), 1025) AS files FROM before GROUP BY 1"""
+
+
+def missing_rows(spark, folder):
+    """Rows no longer seen, only for sources whose scan was complete."""
+    before, after = _snapshots(spark, folder)
+    recorded = before.withColumn("source", F.substring_index("path", "/", 1))
+    scans = recorded.select("source").distinct().withColumn("complete", F.length("source") == 5)
+    return snapshots.missing_rows(recorded, after, scans, "path", "source").select("source", "path")
+
+
+MISSING_ROWS = f"""WITH {SNAPSHOTS} SELECT split_part(path, '/', 1) AS source, path FROM before
+WHERE length(split_part(path, '/', 1)) = 5 AND path NOT IN (SELECT path FROM after)"""
+
+
+def _refresh(spark, folder):
+    """A listing against a catalog: es is new, fr is not listed any more, de was edited,
+    en notes of src2 were only touched, src3 was remounted elsewhere. The root of the project layer is
+    unreadable and the one of the candidate layer is no longer mounted."""
+    n = notes(spark, folder).select("uri", "root", "path", "layer", "source_sha256", F.get("topics", F.lit(0)).alias("lang"), F.get("topics", F.lit(1)).alias("source"))
+    listing = n.where("lang <> 'fr'").select(
+        "uri", "root",
+        F.when(F.col("source") == "src3", F.concat(F.lit("/new"), "path")).otherwise(F.col("path")).alias("path"),
+        F.when((F.col("lang") == "de") | (F.col("source") == "src2"), F.lit("later")).otherwise(F.lit("stat")).alias("stat_key"),
+        F.when(F.col("lang") == "de", F.concat(F.lit("x"), "source_sha256")).otherwise(F.col("source_sha256")).alias("fingerprint"),
+    )
+    stored = n.where("lang <> 'es'").select("uri", "root", "path", F.lit("stat").alias("stat_key"), F.col("source_sha256").alias("fingerprint"))
+    roots = n.select("root", "layer").distinct()
+    return snapshots.refresh_plan(listing, stored, roots.where("layer <> 'project'"), roots.where("layer <> 'candidate'"))
+
+
+def refresh_plan(spark, folder):
+    return _refresh(spark, folder)
+
+
+_ACTIONS = f"""{q.NOTES}, plan AS (SELECT uri, CASE
+  WHEN lang = 'fr' THEN CASE layer WHEN 'candidate' THEN 'delete' WHEN 'project' THEN 'carry' ELSE 'delete' END
+  WHEN lang = 'es' THEN 'insert' WHEN source = 'src3' OR lang = 'de' THEN 'update' WHEN source = 'src2' THEN 'touch' ELSE 'unchanged' END AS action FROM notes)"""
+REFRESH_PLAN = f"WITH {_ACTIONS} SELECT uri, action FROM plan"
+
+
+def refresh_report(spark, folder):
+    bad = documents(spark, folder).where("text is null")
+    return snapshots.refresh_report(_refresh(spark, folder), bad)
+
+
+REFRESH_REPORT = f"""WITH {_ACTIONS} SELECT count(*) FILTER (action IN ('insert', 'update', 'touch', 'unchanged')) AS scanned,
+  count(*) FILTER (action IN ('insert', 'update')) AS parsed, count(*) FILTER (action IN ('touch', 'unchanged')) AS unchanged,
+  count(*) FILTER (action = 'delete') AS deleted, CAST(0 AS BIGINT) AS errors, 'ready' AS status FROM plan"""
+
+
+def delta_modes(spark, folder):
+    """Consumers (one per event user) and the snapshot each applied last, against the latest refresh."""
+    users = table(spark, folder, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    consumer = users.select(
+        F.col("user_id").alias("consumer"), F.concat(F.lit("e:"), F.col("n") % 4).alias("applied_snapshot"), F.when(F.col("n") > 5, F.lit("m1")).otherwise(F.lit("m2")).alias("model")
+    )
+    latest = users.agg(F.lit("e:1").alias("previous_snapshot"), F.lit("e:2").alias("snapshot"), F.lit("ready").alias("status"), F.lit("m1").alias("model"))
+    return snapshots.delta_mode(consumer, latest)
+
+
+DELTA_MODES = """SELECT user_id AS consumer, CASE WHEN n % 4 = 1 AND n > 5 THEN 'delta' ELSE 'full' END AS mode FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1)"""
+
+
+def version_retention(spark, folder):
+    """Users as versions of their event type: keep the active one and the newest three."""
+    e = table(spark, folder, "events").groupBy("event_type", "user_id").agg(F.max("event_id").cast("double").alias("activated_at"), F.max("value").alias("top"))
+    active = e.groupBy("event_type").agg(F.max_by("user_id", "activated_at").alias("active_user"))
+    versions = e.join(active, "event_type").select(
+        F.col("event_type").alias("collection"), F.concat(F.lit("v"), F.left(F.sha2(F.col("user_id").cast("string"), 256), F.lit(12))).alias("version_id"),
+        "activated_at", (F.col("user_id") == F.col("active_user")).alias("active"),
+    )
+    return snapshots.retention(versions, 3)
+
+
+VERSION_RETENTION = """WITH v AS (SELECT event_type AS collection, 'v' || left(sha256(CAST(user_id AS VARCHAR)), 12) AS version_id, max(event_id) AS at_ FROM events GROUP BY event_type, user_id)
+SELECT collection, version_id, CASE WHEN row_number() OVER (PARTITION BY collection ORDER BY at_ DESC) <= 4 THEN 'keep' ELSE 'prune' END AS decision FROM v"""
+
+
+def replaced_collection(spark, folder):
+    """Imported shared notes of half the languages, replaced by a complete new collection."""
+    n = notes(spark, folder).select("uri", "layer", F.when(F.col("layer") == "shared", F.lit("")).otherwise(F.col("root")).alias("root"), F.get("topics", F.lit(0)).alias("lang"), "source_sha256")
+    supplied = n.where("lang in ('en', 'de')").withColumn("source_sha256", F.sha2("source_sha256", 256))
+    return snapshots.replace_collection(n.where("lang <> 'en'"), supplied).select("uri", "layer", "root", "source_sha256")
+
+
+REPLACED_COLLECTION = f"""WITH {q.NOTES} SELECT uri, layer, '/corpus/' || layer AS root, source_sha256 FROM notes WHERE layer <> 'shared' AND lang <> 'en'
+UNION ALL SELECT uri, layer, '', sha256(source_sha256) FROM notes WHERE layer = 'shared' AND lang IN ('en', 'de')"""
+
+
+def catalog_export(spark, folder):
+    return catalog.export_rows(notes(spark, folder), ["shared", "candidate"]).select(
+        "uri", "relative_path", "title", "source_sha256", F.sha2("raw_text", 256).alias("raw_sha256"), F.array_join("retrieval.topics", ",").alias("topics")
+    )
+
+
+CATALOG_EXPORT = f"""WITH {q.NOTES} SELECT uri, relative_path, title, source_sha256, sha256(raw) AS raw_sha256, lang || ',' || source AS topics
+FROM notes WHERE layer IN ('shared', 'candidate')"""
+
+
+def catalog_search(spark, folder):
+    """Write a catalog snapshot, then rank the query batch from its stored tables."""
+    stored = catalog.build(notes(spark, folder), f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
+    index = stored.index()
+    scores = lexical.bm25(lexical.query_terms(benchmark_queries(spark, folder)), index.postings, index.stats, index.frequencies)
+    return ranking.top_k(scores, 8).select("query_id", "uri", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+CATALOG_SEARCH = f"WITH {q.bm25()}, {q.ranked('scores', 8)} SELECT query_id, uri, rank, round(score, 6) AS score FROM ranked"
+
+
+def identity_errors(spark, folder):
+    """Notes filed by their text: equal texts claim one uri; short ones name a foreign uri."""
+    n = notes(spark, folder)
+    claimed = F.concat(F.lit("note://resources/project/"), "source_sha256", F.lit(".md"))
+    given = n.select(
+        "path", "raw", claimed.alias("canonical_uri"), F.when(F.length("raw") < 200, F.concat(claimed, F.lit(".old"))).otherwise(claimed).alias("uri")
+    )
+    _, errors = check_identity(given)
+    return errors.select("path", "reason")
+
+
+IDENTITY_ERRORS = f"""WITH {q.NOTES} SELECT path, CASE WHEN length(raw) < 200 THEN 'identity_disagrees_with_mount' ELSE 'two_sources_share_one_uri' END AS reason
+FROM (SELECT *, count(*) OVER (PARTITION BY source_sha256) AS n FROM notes) WHERE length(raw) < 200 OR n > 1"""
+
+
+def duplicate_members(spark, folder):
+    n = notes(spark, folder).withColumn("conditions", F.create_map().cast("map<string,string>"))
+    return health.duplicate_members(n).select("uri", F.col("copies").cast("long").alias("copies"))
+
+
+_DUPLICATES = f"""{q.NOTES}, groups AS (SELECT {q.strip(q.unix('raw'))} AS t, count(DISTINCT path) AS copies FROM notes WHERE body <> '' GROUP BY 1 HAVING count(DISTINCT path) > 1),
+members AS (SELECT uri, copies FROM notes JOIN groups ON t = {q.strip(q.unix('raw'))})"""
+DUPLICATE_MEMBERS = f"WITH {_DUPLICATES} SELECT uri, copies FROM members"
+
+NOW = 1_704_067_200.0 + 400 * 86_400
+
+
+def _dated_notes(spark, folder):
+    n = notes(spark, folder).withColumn("conditions", F.create_map().cast("map<string,string>"))
+    modified = F.timestamp_seconds(F.lit(1_704_067_200) + F.length("raw") * 3600)
+    stamp = F.when(F.get("topics", F.lit(0)) == "en", F.lit("2024-06-01T00:00:00Z")).when(F.get("topics", F.lit(0)) == "de", F.lit("2024-06-01T00:00:00"))
+    return n.withColumn("modified", modified).withColumn("captured_at", stamp)
+
+
+def health_report(spark, folder):
+    n = _dated_notes(spark, folder)
+    return health.health_summary(health.health_findings(n, NOW, 180), n)
+
+
+HEALTH_REPORT = f"""WITH {_DUPLICATES}, ages AS (SELECT CASE WHEN lang = 'en' THEN 1717200000 ELSE 1704067200 + length(raw) * 3600 END AS recorded FROM notes),
+f AS (SELECT 'exact_duplicate' AS kind FROM members UNION ALL SELECT 'age_review' FROM ages WHERE recorded + 180 * 86400 <= {NOW})
+SELECT kind, 'review_hint' AS status, count(*) AS findings, (SELECT count(*) FROM notes) AS documents, 'ok' AS overall FROM f GROUP BY kind"""
+
+
+def age_findings(spark, folder):
+    # ts carries no zone; written with a Z it means the same instant in every session.
+    utc = lambda ts, form: F.concat(F.date_format(ts, form), F.lit("Z"))
+    e = table(spark, folder, "events").select(
+        F.col("event_id").alias("uri"),
+        F.to_timestamp(utc(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).alias("modified"),
+        F.when(F.col("event_type") == "view", utc(F.col("ts") - F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss")).alias("captured_at"),
+    )
+    due = health.age_findings(health.recorded_age(e), 1_704_067_200.0 + 187 * 86_400, 180)
+    return due.groupBy("basis").agg(F.count(F.lit(1)).alias("n"))
+
+
+AGE_FINDINGS = """SELECT basis, count(*) AS n FROM (SELECT CASE event_type WHEN 'view' THEN 'captured_at' ELSE 'file_modified_at' END AS basis,
+  CASE event_type WHEN 'view' THEN floor(epoch(ts)) - 86400 ELSE epoch(ts) END AS recorded FROM events) WHERE recorded + 180 * 86400 <= 1704067200 + 187 * 86400 GROUP BY basis"""
+
+
+def latest_turns(spark, folder):
+    c = table(spark, folder, "conversations")
+    return c.groupBy("conv_id", "role").agg(F.sha2(F.max_by("text", "turn"), 256).alias("last_sha256"), F.sha2(F.min_by("text", "turn"), 256).alias("first_sha256"))
+
+
+LATEST_TURNS = "SELECT conv_id, role, sha256(arg_max(text, turn)) AS last_sha256, sha256(arg_min(text, turn)) AS first_sha256 FROM conversations GROUP BY conv_id, role"
+
+
+def export_check(spark, folder):
+    """Declared rows against files: de files changed, fr files lost, es files undeclared, src9 outside the includes."""
+    d = documents(spark, folder)
+    path = F.concat("source", F.lit("/doc-"), "doc_id", F.lit(".md"))
+    h = F.sha2("text", 256)
+    row = d.select(path.alias("path"), F.octet_length("text").cast("long").alias("size"), h.alias("sha256"), h.alias("source_sha256"), h.alias("input_sha256"), F.lit(2).cast("long").alias("metadata_size"), F.sha2(F.lit("{}"), 256).alias("metadata_sha256"), "lang", "source")
+    actual = row.where("lang <> 'fr'").withColumn("sha256", F.when(F.col("lang") == "de", F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    includes = [f"src{n}" for n in range(20) if n != 9]
+    return export.verify_export(row.where("lang <> 'es'"), actual, includes)
+
+
+EXPORT_CHECK = """WITH d AS (SELECT source || '/doc-' || doc_id || '.md' AS path, lang, source FROM documents)
+SELECT path, CASE lang WHEN 'es' THEN 'unmanaged_file' WHEN 'fr' THEN 'missing_file' ELSE 'body_changed' END AS rule FROM d WHERE lang IN ('es', 'fr', 'de')
+UNION ALL SELECT path, 'path_outside_includes' FROM d WHERE source = 'src9' AND lang <> 'es'"""
+
+
+def release_check(spark, folder):
+    before, after = _snapshots(spark, folder)
+    return export.verify_release(before, after)
+
+
+RELEASE_CHECK = f"""WITH {SNAPSHOTS}, {DIFF} SELECT path, CASE change WHEN 'removed' THEN 'missing_entry' WHEN 'added' THEN 'undeclared_entry' ELSE 'hash_differs' END AS rule
+FROM changes WHERE change <> 'unchanged'"""
+
+
+def export_manifest(spark, folder):
+    """Public rows of every source folder and the state against an export without English notes."""
+    n = notes(spark, folder)
+    rows = export.public_rows(n, [f"src{i}" for i in range(20)])
+    return rows.select("path", "size", "sha256", "source_sha256", "input_sha256", "blocked")
+
+
+EXPORT_MANIFEST = f"""WITH {q.NOTES}, {_MASKED}, r AS (SELECT uri, '# ' || title || chr(10) || chr(10) || body || chr(10) AS out FROM copies)
+SELECT relative_path AS path, CAST(strlen(out) AS BIGINT) AS size, sha256(out) AS sha256, sha256(out) AS source_sha256, sha256(raw) AS input_sha256, false AS blocked FROM notes JOIN r USING (uri)"""
+
+
+def public_queue(spark, folder):
+    """Copies of all notes against a queue where de is blocked, fr already open, es merged."""
+    n = notes(spark, folder)
+    copies = redact.public_copies(n)
+    queue = copies.join(n.select("uri", F.get("topics", F.lit(0)).alias("lang")), "uri").where("lang <> 'en'").groupBy("digest").agg(
+        F.min(F.when(F.col("lang") == "de", F.lit("blocked_redaction")).when(F.col("lang") == "fr", F.lit("pr_open")).otherwise(F.lit("merged"))).alias("status"),
+        F.min("filename").alias("filename"), F.lit("old").alias("last_error"),
+    )
+    return redact.queue_public_copies(copies, queue).select("digest", "status", "last_error")
+
+
+PUBLIC_QUEUE = f"""WITH {q.NOTES}, {_MASKED}, r AS (SELECT 'sha256:' || sha256('# ' || c.title || chr(10) || chr(10) || c.body || chr(10)) AS digest, lang FROM copies c JOIN notes USING (uri)),
+s AS (SELECT digest, min(CASE lang WHEN 'de' THEN 'blocked_redaction' WHEN 'fr' THEN 'pr_open' WHEN 'es' THEN 'merged' END) AS old FROM r GROUP BY digest)
+SELECT digest, CASE WHEN old IN ('pr_open', 'merged') THEN old ELSE 'pending' END AS status, CASE WHEN old IN ('pr_open', 'merged') THEN 'old' END AS last_error FROM s"""
+
+
+def intake_decisions(spark, folder):
+    """Pages as items: http ones are journaled unchanged, bets were edited by hand, the rest is new."""
+    p = table(spark, folder, "pages").select("page_id", "url", F.sha2("html", 256).alias("h"))
+    items = p.select(F.lit("web").alias("source_id"), F.col("url").alias("item_key"), intake.item_fingerprint(F.col("h"), F.lit("r1"), F.lit("{}")).alias("fingerprint"))
+    items = items.groupBy("source_id", "item_key").agg(F.max("fingerprint").alias("fingerprint"))
+    seen = items.where(F.startswith("item_key", F.lit("http://")))
+    journal = seen.select("source_id", "item_key", "fingerprint", (~F.contains("item_key", F.lit("page=2"))).alias("complete"), F.sha2("item_key", 256).alias("output_sha256"))
+    outputs = seen.select("source_id", "item_key", F.when(F.contains("item_key", F.lit("bets")), F.lit("edited")).otherwise(F.sha2("item_key", 256)).alias("sha256"))
+    return intake.intake_plan(items, journal, outputs).select("item_key", "action")
+
+
+INTAKE_DECISIONS = """SELECT DISTINCT url AS item_key, CASE WHEN NOT starts_with(url, 'http://') THEN 'convert' WHEN contains(url, 'bets') THEN 'preserved'
+  WHEN contains(url, 'page=2') THEN 'convert' ELSE 'unchanged' END AS action FROM pages"""
+
+
+def import_notes(spark, folder):
+    """Documents rendered as import notes, with one span over their lines."""
+    d = documents(spark, folder)
+    items = d.select(
+        F.col("doc_id").alias("item_key"), F.concat("source", F.lit("\n"), "lang").alias("name"), F.concat(F.lit("file:"), "source").alias("location"), F.sha2("text", 256).alias("raw_sha256"),
+        F.when(F.col("lang") == "en", F.lit("r1")).alias("revision"), F.when(F.col("lang") == "de", F.array(F.lit("cut"), F.lit("cut"), F.lit("late"))).alias("warnings"),
+        F.concat("text", F.lit("\n \n")).alias("text"), F.array(F.struct(F.lit(1).alias("line_start"), F.lit(3).alias("line_end"), F.lit("h").alias("sha256"))).alias("spans"),
+    )
+    r = intake.render_import(items)
+    first = F.get("spans", F.lit(0))
+    return r.select("item_key", F.sha2("note", 256).alias("note_sha256"), first["line_start"].cast("long").alias("line_start"), first["line_end"].cast("long").alias("line_end"))
+
+
+IMPORT_NOTES = r"""WITH h AS (SELECT doc_id, text, '# ' || source || ' ' || lang || chr(10) || chr(10) || 'Original source: file:' || source || chr(10) || chr(10) || 'Source SHA256: `' || sha256(text) || '`' || chr(10) || chr(10)
+  || CASE WHEN lang = 'en' THEN 'Source revision: `r1`' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN lang = 'de' THEN '## Extraction scope' || chr(10) || chr(10) || '- cut' || chr(10) || '- late' || chr(10) || chr(10) ELSE '' END AS head FROM documents)
+SELECT doc_id AS item_key, sha256(head || regexp_replace(text, '[ \t\n\x0b\f\r]+\z', '') || chr(10)) AS note_sha256,
+  CAST(1 + length(head) - length(replace(head, chr(10), '')) AS BIGINT) AS line_start, CAST(3 + length(head) - length(replace(head, chr(10), '')) AS BIGINT) AS line_end FROM h"""
+
+
+def change_requests(spark, folder):
+    """Orders as change requests: their lines are the changed files, urgent ones have a comment."""
+    o, li = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    number = F.col("o_orderkey").alias("number")
+    repo = F.lit("acme/orders").alias("repo")
+    requests = o.select(
+        repo, number, F.concat(F.lit("Order "), "o_orderkey").alias("title"), F.col("o_orderstatus").alias("state"), (F.col("o_orderstatus") == "F").alias("merged"),
+        F.lit("").alias("body"), F.lit("base").alias("base_sha"), F.lit("head").alias("head_sha"), F.lit(None).cast("int").alias("changed_files"),
+    )
+    files = li.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"), F.max("l_partkey").alias("part")).select(
+        repo, F.col("l_orderkey").alias("number"), F.col("l_linenumber").alias("position"), F.concat(F.lit("parts/p "), "part", F.lit(".md")).alias("filename"), F.lit(None).cast("string").alias("previous_filename"),
+        F.when(F.col("flag") == "A", F.lit("added")).when(F.col("flag") == "R", F.lit("removed")).otherwise(F.lit("modified")).alias("status"),
+        F.col("l_linenumber").cast("int").alias("additions"), F.lit(0).alias("deletions"), F.when(F.col("flag") == "N", F.lit("+x")).alias("patch"),
+    )
+    comments = o.where("o_orderpriority = '1-URGENT'").select(
+        repo, number, F.lit(1).alias("position"), F.lit("https://c").alias("html_url"), F.lit("now").alias("updated_at"), F.lit(None).cast("string").alias("login"), F.lit("").alias("body")
+    )
+    r = change_request_notes(requests, files, comments, comments.where("number < 0"), max_items=5)
+    return r.select("key", "name", F.sha2("text", 256).alias("text_sha256"), "complete")
+
+
+CHANGE_REQUESTS = r"""WITH f AS (SELECT l_orderkey, l_linenumber AS n, max(l_returnflag) AS flag, max(l_partkey) AS part FROM lineitem GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS pos, '### parts/p ' || part || '.md' || chr(10) || chr(10) || 'Status: ' || CASE flag WHEN 'A' THEN 'added' WHEN 'R' THEN 'removed' ELSE 'modified' END || '; +' || n || ' / -0' || chr(10) || chr(10)
+  || CASE WHEN flag = 'N' THEN 'API patch excerpt (the pinned file is the complete-source reference):' || chr(10) || chr(10) || '````diff' || chr(10) || '+x' || chr(10) || '````' || chr(10) || chr(10) ELSE '' END
+  || CASE WHEN flag <> 'R' THEN 'Pinned head: https://github.com/acme/orders/blob/head/parts/p%20' || part || '.md' || chr(10) ELSE '' END
+  || CASE WHEN flag <> 'A' THEN 'Pinned base: https://github.com/acme/orders/blob/base/parts/p%20' || part || '.md' || chr(10) ELSE '' END AS block FROM f),
+t AS (SELECT l_orderkey, string_agg(block, chr(10) ORDER BY n) FILTER (pos <= 5) AS files, max(pos) AS n FROM b GROUP BY 1)
+SELECT 'acme/orders#' || o_orderkey AS key, 'orders-pr-' || o_orderkey || '.md' AS name, coalesce(n, 0) <= 5 AS complete,
+  sha256('# Order ' || o_orderkey || chr(10) || chr(10) || 'Source: https://github.com/acme/orders/pull/' || o_orderkey || chr(10) || 'State: ' || o_orderstatus || '; merged: ' || CASE WHEN o_orderstatus = 'F' THEN 'True' ELSE 'False' END || chr(10)
+  || 'Base revision: `base`' || chr(10) || 'Head revision: `head`' || chr(10) || chr(10) || '## PR description' || chr(10) || chr(10) || '(No description)' || chr(10) || chr(10) || '## Changed files' || chr(10) || chr(10) || coalesce(files || chr(10), '')
+  || '## Discussion and review' || chr(10) || chr(10)
+  || CASE WHEN o_orderpriority = '1-URGENT' THEN '### https://c' || chr(10) || chr(10) || 'Updated: now; author: unknown' || chr(10) || chr(10) || '(Empty)' || chr(10) || chr(10) ELSE '' END
+  || '## Scope of this snapshot' || chr(10) || chr(10) || 'This records PR claims, discussion and API patch excerpts. It is not execution evidence. Large or binary diffs may be omitted by GitHub; use the pinned source links above.') AS text_sha256
+FROM orders LEFT JOIN t ON o_orderkey = l_orderkey"""
+
+
+QUERIES = {
+    "snapshot_diff": (snapshot_diff, SNAPSHOT_DIFF),
+    "snapshot_renames": (snapshot_renames, SNAPSHOT_RENAMES),
+    "three_way_clean": (three_way_clean, THREE_WAY_CLEAN),
+    "three_way_conflict": (three_way_conflict, THREE_WAY_CONFLICT),
+    "corpus_digest": (corpus_digest, CORPUS_DIGEST),
+    "manifest_digests": (manifest_digests, MANIFEST_DIGESTS),
+    "missing_rows": (missing_rows, MISSING_ROWS),
+    "refresh_plan": (refresh_plan, REFRESH_PLAN),
+    "refresh_report": (refresh_report, REFRESH_REPORT),
+    "delta_modes": (delta_modes, DELTA_MODES),
+    "version_retention": (version_retention, VERSION_RETENTION),
+    "replaced_collection": (replaced_collection, REPLACED_COLLECTION),
+    "catalog_export": (catalog_export, CATALOG_EXPORT),
+    "catalog_search": (catalog_search, CATALOG_SEARCH),
+    "identity_errors": (identity_errors, IDENTITY_ERRORS),
+    "duplicate_members": (duplicate_members, DUPLICATE_MEMBERS),
+    "health_report": (health_report, HEALTH_REPORT),
+    "age_findings": (age_findings, AGE_FINDINGS),
+    "latest_turns": (latest_turns, LATEST_TURNS),
+    "export_check": (export_check, EXPORT_CHECK),
+    "release_check": (release_check, RELEASE_CHECK),
+    "export_manifest": (export_manifest, EXPORT_MANIFEST),
+    "public_queue": (public_queue, PUBLIC_QUEUE),
+    "intake_decisions": (intake_decisions, INTAKE_DECISIONS),
+    "import_notes": (import_notes, IMPORT_NOTES),
+    "change_requests": (change_requests, CHANGE_REQUESTS),
+}
