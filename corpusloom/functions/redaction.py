@@ -32,7 +32,7 @@ class Rule:
 # never values, and hashes, versions and device indices stay readable.
 RULES = (
     Rule("credential-known-format", r"-----BEGIN [A-Z ]*PRIVATE KEY-----|\b(?:gh[pousr]_[A-Za-z0-9]{36,}|AKIA[0-9A-Z]{16}|xox[abprs]-[A-Za-z0-9-]{10,}|glpat-[A-Za-z0-9_-]{20,})"),
-    Rule("credential-url-userinfo", r"\b[a-z][a-z0-9+.-]*://([^\s/@:<>$]+:[^\s/@<>$]+)@", 1),
+    Rule("credential-url-userinfo", r"\b[a-z][a-z0-9+.-]*://([^\s/@:<>$\[\]]+:[^\s/@<>$\[\]]+)@", 1),
     Rule("credential-bearer", r"(?i:\bbearer)[ \t]+([A-Za-z0-9._~+/-]{8,}=*)", 1),
     Rule("credential-assignment", r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passw(?:or)?d|pwd))[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9+/_.-]{8,}=*)", 1),
     Rule("email-address", r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"),

@@ -50,7 +50,7 @@ def vector_topk(
 
     def tile(vec: pd.DataFrame, que: pd.DataFrame) -> pd.DataFrame:
         if vec.empty or que.empty:
-            return pd.DataFrame({"query_id": [], "uri": [], "score": []})
+            return pd.DataFrame({name: pd.Series(dtype=object) for name in ("query_id", "uri", "score")})
         scores = np.round(unit(que["vector"]) @ unit(vec["vector"]).T, RANK_DIGITS)
         # Best score per uri first, then the k best uris: ties follow the uri order.
         order = np.argsort(vec["uri"].to_numpy(), kind="stable")

@@ -209,8 +209,9 @@ def _glob_regex(pattern: str) -> str:
         elif char == "?":
             out.append(".")
         elif close > 0:
-            inner = pattern[i + 1 : close].replace("\\", "\\\\")
-            out.append("[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]")
+            negated = pattern[i + 1] == "!"
+            inner = "".join("\\" + c if c in "\\[]&^" else c for c in pattern[i + 1 + negated : close])
+            out.append("[" + "^" * negated + inner + "]")
             i = close
         else:
             out.append("\\" + char if char in r"\.^$+{}()|[]" else char)

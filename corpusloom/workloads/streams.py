@@ -17,8 +17,8 @@ from corpusloom.workloads.text import _SUMMARY
 
 
 def _stream(spark, folder, name):
-    path = f"{folder}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
 def _place(spark, name):

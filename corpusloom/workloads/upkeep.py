@@ -234,7 +234,7 @@ NOW = 1_704_067_200.0 + 400 * 86_400
 
 def _dated_notes(spark, folder):
     n = notes(spark, folder).withColumn("conditions", F.create_map().cast("map<string,string>"))
-    modified = F.timestamp_seconds(F.lit(1_704_067_200) + F.length("raw") * 3600)
+    modified = F.timestamp_seconds(F.lit(1_704_067_200) + F.length("raw").cast("long") * 3600)
     stamp = F.when(F.get("topics", F.lit(0)) == "en", F.lit("2024-06-01T00:00:00Z")).when(F.get("topics", F.lit(0)) == "de", F.lit("2024-06-01T00:00:00"))
     return n.withColumn("modified", modified).withColumn("captured_at", stamp)
 
