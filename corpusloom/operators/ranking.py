@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 # Float sums depend on the order of their terms, so ranks compare rounded scores.
 RANK_DIGITS = 9
-# Rank constant of the fusion votes and the boost of a preferred topic.
+# Rank constant of the fusion votes, boost of a preferred topic, route length.
 RANK_CONSTANT = 60
 TOPIC_BOOST = 1.25
+ROUTE_LIMIT = 192
 
 
 def top_k(scores: DataFrame, k: int, key: str = "query_id", tie: str = "uri") -> DataFrame:
@@ -26,14 +27,16 @@ def top_k(scores: DataFrame, k: int, key: str = "query_id", tie: str = "uri") ->
     )
 
 
-def first_occurrences(route: DataFrame) -> DataFrame:
+def first_occurrences(route: DataFrame, limit: int = ROUTE_LIMIT) -> DataFrame:
     """Drop repeats of a uri within a query, keep the route's order, re-rank without gaps.
 
-    route(query_id, uri, position, score): a repeat never moves the ranks behind it.
+    route(query_id, uri, position, score): a repeat never moves the ranks behind it. A
+    route is a top list, so each task passes on its first ``limit`` rows per query only.
     """
     first = route.groupBy("query_id", "uri").agg(F.min_by(F.struct("position", "score"), "position").alias("hit"))
-    order = Window.partitionBy("query_id").orderBy("hit.position", "uri")
-    return first.select("query_id", "uri", F.col("hit.score").alias("score"), F.row_number().over(order).alias("rank"))
+    flat = first.select("query_id", "uri", F.col("hit.position").alias("position"), F.col("hit.score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy("position", "uri")
+    return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("position")
 
 
 def best_per_uri(hits: DataFrame) -> DataFrame:
@@ -102,10 +105,17 @@ def boost_preferred(scores: DataFrame, note_topics: DataFrame, wanted: DataFrame
 
 
 def only_topics(scores: DataFrame, note_topics: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Keep hits that carry a topic their query asks for; queries that ask none keep all."""
-    allowed = note_topics.join(wanted, "topic").select("query_id", "uri").distinct()
-    asking = wanted.select("query_id").distinct().withColumn("asks", F.lit(True))
-    flagged = scores.join(asking, "query_id", "left")
-    return (
-        flagged.where("asks").join(allowed, ["query_id", "uri"], "left_semi").unionByName(flagged.where("asks is null")).drop("asks")
+    """Keep hits that carry a topic their query asks for; queries that ask none keep all.
+
+    Topics are looked up for the hits, so a topic of very many notes never meets all the
+    queries that ask for it.
+    """
+    allowed = (
+        scores.select("query_id", "uri")
+        .join(note_topics, "uri")
+        .join(wanted, ["query_id", "topic"], "left_semi")
+        .select("query_id", "uri")
+        .distinct()
     )
+    asking = wanted.select("query_id").distinct()
+    return scores.join(asking, "query_id", "left_anti").unionByName(scores.join(allowed, ["query_id", "uri"], "left_semi").select(*scores.columns))

@@ -14,6 +14,7 @@ WEB = r"(?i)^https?:"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 INVALID = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[\[\]]"
 VALID_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@\[\]]*@)?\[[0-9A-Fa-f:.]+\](?::\d*)?(?:[/?#]|$)"
+MAX_OWNERS = 64
 LINE_ANCHOR = r"^L(\d+)(?:-L?(\d+))?$"
 
 
@@ -26,13 +27,20 @@ def metadata_links(notes: DataFrame) -> DataFrame:
     )
 
 
+def address_owners(notes: DataFrame) -> DataFrame:
+    """(address, owner): notes that record a web address as their source."""
+    sources = notes.select(F.col("uri").alias("owner"), F.explode(F.map_values("source")).alias("value"))
+    return sources.where(F.col("value").rlike(WEB)).select(normal_url(F.col("value")).alias("address"), "owner").distinct()
+
+
 def link_targets(notes: DataFrame, found: DataFrame, code_files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Resolve found(uri, line, target, field) in priority order; returns (edges, gaps).
 
     Order: exact note URI, another note's source address, a pinned remote code file, a
     local note path, a local code file. Several matches make one ambiguous edge each.
-    Every stage is an equi-join on one key, so a link target shared by very many notes
-    is only a frequent key on the small side.
+    Every stage is an equi-join on one key. An address that more than 64 notes record gets
+    one ambiguous edge to the address itself instead of one per owner; ``address_owners``
+    completes it, and links never multiply with owners.
     """
     own = notes.select("uri", F.col("path").alias("own_path"))
     bad = F.col("target").rlike(INVALID) & ~F.col("target").rlike(VALID_HOST)
@@ -66,8 +74,13 @@ def link_targets(notes: DataFrame, found: DataFrame, code_files: DataFrame | Non
     asked = materialize(asked, "links")
     empty = F.lit(None).cast("string")
     by_uri = notes.select(F.col("uri").alias("target"), F.col("uri").alias("hit"))
-    sources = notes.select(F.col("uri").alias("hit"), F.explode(F.map_values("source")).alias("value")).where(F.col("value").rlike(WEB))
-    by_source = sources.select("hit", normal_url(F.col("value")).alias("address")).distinct()
+    owners = address_owners(notes)
+    crowd = owners.groupBy("address").agg(F.count(F.lit(1)).alias("owners"))
+    by_source = (
+        owners.join(crowd.where(F.col("owners") <= MAX_OWNERS).select("address"), "address", "left_semi")
+        .select("address", F.col("owner").alias("hit"))
+        .unionByName(crowd.where(F.col("owners") > MAX_OWNERS).select("address", F.col("address").alias("hit")))
+    )
     by_path = notes.select(F.col("path").alias("local"), F.col("uri").alias("hit"))
     record = F.struct(empty.alias("source_id"), empty.alias("source_path"), empty.alias("source_sha256"), F.lit(None).cast("int").alias("line_count"))
     stages = [
@@ -100,7 +113,8 @@ def link_targets(notes: DataFrame, found: DataFrame, code_files: DataFrame | Non
     counts = chosen.groupBy("link_id").agg(F.count(F.lit(1)).alias("n"))
     resolved = asked.join(chosen.join(counts, "link_id"), "link_id", "left")
     status = (
-        F.when(F.col("n") == 1, F.lit("resolved"))
+        F.when((F.col("n") == 1) & (F.col("priority") == 1) & (F.col("hit") == F.col("address")), F.lit("ambiguous"))
+        .when(F.col("n") == 1, F.lit("resolved"))
         .when(F.col("n") > 1, F.lit("ambiguous"))
         .when(F.col("address").isNotNull(), F.lit("external_unchecked"))
         .when(F.col("local").isNotNull(), F.lit("outside_snapshot"))

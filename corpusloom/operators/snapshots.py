@@ -116,14 +116,19 @@ def replace_collection(catalog: DataFrame, supplied: DataFrame) -> DataFrame:
 
 
 def retention(versions: DataFrame, keep: int) -> DataFrame:
-    """versions(collection, version_id, activated_at, active) -> rows with keep / prune."""
+    """versions(collection, version_id, activated_at, active) -> rows with keep / prune.
+
+    The newest ``keep`` inactive versions are a top list, cut per task before the shuffle;
+    everything else is pruned by a join, so a collection may hold any number of versions.
+    """
     valid = F.col("version_id").rlike("^v[0-9a-f]{12}$")
-    idle = versions.where(~F.col("active") & valid)
+    rows = versions.where(F.col("active") | valid).select("collection", "version_id", "active", "activated_at")
     order = Window.partitionBy("collection").orderBy(F.desc(F.coalesce("activated_at", F.lit(0.0))), F.desc("version_id"))
-    newest = idle.withColumn("at", F.row_number().over(order))
-    return versions.where(F.col("active")).select("collection", "version_id", F.lit("keep").alias("decision")).unionByName(
-        newest.select("collection", "version_id", F.when(F.col("at") > max(keep, 0), F.lit("prune")).otherwise(F.lit("keep")).alias("decision"))
+    newest = (
+        rows.where(~F.col("active")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= max(keep, 0)).select("collection", "version_id", F.lit(True).alias("recent"))
     )
+    decision = F.when(F.col("active") | F.col("recent"), F.lit("keep")).otherwise(F.lit("prune"))
+    return rows.join(newest, ["collection", "version_id"], "left").select("collection", "version_id", decision.alias("decision"))
 
 
 def refresh_plan(listing: DataFrame, catalog: DataFrame, readable_roots: DataFrame, mounted_roots: DataFrame, force: bool = False) -> DataFrame:
@@ -164,12 +169,6 @@ def refresh_plan(listing: DataFrame, catalog: DataFrame, readable_roots: DataFra
     )
 
 
-def swap_rows(stored: DataFrame, plan: DataFrame, fresh: DataFrame, key: str = "uri") -> DataFrame:
-    """Carry every row whose note did not change and add the fresh rows of those that did."""
-    gone = plan.where(F.col("action").isin("update", "delete")).select(key)
-    return stored.join(gone, key, "left_anti").unionByName(fresh.select(*stored.columns))
-
-
 def refresh_report(plan: DataFrame, errors: DataFrame) -> DataFrame:
     """One row of counts; ``partial`` when any source could not be used."""
     count = lambda *names: F.sum(F.col("action").isin(*names).cast("int"))

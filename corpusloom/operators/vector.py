@@ -83,8 +83,8 @@ def centroids(vectors: DataFrame, key: str) -> DataFrame:
 
 
 def vector_text(vector) -> F.Column:
-    """Canonical text of a vector: fixed decimals, so that equal values hash equally."""
-    return F.array_join(F.transform(vector, lambda x: F.format_string("%.6f", x.cast("double"))), ",")
+    """Canonical text of a vector: the shortest text of a float names exactly one value."""
+    return F.array_join(F.transform(vector, lambda x: x.cast("string")), ",")
 
 
 def vector_hash(vector) -> F.Column:

@@ -1,4 +1,9 @@
-"""Catalog snapshots: stored notes, postings and topics, refreshed incrementally."""
+"""Catalog snapshots: stored notes, postings and topics, refreshed incrementally.
+
+A snapshot writes only the notes that changed. Its entries table, a short row per note,
+says which snapshot holds the valid rows of each note, so a refresh of a few notes never
+copies the corpus, and older snapshots stay readable. ``build`` compacts.
+"""
 
 from __future__ import annotations
 
@@ -9,107 +14,111 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import markdown as md
 from corpusloom.operators import lexical
-from corpusloom.operators.snapshots import refresh_plan, swap_rows
+from corpusloom.operators.snapshots import refresh_plan
 from corpusloom.operators.structure import blocks, conditions
 from corpusloom.plans.search import Index
 
-TABLES = ("notes", "postings", "topics")
+ENTRY = ("uri", "root", "path", "stat_key", "fingerprint")
 
 
 @dataclass(frozen=True)
 class Catalog:
-    """One stored snapshot below ``root/snapshot=<n>``."""
+    """One stored snapshot; ``full`` means that it holds every valid row itself."""
 
     spark: SparkSession
     root: str
     generation: int
+    full: bool
+
+    def entries(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/entries/snapshot={self.generation}")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/snapshot={self.generation}")
+        if self.full:
+            return self.spark.read.parquet(f"{self.root}/{name}/snapshot={self.generation}")
+        rows = self.spark.read.parquet(f"{self.root}/{name}").where(F.col("snapshot") <= self.generation)
+        valid = self.entries().select("uri", F.col("written").alias("snapshot"))
+        return rows.join(valid, ["uri", "snapshot"], "left_semi").drop("snapshot")
 
     def index(self) -> Index:
-        posts = self.table("postings")
-        return Index(posts, lexical.corpus_stats(self.table("lengths")), None)
+        return Index(self.table("postings"), lexical.corpus_stats(self.table("lengths")), None)
 
 
 def note_topics(notes: DataFrame) -> DataFrame:
     return notes.select("uri", F.explode(F.array_distinct(F.transform("topics", F.lower))).alias("topic"))
 
 
-def _write(spark: SparkSession, root: str, generation: int, tables: dict[str, DataFrame]) -> None:
-    for name, df in tables.items():
-        target = f"{root}/{name}/snapshot={generation}"
-        if name == "postings":
-            # Sorted by term inside each file, so a search skips the row groups of other terms.
-            df = df.sortWithinPartitions("term")
-        df.write.mode("overwrite").parquet(target)
-
-
-def note_tables(notes: DataFrame) -> dict[str, DataFrame]:
-    return {
+def _write(notes: DataFrame, root: str, generation: int) -> None:
+    tables = {
         "notes": notes,
         "lengths": lexical.note_lengths(notes),
-        "postings": lexical.postings(lexical.note_terms(notes)),
+        # Sorted by term inside each file, so a search skips the row groups of other terms.
+        "postings": lexical.postings(lexical.note_terms(notes)).sortWithinPartitions("term"),
         "topics": note_topics(notes),
     }
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{name}/snapshot={generation}")
+
+
+def _entries(notes: DataFrame, generation: int) -> DataFrame:
+    present = [F.col(c) if c in notes.columns else F.lit("").alias(c) for c in ENTRY]
+    return notes.select(*present, F.lit(generation).alias("written"))
 
 
 def latest(spark: SparkSession, root: str) -> Catalog | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/snapshots")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    row = spark.read.parquet(f"{root}/snapshots").agg(F.max("generation").alias("g")).first()
-    return None if row["g"] is None else Catalog(spark, root, row["g"])
+    row = spark.read.parquet(f"{root}/snapshots").agg(F.max(F.struct("generation", "full")).alias("s")).first()["s"]
+    return Catalog(spark, root, row["generation"], row["full"])
 
 
-def _publish(spark: SparkSession, root: str, generation: int, previous: int | None, errors: int) -> Catalog:
+def _publish(spark: SparkSession, root: str, generation: int, previous: int | None, full: bool, errors: int) -> Catalog:
     """The snapshot row comes last: readers never see a half-written generation."""
-    notes = spark.read.parquet(f"{root}/notes/snapshot={generation}").count()
-    row = [(generation, previous, notes, errors, "partial" if errors else "ready")]
-    schema = "generation int, previous int, documents long, errors long, status string"
-    spark.createDataFrame(row, schema).write.mode("append").parquet(f"{root}/snapshots")
-    return Catalog(spark, root, generation)
+    notes = spark.read.parquet(f"{root}/entries/snapshot={generation}").count()
+    row = [(generation, previous, full, notes, errors, "partial" if errors else "ready")]
+    schema = "generation int, previous int, full boolean, documents long, errors long, status string"
+    spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
+    return Catalog(spark, root, generation, full)
 
 
 def build(notes: DataFrame, root: str, errors: int = 0) -> Catalog:
-    """Write a first (or full) snapshot."""
+    """Write a first or compacted snapshot that holds everything itself."""
     spark = notes.sparkSession
     before = latest(spark, root)
     generation = before.generation + 1 if before else 1
-    _write(spark, root, generation, note_tables(notes))
-    return _publish(spark, root, generation, before.generation if before else None, errors)
+    _write(notes, root, generation)
+    _entries(spark.read.parquet(f"{root}/notes/snapshot={generation}"), generation).write.mode("overwrite").parquet(
+        f"{root}/entries/snapshot={generation}"
+    )
+    return _publish(spark, root, generation, before.generation if before else None, True, errors)
 
 
 def refresh(notes: DataFrame, root: str, readable_roots: DataFrame, mounted_roots: DataFrame, force: bool = False, errors: int = 0) -> tuple[Catalog, DataFrame]:
     """Apply the difference between a listing of notes and the stored snapshot.
 
-    Only inserted or updated notes are parsed and tokenised; every other row is carried
-    from the previous tables. Without a change the same snapshot stays current.
+    Only inserted or updated notes are parsed, tokenised and written; for all others the
+    entry is carried. Without a change the same snapshot stays current.
     """
     spark = notes.sparkSession
     before = latest(spark, root)
     if before is None:
         catalog = build(notes, root, errors)
-        return catalog, catalog.table("notes").select("uri", F.lit("insert").alias("action"))
-    stored = before.table("notes")
-    plan = refresh_plan(notes, stored, readable_roots, mounted_roots, force)
-    target = f"{root}/plans/snapshot={before.generation + 1}"
-    plan.write.mode("overwrite").parquet(target)
+        return catalog, catalog.entries().select("uri", F.lit("insert").alias("action"))
+    generation = before.generation + 1
+    target = f"{root}/plans/snapshot={generation}"
+    refresh_plan(notes, before.entries(), readable_roots, mounted_roots, force).write.mode("overwrite").parquet(target)
     plan = spark.read.parquet(target)
     if plan.where(F.col("action").isin("insert", "update", "delete", "touch")).isEmpty():
         return before, plan
-    generation = before.generation + 1
     changed = notes.join(plan.where(F.col("action").isin("insert", "update")).select("uri"), "uri", "left_semi")
-    touched = plan.where("action = 'touch'").select("uri")
-    # A touched note only gets its new stat key.
-    keys = notes.join(touched, "uri", "left_semi").select("uri", F.col("stat_key").alias("new_stat"))
-    carried = stored.join(keys, "uri", "left").withColumn("stat_key", F.coalesce("new_stat", "stat_key")).drop("new_stat")
-    fresh = note_tables(changed)
-    tables = {
-        name: swap_rows(carried.select(*fresh[name].columns) if name == "notes" else before.table(name), plan, fresh[name]) for name in fresh
-    }
-    _write(spark, root, generation, tables)
-    return _publish(spark, root, generation, before.generation, errors), plan
+    _write(changed, root, generation)
+    fresh = _entries(spark.read.schema(changed.schema).parquet(f"{root}/notes/snapshot={generation}"), generation)
+    kept = before.entries().join(plan.where(F.col("action").isin("update", "delete")).select("uri"), "uri", "left_anti")
+    touched = notes.select("uri", F.col("stat_key").alias("new_stat")).join(plan.where("action = 'touch'").select("uri"), "uri", "left_semi")
+    kept = kept.join(touched, "uri", "left").withColumn("stat_key", F.coalesce("new_stat", "stat_key")).drop("new_stat")
+    kept.unionByName(fresh).write.mode("overwrite").parquet(f"{root}/entries/snapshot={generation}")
+    return _publish(spark, root, generation, before.generation, False, errors), plan
 
 
 def export_rows(notes: DataFrame, layers: list[str] | None = None) -> DataFrame:

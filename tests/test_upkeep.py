@@ -24,7 +24,7 @@ POSITIVE = [
     ("username-at-host", "ssh exampleuser@npu07"), ("username-assignment", "user=exampleuser"), ("username-flag", "--user exampleuser"), ("employee-id", "by w00123456"),
     ("ticket-id", "in INTERNAL-48213"), ("credential-assignment", "api_key=AbC12345XyZ98765"), ("credential-known-format", "ghp_" + "A" * 36),
     ("credential-known-format", "-----BEGIN RSA PRIVATE KEY-----"), ("credential-url-userinfo", "https://u:p@example.com/x"), ("credential-bearer", "Authorization: Bearer abcdEFGH1234"),
-    ("credential-high-entropy", "token " + "Zq9" * 12), ("container-command", "docker exec -it vaws-sess-1 bash"), ("container-name-flag", "--name sess_12"), ("container-name-assignment", "container: box-a3"),
+    ("credential-high-entropy", "token " + "Zq9" * 12), ("container-command", "docker exec -it box-sess-1 bash"), ("container-name-flag", "--name sess_12"), ("container-name-assignment", "container: box-a3"),
 ]
 CLEAN = [
     "worker-pool-size-32", "node-count-8", "gpu-node-01", "node 4 of 8; CANN 9.0.0; remote control", "/home/<user>/work and /root/ alone", "/home/$USER/x and ~/x", "docker exec -it <container> bash",
