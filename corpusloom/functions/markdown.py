@@ -156,9 +156,13 @@ def normal_url(value: Column) -> Column:
     ).otherwise(value)
 
 
+# Fixed value: citation markup that some clients append to a final message.
+CITATION = r"(?s)<oai-mem-citation>.*?</oai-mem-citation>"
+
+
 def summary_text(value: Column) -> Column:
     """Final message without citation markup; NULL when too short to keep."""
-    text = strip(F.regexp_replace(value, r"(?s)<oai-mem-citation>.*?</oai-mem-citation>", ""))
+    text = strip(F.regexp_replace(value, CITATION, ""))
     return F.when(F.length(text) >= 24, text)
 
 

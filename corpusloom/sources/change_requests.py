@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["repo", "number"]
+# Sentences of the note.
+PATCH_NOTE = "API patch excerpt (the pinned file is the complete-source reference):"
+SCOPE_NOTE = (
+    "This records PR claims, discussion and API patch excerpts. It is not execution evidence. "
+    "Large or binary diffs may be omitted by GitHub; use the pinned source links above."
+)
 
 
 def _pinned(kind: str, sha: str, name: Column) -> Column:
@@ -51,7 +57,7 @@ def change_request_notes(
         F.lit(""),
         F.when(
             F.coalesce("patch", F.lit("")) != "",
-            F.concat(F.lit("API patch excerpt (the pinned file is the complete-source reference):\n\n````diff\n"), F.col("patch"), F.lit("\n````\n")),
+            F.concat(F.lit(PATCH_NOTE + "\n\n````diff\n"), F.col("patch"), F.lit("\n````\n")),
         ),
         F.when(F.col("status") != "removed", _pinned("head", "head_sha", F.col("filename"))),
         F.when(F.col("status") != "added", _pinned("base", "base_sha", F.coalesce("previous_filename", "filename"))),
@@ -98,10 +104,7 @@ def change_request_notes(
         F.col("file_text"),
         F.lit("## Discussion and review\n"),
         F.col("talk_text"),
-        F.lit(
-            "## Scope of this snapshot\n\nThis records PR claims, discussion and API patch excerpts. It is not execution evidence. "
-            "Large or binary diffs may be omitted by GitHub; use the pinned source links above."
-        ),
+        F.lit("## Scope of this snapshot\n\n" + SCOPE_NOTE),
     )
     seen = F.coalesce("file_text_seen", F.lit(0))
     return joined.select(

@@ -288,3 +288,42 @@ def test_search_status_layers_and_release(spark):
     hits = notes.select(F.lit("q").alias("query_id"), "uri", F.lit(1.0).alias("score")).unionByName(spark.createDataFrame([("q", "note://resources/project/deleted.md", 1.0), ("q", "note://resources/shared/v1/off-disk.md", 1.0)], "query_id string, uri string, score double"))
     valid = {r.uri for r in search.valid_hits(hits, notes, ["shared", "project"], "note://resources/shared/v1/").collect()}
     assert valid == active | {"note://resources/shared/v1/off-disk.md"}
+
+
+def test_manifest_round_trip_and_public_calls(spark, place):
+    from corpusloom import api
+    from corpusloom.sources import manifest
+
+    h = F.sha2("path", 256)
+    rows = spark.createDataFrame([("t/a.md",), ("t/b.md",)], "path string").select("path", F.lit(1).cast("long").alias("size"), h.alias("sha256"), h.alias("source_sha256"), h.alias("input_sha256"), F.lit(2).cast("long").alias("metadata_size"), h.alias("metadata_sha256"))
+    manifest.write_manifest(rows, f"{place}/m")
+    back = manifest.read_manifest(spark, f"{place}/m")
+    assert manifest.digest(back).first() == manifest.digest(rows).first() and sorted(back.collect()) == sorted(rows.collect())
+
+    schema = "title string, body string, received long, status string"
+    notes = spark.createDataFrame([("t", "one", 1, "draft")], schema)
+    events = spark.createDataFrame([("t", "two", 2, None), (" ", "x", 3, None), ("v", "", 3, None)], schema)
+    assert [tuple(r) for r in api.capture(events, notes).collect()] == [("t", "two", 2, "draft")]
+    cases = spark.createDataFrame([("a", "x", "q", False, False, 1.0, 5), ("b", "x", "q", True, False, 2.0, 5)], "case_id string, category string, query string, no_evidence boolean, incomplete boolean, elapsed_ms double, output_bytes long")
+    qrels = spark.createDataFrame([("a", "u", 2.0)], "case_id string, uri string, grade double")
+    results = spark.createDataFrame([("a", 1, "u")], "case_id string, rank int, uri string")
+    total = api.evaluate(results, cases, qrels).where("category is null").first()
+    assert (total.queries, total.scored_queries, total.recall, total.no_evidence_abstention) == (2, 1, 1.0, 1.0)
+    with pytest.raises(ValueError):
+        api.evaluate(results, cases, qrels.withColumn("grade", F.lit(9.0)))
+
+
+def test_crowded_addresses_do_not_multiply(spark):
+    schema = "uri string, path string, raw string, source map<string,string>, evidence string"
+    rows = [(f"note://resources/project/{i}.md", f"/c/{i}.md", "[h](https://hub.example/x)\n", {"url": "https://hub.example/x/"}, None) for i in range(80)]
+    notes = spark.createDataFrame(rows, schema)
+    edges = relations.build_edges(notes)[0].where("field is null").collect()
+    assert len(edges) == 80 and {(e.target, e.status) for e in edges} == {("https://hub.example/x", "ambiguous")}
+    assert relations.address_owners(notes).count() == 80
+
+
+def test_digest_tree_depends_on_every_row(spark):
+    rows = spark.range(500).select(F.concat(F.lit("p"), "id").alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("sha256"))
+    same = snapshots.corpus_digest(rows.repartition(7)).first().digest
+    assert same == snapshots.corpus_digest(rows).first().digest != snapshots.corpus_digest(rows.where("path <> 'p77'")).first().digest
+    assert snapshots.manifest_digest(spark.range(1100).select(F.col("id").cast("string").alias("path"), F.lit("h").alias("sha256"))).first().digest is None
