@@ -193,42 +193,40 @@ def unfenced_lines(notes: DataFrame) -> DataFrame:
 
 
 def links(notes: DataFrame) -> DataFrame:
-    """(uri, line, target): inline, reference-style and automatic links outside fences."""
-    rows = unfenced_lines(notes)
-    is_definition = F.col("text").rlike(DEFINITION)
-    defined = (
-        rows.where(is_definition)
-        .select(
-            "uri",
-            "line",
-            fold(F.regexp_extract("text", DEFINITION, 1)).alias("label"),
-            F.when(F.regexp_extract("text", DEFINITION, 2) != "", F.regexp_extract("text", DEFINITION, 2))
-            .otherwise(F.regexp_extract("text", DEFINITION, 3))
-            .alias("target"),
+    """(uri, line, target): inline, reference-style and automatic links outside fences.
+
+    One pass finds links, references and definitions; a window per (note, label) then
+    gives references their definition, so texts are read once and only findings move.
+    """
+
+    def item(kind: str, label: Column | None, target: Column | None) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(
+            F.lit(kind).alias("kind"), (none if label is None else label).alias("label"), (none if target is None else target).alias("target")
         )
-        .groupBy("uri", "label")
-        .agg(F.max_by("target", "line").alias("target"))
-    )
-    prose = rows.where(~is_definition & F.col("text").rlike(r"[\[<]"))
 
-    def matches(pattern: str) -> Column:
-        return F.explode_outer(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    def either(text: Column, pattern: str, first: int, second: int) -> Column:
+        return F.coalesce(F.nullif(F.regexp_extract(text, pattern, first), F.lit("")), F.regexp_extract(text, pattern, second))
 
-    def either(pattern: str, first: int, second: int) -> Column:
-        one = F.regexp_extract("found", pattern, first)
-        return F.when(one != "", one).otherwise(F.regexp_extract("found", pattern, second))
+    def each(pattern: str, group: int, make) -> Column:
+        return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(group)), make)
 
-    inline = prose.select("uri", "line", matches(INLINE_LINK).alias("found")).select(
-        "uri", "line", either(INLINE_LINK, 1, 2).alias("target")
-    )
-    named = prose.select("uri", "line", matches(REFERENCE_LINK).alias("found")).select(
-        "uri", "line", fold(either(REFERENCE_LINK, 2, 1)).alias("label")
+    definition = F.array(item("definition", fold(F.regexp_extract("text", DEFINITION, 1)), either(F.col("text"), DEFINITION, 2, 3)))
+    uses = F.concat(
+        each(INLINE_LINK, 0, lambda m: item("link", None, either(m, INLINE_LINK, 1, 2))),
+        each(REFERENCE_LINK, 0, lambda m: item("reference", fold(either(m, REFERENCE_LINK, 2, 1)), None)),
+        each(AUTOLINK, 1, lambda m: item("link", None, m)),
     )
-    automatic = prose.select("uri", "line", matches(AUTOLINK).alias("found")).select(
-        "uri", "line", F.regexp_extract("found", AUTOLINK, 1).alias("target")
+    entries = F.when(F.col("text").rlike(DEFINITION), definition).when(F.col("text").rlike(r"[\[<]"), uses)
+    found = unfenced_lines(notes).select("uri", "line", F.inline_outer(entries)).where("kind is not null")
+    is_definition = F.col("kind") == "definition"
+    label = Window.partitionBy("uri", "label")
+    defined = F.max_by(F.when(is_definition, F.col("target")), F.when(is_definition, F.col("line"))).over(label)
+    return (
+        found.withColumn("target", F.when(F.col("kind") == "reference", defined).otherwise(F.col("target")))
+        .where(~is_definition & (F.col("target") != ""))
+        .select("uri", "line", "target")
     )
-    referenced = named.join(defined, ["uri", "label"]).select("uri", "line", "target")
-    return inline.unionByName(referenced).unionByName(automatic).where("target <> ''")
 
 
 def plain_links(body: Column) -> Column:
