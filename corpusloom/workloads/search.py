@@ -8,11 +8,11 @@ from corpusloom.operators import evaluation, lexical, lookup, ranking, vector
 from corpusloom.operators.excerpts import verify_evidence
 from corpusloom.plans import search as plan
 from corpusloom.workloads import sql as q
-from corpusloom.workloads.tables import aliased_notes, benchmark_queries, notes, table
+from corpusloom.workloads.tables import aliased_notes, benchmark_queries, micro, notes, table
 
 
 def _rounded(df, *keys):
-    return df.select(*keys, F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return df.select(*keys, F.col("rank").cast("long").alias("rank"), micro("score").alias("score"))
 
 
 def bm25_topk(spark, folder):
@@ -20,7 +20,7 @@ def bm25_topk(spark, folder):
     return _rounded(ranking.top_k(scores, 8), "query_id", "uri")
 
 
-BM25_TOPK = f"WITH {q.bm25()}, {q.ranked('scores', 8)} SELECT query_id, uri, rank, round(score, 6) AS score FROM ranked"
+BM25_TOPK = f"WITH {q.bm25()}, {q.ranked('scores', 8)} SELECT query_id, uri, rank, CAST(round(score * 1e6) AS BIGINT) / 1e6 AS score FROM ranked"
 
 
 def field_weighted_bm25(spark, folder):
@@ -31,7 +31,7 @@ def field_weighted_bm25(spark, folder):
 _ALIAS = "lang || ' ' || source || ' notes'"
 FIELD_WEIGHTED_BM25 = (
     f"WITH {q.bm25({'title': 2.0, 'body': 1.0, 'aliases': 0.5}, aliases=_ALIAS)}, "
-    f"{q.ranked('scores', 8)} SELECT query_id, uri, rank, round(score, 6) AS score FROM ranked"
+    f"{q.ranked('scores', 8)} SELECT query_id, uri, rank, CAST(round(score * 1e6) AS BIGINT) / 1e6 AS score FROM ranked"
 )
 
 
@@ -45,10 +45,10 @@ TERM_STATS = f"WITH {q.bm25(None, aliases=_ALIAS)} SELECT term, count(*) AS df,
 
 def corpus_stats(spark, folder):
     s = lexical.corpus_stats(lexical.note_lengths(aliased_notes(spark, folder)))
-    return s.select("n_notes", "total_len", F.round("avg_len", 6).alias("avg_len"))
+    return s.select("n_notes", "total_len", micro("avg_len").alias("avg_len"))
 
 
-CORPUS_STATS = f"WITH {q.bm25(None, aliases=_ALIAS)} SELECT (SELECT count(*) FROM notes) AS n_notes, sum(doc_len) AS total_len, round(any_value(mean), 6) AS avg_len FROM lengths, facts"
+CORPUS_STATS = f"WITH {q.bm25(None, aliases=_ALIAS)} SELECT (SELECT count(*) FROM notes) AS n_notes, sum(doc_len) AS total_len, CAST(round(any_value(mean) * 1e6) AS BIGINT) / 1e6 AS avg_len FROM lengths, facts"
 
 
 def layer_counts(spark, folder):
@@ -76,7 +76,7 @@ def topic_only(spark, folder):
 
 
 TOPIC_ONLY = f"""WITH {q.bm25()}, kept AS (SELECT s.* FROM scores s JOIN notes n USING (uri) WHERE n.source = 'src' || query_id % 20),
-{q.ranked('kept', 8)} SELECT query_id, uri, rank, round(score, 6) AS score FROM ranked"""
+{q.ranked('kept', 8)} SELECT query_id, uri, rank, CAST(round(score * 1e6) AS BIGINT) / 1e6 AS score FROM ranked"""
 
 
 def topic_prefer(spark, folder):
@@ -87,7 +87,7 @@ def topic_prefer(spark, folder):
 
 TOPIC_PREFER = f"""WITH {q.bm25()}, kept AS (SELECT query_id, uri, score * CASE WHEN n.source = 'src' || query_id % 20 THEN 1.25 ELSE 1.0 END AS score
   FROM scores s JOIN notes n USING (uri)),
-{q.ranked('kept', 8)} SELECT query_id, uri, rank, round(score, 6) AS score FROM ranked"""
+{q.ranked('kept', 8)} SELECT query_id, uri, rank, CAST(round(score * 1e6) AS BIGINT) / 1e6 AS score FROM ranked"""
 
 
 def lookup_refs(spark, folder):
@@ -135,7 +135,7 @@ _CENTROIDS = """vecs AS (SELECT 'vec-' || lpad(CAST(vec_id AS VARCHAR), 9, '0')
 flat AS (SELECT label, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM vecs),
 centers AS (SELECT CAST(label AS BIGINT) AS query_id, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS x FROM flat GROUP BY ALL) GROUP BY label),
 nearness AS (SELECT query_id, uri, list_dot_product(c, v) / sqrt(list_dot_product(c, c) * list_dot_product(v, v)) AS score FROM centers, vecs)"""
-VECTOR_TOPK = f"WITH {_CENTROIDS}, {q.ranked('nearness', 16)} SELECT query_id, uri, rank, round(score, 6) AS score FROM ranked"
+VECTOR_TOPK = f"WITH {_CENTROIDS}, {q.ranked('nearness', 16)} SELECT query_id, uri, rank, CAST(round(score * 1e6) AS BIGINT) / 1e6 AS score FROM ranked"
 
 
 def vector_audit(spark, folder):
@@ -211,7 +211,7 @@ fused AS (
            + CASE WHEN v.uri IS NOT NULL AND l.uri IS NOT NULL THEN least(1.0 / (60 + v.rank), 1.0 / (60 + l.rank)) * l.score / top ELSE 0 END AS score
   FROM vec v FULL JOIN lex l ON v.query_id = l.query_id AND v.uri = l.uri LEFT JOIN best b ON b.query_id = l.query_id
 ), {q.ranked('fused', 8)}
-SELECT query_id, uri, methods, rank, round(score, 6) AS score FROM ranked"""
+SELECT query_id, uri, methods, rank, CAST(round(score * 1e6) AS BIGINT) / 1e6 AS score FROM ranked"""
 
 
 def _event_routes(spark, folder):
@@ -227,12 +227,12 @@ def first_occurrences(spark, folder):
     """Events in arrival order as a route with very many repeats per user."""
     first, _ = _event_routes(spark, folder)
     r = ranking.first_occurrences(first)
-    return r.select("query_id", "uri", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return r.select("query_id", "uri", F.col("rank").cast("long").alias("rank"), micro("score").alias("score"))
 
 
 _FIRST = "SELECT event_type AS query_id, 'user-' || user_id AS uri, min(event_id) AS pos, arg_min(value, event_id) AS score FROM events GROUP BY ALL"
 _ROUTE = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM ({_FIRST})) WHERE rank <= 192"
-FIRST_OCCURRENCES = f"SELECT query_id, uri, rank, round(score, 6) AS score FROM ({_ROUTE})"
+FIRST_OCCURRENCES = f"SELECT query_id, uri, rank, CAST(round(score * 1e6) AS BIGINT) / 1e6 AS score FROM ({_ROUTE})"
 
 
 def rank_fusion(spark, folder):
@@ -248,7 +248,7 @@ fused AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.uri, l
   greatest(coalesce(1.0 / (60 + v.rank), 0), coalesce(1.0 / (60 + l.rank), 0))
   + CASE WHEN v.uri IS NOT NULL AND score > 0 THEN least(1.0 / (60 + v.rank), 1.0 / (60 + l.rank)) * score / top ELSE 0 END AS score
   FROM vec v FULL JOIN lex l ON v.query_id = l.query_id AND v.uri = l.uri LEFT JOIN best b ON b.query_id = l.query_id), {q.ranked('fused', 50)}
-SELECT query_id, uri, rank, round(score, 6) AS score FROM ranked"""
+SELECT query_id, uri, rank, CAST(round(score * 1e6) AS BIGINT) / 1e6 AS score FROM ranked"""
 
 
 def search_results(spark, folder):
@@ -306,10 +306,10 @@ metrics AS (SELECT case_id, labels, coalesce(hits / labels, 0) AS recall, coales
 def case_metrics(spark, folder):
     _, results, qrels = _cases(spark, folder)
     m = evaluation.case_metrics(results, qrels, 8)
-    return m.select("case_id", "labels", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
+    return m.select("case_id", "labels", *[micro(c).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
-CASE_METRICS = f"WITH {_CASES} SELECT case_id, labels, round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(ndcg, 6) AS ndcg FROM metrics"
+CASE_METRICS = f"WITH {_CASES} SELECT case_id, labels, CAST(round(recall * 1e6) AS BIGINT) / 1e6 AS recall, CAST(round(mrr * 1e6) AS BIGINT) / 1e6 AS mrr, CAST(round(ndcg * 1e6) AS BIGINT) / 1e6 AS ndcg FROM metrics"
 
 
 def evaluation_summary(spark, folder):
@@ -323,7 +323,7 @@ def evaluation_summary(spark, folder):
     s = evaluation.summarize(labelled)
     return s.select(
         F.coalesce("category", F.lit("(all)")).alias("category"), "queries", "scored_queries", "unlabelled_queries", "incomplete_queries", "output_bytes",
-        *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg", "max_ms")],
+        *[micro(c).alias(c) for c in ("recall", "mrr", "ndcg", "max_ms")],
     )
 
 
@@ -331,7 +331,7 @@ EVALUATION_SUMMARY = f"""WITH {_CASES}, cases AS (SELECT source AS case_id, min(
 j AS (SELECT c.*, m.labels, m.recall, m.mrr, m.ndcg FROM cases c LEFT JOIN metrics m USING (case_id))
 SELECT coalesce(category, '(all)') AS category, count(*) AS queries, count(labels) AS scored_queries, count(*) - count(labels) AS unlabelled_queries,
   CAST(sum(CAST(incomplete AS INT)) AS BIGINT) AS incomplete_queries, CAST(sum(bytes) AS BIGINT) AS output_bytes,
-  round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, round(max(ms), 6) AS max_ms
+  CAST(round(avg(recall) * 1e6) AS BIGINT) / 1e6 AS recall, CAST(round(avg(mrr) * 1e6) AS BIGINT) / 1e6 AS mrr, CAST(round(avg(ndcg) * 1e6) AS BIGINT) / 1e6 AS ndcg, CAST(round(max(ms) * 1e6) AS BIGINT) / 1e6 AS max_ms
 FROM j GROUP BY ROLLUP (category)"""
 
 

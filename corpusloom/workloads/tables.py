@@ -14,6 +14,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def micro(value, scale: float = 1e6):
+    """A rounded double that any engine reproduces bit by bit: a whole number divided once."""
+    column = F.col(value) if isinstance(value, str) else value
+    return F.round(column * scale).cast("long") / F.lit(scale)
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spread(table(spark, folder, "documents"))
 

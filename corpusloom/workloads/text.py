@@ -11,7 +11,7 @@ from corpusloom.operators import redact, structure
 from corpusloom.session import spread
 from corpusloom.sources.notes import is_selected
 from corpusloom.workloads import sql as q
-from corpusloom.workloads.tables import documents, notes, table
+from corpusloom.workloads.tables import documents, micro, notes, table
 
 CHECKED_RULES = ("email-address", "ipv4-address", "credential-assignment")
 EMAIL = r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"
@@ -79,10 +79,10 @@ def capture_times(spark, folder):
         .when(F.col("event_type") == "error", stamp)
         .otherwise(F.concat(stamp, F.lit(" soon")))
     )
-    return table(spark, folder, "events").select("event_id", F.round(md.strict_epoch(written), 3).alias("epoch"))
+    return table(spark, folder, "events").select("event_id", micro(md.strict_epoch(written), 1e3).alias("epoch"))
 
 
-CAPTURE_TIMES = """SELECT event_id, round(CASE event_type WHEN 'view' THEN epoch(ts) WHEN 'click' THEN epoch(ts) - 7200 END, 3) AS epoch FROM events"""
+CAPTURE_TIMES = """SELECT event_id, CAST(round(CASE event_type WHEN 'view' THEN epoch(ts) WHEN 'click' THEN epoch(ts) - 7200 END * 1e3) AS BIGINT) / 1e3 AS epoch FROM events"""
 
 
 def page_addresses(spark, folder):

@@ -12,7 +12,7 @@ from corpusloom.sources.change_requests import change_request_notes
 from corpusloom.sources.notes import check_identity
 from corpusloom.session import shared_folder
 from corpusloom.workloads import sql as q
-from corpusloom.workloads.tables import benchmark_queries, documents, notes, table
+from corpusloom.workloads.tables import benchmark_queries, documents, micro, notes, table
 from corpusloom.workloads.text import _MASKED
 
 # Two snapshots of the documents: es is new after, fr is gone after, de was edited, and
@@ -199,10 +199,10 @@ def catalog_search(spark, folder):
     stored = catalog.build(notes(spark, folder), f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
     index = stored.index()
     scores = lexical.bm25(lexical.query_terms(benchmark_queries(spark, folder)), index.postings, index.stats, index.frequencies)
-    return ranking.top_k(scores, 8).select("query_id", "uri", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+    return ranking.top_k(scores, 8).select("query_id", "uri", F.col("rank").cast("long").alias("rank"), micro("score").alias("score"))
 
 
-CATALOG_SEARCH = f"WITH {q.bm25()}, {q.ranked('scores', 8)} SELECT query_id, uri, rank, round(score, 6) AS score FROM ranked"
+CATALOG_SEARCH = f"WITH {q.bm25()}, {q.ranked('scores', 8)} SELECT query_id, uri, rank, CAST(round(score * 1e6) AS BIGINT) / 1e6 AS score FROM ranked"
 
 
 def identity_errors(spark, folder):
