@@ -19,12 +19,8 @@ def top_k(scores: DataFrame, k: int, key: str = "query_id", tie: str = "uri") ->
     Spark limits each map task to k rows per query before the shuffle
     (WindowGroupLimit), so a query that matches everything stays cheap.
     """
-    order = Window.partitionBy(key).orderBy(F.desc("score"), tie)
-    return (
-        scores.withColumn("score", F.round("score", RANK_DIGITS))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= k)
-    )
+    order = Window.partitionBy(key).orderBy(F.round("score", RANK_DIGITS).desc(), tie)
+    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def first_occurrences(route: DataFrame, limit: int = ROUTE_LIMIT) -> DataFrame:

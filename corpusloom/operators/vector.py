@@ -51,12 +51,12 @@ def vector_topk(
     def tile(vec: pd.DataFrame, que: pd.DataFrame) -> pd.DataFrame:
         if vec.empty or que.empty:
             return pd.DataFrame({name: pd.Series(dtype=object) for name in ("query_id", "uri", "score")})
-        scores = np.round(unit(que["vector"]) @ unit(vec["vector"]).T, RANK_DIGITS)
+        scores = unit(que["vector"]) @ unit(vec["vector"]).T
         # Best score per uri first, then the k best uris: ties follow the uri order.
         order = np.argsort(vec["uri"].to_numpy(), kind="stable")
         uris, starts = np.unique(vec["uri"].to_numpy()[order], return_index=True)
         best = np.maximum.reduceat(scores[:, order], starts, axis=1)
-        picked = np.argsort(-best, axis=1, kind="stable")[:, :k]
+        picked = np.argsort(-np.round(best, RANK_DIGITS), axis=1, kind="stable")[:, :k]
         return pd.DataFrame(
             {
                 "query_id": np.repeat(que["query_id"].to_numpy(), picked.shape[1]),
