@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import quality_rules
+from corpusloom.llm import quality_rules, shard_tree
 
 QUERIES = {
+    "op9_weighted_hash_tree": (shard_tree.op9_weighted_hash_tree, shard_tree.ORACLE_SQL),
     "op10_quality_rules": (quality_rules.op10_quality_rules, quality_rules.ORACLE_SQL),
 }
