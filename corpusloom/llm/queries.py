@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import quality_rules, shard_tree, url_filter
+from corpusloom.llm import license_scan, quality_rules, shard_tree, url_filter
 
 QUERIES = {
     "op1_url_language_model": (url_filter.op1_url_language_model, None),
+    "op6_license_diagonals": (license_scan.op6_license_diagonals, None),
     "op9_weighted_hash_tree": (shard_tree.op9_weighted_hash_tree, shard_tree.ORACLE_SQL),
     "op10_quality_rules": (quality_rules.op10_quality_rules, quality_rules.ORACLE_SQL),
 }
