@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, decontaminate, language_id, license_scan, quality_rules, shard_tree, url_filter
+from corpusloom.llm import byte_bpe, decontaminate, language_id, license_scan, pseudonyms, quality_rules, shard_tree, url_filter
 
 QUERIES = {
     "op1_url_language_model": (url_filter.op1_url_language_model, None),
     "op3_spaced_seeds": (decontaminate.op3_spaced_seeds, None),
     "op4_language_hierarchy": (language_id.op4_language_hierarchy, None),
     "op6_license_diagonals": (license_scan.op6_license_diagonals, None),
+    "op7_feistel_pseudonyms": (pseudonyms.op7_feistel_pseudonyms, None),
     "op8_byte_bpe": (byte_bpe.op8_byte_bpe, None),
     "op9_weighted_hash_tree": (shard_tree.op9_weighted_hash_tree, shard_tree.ORACLE_SQL),
     "op10_quality_rules": (quality_rules.op10_quality_rules, quality_rules.ORACLE_SQL),
