@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import byte_bpe, decontaminate, language_id, license_scan, pseudonyms, quality_rules, set_join, shard_tree, url_filter
+from corpusloom.llm import block_anchors, byte_bpe, decontaminate, language_id, license_scan, pseudonyms, quality_rules, set_join, shard_tree, url_filter
 
 QUERIES = {
     "op1_url_language_model": (url_filter.op1_url_language_model, None),
     "op2_chosen_path_join": (set_join.op2_chosen_path_join, None),
     "op3_spaced_seeds": (decontaminate.op3_spaced_seeds, None),
     "op4_language_hierarchy": (language_id.op4_language_hierarchy, None),
+    "op5_block_anchors": (block_anchors.op5_block_anchors, None),
     "op6_license_diagonals": (license_scan.op6_license_diagonals, None),
     "op7_feistel_pseudonyms": (pseudonyms.op7_feistel_pseudonyms, None),
     "op8_byte_bpe": (byte_bpe.op8_byte_bpe, None),
