@@ -68,45 +68,60 @@ def repeated_words(tokens: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(tokens) > width, found).otherwise(F.lit(0).cast("long"))
 
 
+def assess(text: Column, rules=RULES) -> Column:
+    """Counts, ratios, the names of failed rules and the verdict, as one struct.
+
+    The parts are bound inside one expression, so a filter on the verdict holds it once
+    however many rules read a count.
+    """
+    value = F.coalesce(text, F.lit(""))
+    named = lambda **parts: F.struct(*[c.alias(n) for n, c in parts.items()])
+
+    def counted(split: Column) -> Column:
+        tokens, lines = split["words"], split["lines"]
+        return named(
+            n_words=F.size(tokens).cast("long"),
+            word_chars=F.length(F.translate(value, " \t\n\x0b\x0c\r", "")).cast("long"),
+            n_symbols=F.regexp_count(value, F.lit(SYMBOLS)).cast("long"),
+            n_dup_lines=(F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
+            n_repeat_words=repeated_words(tokens),
+            shouts=F.regexp_count(value, F.lit(SHOUTS)),
+            stops=F.size(F.filter(tokens, lambda w: w.isin(*STOP_WORDS))),
+            lines=F.size(lines),
+        )
+
+    def rated(c: Column) -> Column:
+        share = lambda part, whole: c[part] / F.greatest(c[whole], F.lit(1))
+        return named(
+            **{n: c[n] for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")},
+            base_failed=(c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"]),
+            word_length=share("word_chars", "n_words"),
+            symbol_ratio=share("n_symbols", "n_words"),
+            shout_ratio=share("shouts", "n_words"),
+            stop_ratio=share("stops", "n_words"),
+            dup_line_ratio=share("n_dup_lines", "lines"),
+        )
+
+    def judged(m: Column) -> Column:
+        beyond = {"below": lambda c, t: c < t, "above": lambda c, t: c > t}
+        failed = [F.when((m["n_words"] >= least) & beyond[side](m[name], F.lit(limit)), F.lit(rule)) for rule, name, side, limit, least in rules]
+        kept = lambda reasons: named(reasons=reasons, kept=~m["base_failed"] & (F.size(reasons) == 0))
+        return named(measures=m, verdict=let(F.array_compact(F.array(*failed)), kept))
+
+    lines = F.filter(F.split(value, "\n", -1), lambda x: x.rlike(f"[^{BLANK[1:]}"))
+    return let(named(words=words(text), lines=lines), lambda split: let(let(counted(split), rated), judged))
+
+
 def measure(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with counts, ratios, the names of failed rules and the verdict ``kept``."""
-    source = docs.drop(*[c for c in RESULT if c in docs.columns and c != text])
-    value = F.coalesce(F.col(text), F.lit(""))
-    counted = source.withColumns({"_words": words(F.col(text)), "_lines": F.filter(F.split(value, "\n", -1), lambda x: x.rlike(f"[^{BLANK[1:]}"))})
-    tokens, lines = F.col("_words"), F.col("_lines")
-    counted = counted.withColumns(
-        {
-            "n_words": F.size(tokens).cast("long"),
-            "word_chars": F.length(F.translate(value, " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": F.regexp_count(value, F.lit(SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-            "n_repeat_words": repeated_words(tokens),
-            "_shouts": F.regexp_count(value, F.lit(SHOUTS)),
-            "_stops": F.size(F.filter(tokens, lambda w: w.isin(*STOP_WORDS))),
-            "_n_lines": F.size(lines),
-        }
-    ).drop("_words", "_lines")
-    per_word = lambda c: F.col(c) / F.greatest(F.col("n_words"), F.lit(1))
-    rated = counted.withColumns(
-        {
-            "word_length": per_word("word_chars"),
-            "symbol_ratio": per_word("n_symbols"),
-            "shout_ratio": per_word("_shouts"),
-            "stop_ratio": per_word("_stops"),
-            "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)),
-            "base_failed": (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")),
-        }
-    )
-    beyond = {"below": lambda c, t: c < t, "above": lambda c, t: c > t}
-    failed = [F.when((F.col("n_words") >= least) & beyond[side](F.col(name), F.lit(limit)), F.lit(rule)) for rule, name, side, limit, least in rules]
-    judged = rated.withColumn("reasons", F.array_compact(F.array(*failed)))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.size("reasons") == 0)).drop("_shouts", "_stops", "_n_lines")
+    source = docs.withColumn("_assessed", assess(F.col(text), rules))
+    rest = [c for c in docs.columns if c not in RESULT]
+    return source.select(*rest, "_assessed.measures.*", "_assessed.verdict.*")
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The documents that pass, with their own columns."""
-    verdict = measure(docs.select("*", F.struct("*").alias("_row")), text, rules)
-    return verdict.filter("kept").select("_row.*")
+    return docs.filter(assess(F.col(text), rules)["verdict"]["kept"])
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
