@@ -119,7 +119,7 @@ def scan(docs: DataFrame, grams: DataFrame, id_column: str = "doc_id", text: str
         names(found).alias("labels"),
         F.max("coverage").alias("score"),
     )
-    counted = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
+    counted = F.regexp_count(lowered(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD)).cast("long")
     thin = docs.select(F.col(id_column), counted.alias("n_words"), F.xxhash64(text).alias("_hash"))
     both = thin.join(finds, thin[id_column].eqNullSafe(finds["id"]) & (thin["_hash"] == finds["text_hash"]), "left")
     blank = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
