@@ -14,7 +14,6 @@ WEB = r"(?i)^https?:"
 SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 INVALID = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*[\[\]]"
 VALID_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@\[\]]*@)?\[[0-9A-Fa-f:.]+\](?::\d*)?(?:[/?#]|$)"
-MAX_OWNERS = 64
 LINE_ANCHOR = r"^L(\d+)(?:-L?(\d+))?$"
 
 
@@ -38,9 +37,8 @@ def link_targets(notes: DataFrame, found: DataFrame, code_files: DataFrame | Non
 
     Order: exact note URI, another note's source address, a pinned remote code file, a
     local note path, a local code file. Several matches make one ambiguous edge each.
-    Every stage is an equi-join on one key. An address that more than 64 notes record gets
-    one ambiguous edge to the address itself instead of one per owner; ``address_owners``
-    completes it, and links never multiply with owners.
+    Every stage is an equi-join on one key that adaptive execution may split, so an address
+    that very many notes record or link is spread over tasks.
     """
     own = notes.select("uri", F.col("path").alias("own_path"))
     bad = F.col("target").rlike(INVALID) & ~F.col("target").rlike(VALID_HOST)
@@ -55,32 +53,30 @@ def link_targets(notes: DataFrame, found: DataFrame, code_files: DataFrame | Non
         .when(F.startswith(raw_path, F.lit("/")), normal_path(raw_path))
         .otherwise(normal_path(F.concat(base, raw_path))),
     )
+    if "at" not in found.columns:
+        found = found.withColumn("at", F.lit(0))
     asked = (
         found.where(~bad)
+        .groupBy("uri", "line", "target", "field")
+        .agg(F.min("at").alias("at"))
         .join(own, "uri")
         .select(
             "uri",
             "line",
             "target",
             "field",
+            "at",
             F.coalesce(F.try_url_decode(F.replace(F.regexp_extract("target", r"#(.*)$", 1), F.lit("+"), F.lit("%2B"))), F.lit("")).alias("fragment"),
             F.when(web, normal_url(F.col("target"))).alias("address"),
             local.alias("local"),
         )
-        .distinct()
         .withColumn("link_id", F.sha2(F.concat_ws("\0", "uri", F.coalesce("line", F.lit(0)), "target", F.coalesce("field", F.lit(""))), 256))
     )
     # Links are found once; five resolution stages and the final join read them.
     asked = materialize(asked, "links")
     empty = F.lit(None).cast("string")
     by_uri = notes.select(F.col("uri").alias("target"), F.col("uri").alias("hit"))
-    owners = address_owners(notes)
-    crowd = owners.groupBy("address").agg(F.count(F.lit(1)).alias("owners"))
-    by_source = (
-        owners.join(crowd.where(F.col("owners") <= MAX_OWNERS).select("address"), "address", "left_semi")
-        .select("address", F.col("owner").alias("hit"))
-        .unionByName(crowd.where(F.col("owners") > MAX_OWNERS).select("address", F.col("address").alias("hit")))
-    )
+    by_source = address_owners(notes).select("address", F.col("owner").alias("hit"))
     by_path = notes.select(F.col("path").alias("local"), F.col("uri").alias("hit"))
     record = F.struct(empty.alias("source_id"), empty.alias("source_path"), empty.alias("source_sha256"), F.lit(None).cast("int").alias("line_count"))
     stages = [
@@ -113,8 +109,7 @@ def link_targets(notes: DataFrame, found: DataFrame, code_files: DataFrame | Non
     counts = chosen.groupBy("link_id").agg(F.count(F.lit(1)).alias("n"))
     resolved = asked.join(chosen.join(counts, "link_id"), "link_id", "left")
     status = (
-        F.when((F.col("n") == 1) & (F.col("priority") == 1) & (F.col("hit") == F.col("address")), F.lit("ambiguous"))
-        .when(F.col("n") == 1, F.lit("resolved"))
+        F.when(F.col("n") == 1, F.lit("resolved"))
         .when(F.col("n") > 1, F.lit("ambiguous"))
         .when(F.col("address").isNotNull(), F.lit("external_unchecked"))
         .when(F.col("local").isNotNull(), F.lit("outside_snapshot"))
@@ -142,6 +137,7 @@ def link_targets(notes: DataFrame, found: DataFrame, code_files: DataFrame | Non
         F.col("record.source_id").alias("source_id"),
         F.col("record.source_path").alias("source_path"),
         empty.alias("symbol_id"),
+        "at",
     )
     return edges, gaps
 
@@ -175,6 +171,7 @@ def symbol_mentions(notes: DataFrame, symbols: DataFrame, limit: int = 8) -> tup
             "source_id",
             F.col("path").alias("source_path"),
             "symbol_id",
+            F.lit(0).alias("at"),
         )
     )
     gaps = said.join(counts.where(F.col("candidates") > limit), "mention").select(
@@ -184,17 +181,23 @@ def symbol_mentions(notes: DataFrame, symbols: DataFrame, limit: int = 8) -> tup
 
 
 def build_edges(notes: DataFrame, code_files: DataFrame | None = None, symbols: DataFrame | None = None, symbol_limit: int = 8) -> tuple[DataFrame, DataFrame]:
-    """All relation edges of the notes, one per (source, target, kind, line, field), and gaps."""
-    found = links(notes).withColumn("field", F.lit(None).cast("string"))
+    """All relation edges of the notes, one per (source, target, kind, line, field), and gaps.
+
+    Of several links in one line to one target, the one that stands first is kept.
+    """
+    found = links(notes, positions=True).withColumn("field", F.lit(None).cast("string"))
     if "source" in notes.columns:
-        found = found.unionByName(metadata_links(notes))
+        found = found.unionByName(metadata_links(notes).withColumn("at", F.lit(0)))
     else:
         notes = notes.withColumn("source", F.lit(None).cast("map<string,string>"))
     edges, gaps = link_targets(notes, found, code_files)
     if symbols is not None:
         more, clipped = symbol_mentions(notes, symbols, symbol_limit)
         edges, gaps = edges.unionByName(more), gaps.unionByName(clipped)
-    return edges.dropDuplicates(["source", "target", "kind", "line", "field"]), gaps
+    key = ["source", "target", "kind", "line", "field"]
+    rest = F.struct(*[c for c in edges.columns if c not in (*key, "at")])
+    first = edges.groupBy(*key).agg(F.min_by(rest, F.struct("at", "fragment", "source_id", "symbol_id")).alias("first"))
+    return first.select(*key, "first.*").select(*[c for c in edges.columns if c != "at"]), gaps
 
 
 def limited(rows: DataFrame, limit: int, order: list, per: str | None = None) -> DataFrame:

@@ -192,9 +192,11 @@ def unfenced_lines(notes: DataFrame) -> DataFrame:
     return flagged.select("uri", F.inline_outer(marked)).where(~F.col("fenced")).drop("fenced")
 
 
-def links(notes: DataFrame) -> DataFrame:
+def links(notes: DataFrame, positions: bool = False) -> DataFrame:
     """(uri, line, target): inline, reference-style and automatic links outside fences.
 
+    With ``positions`` also ``at``, the order of a link within its line.
+
     One pass finds links, references and definitions; a window per (note, label) then
     gives references their definition, so texts are read once and only findings move.
     """
@@ -218,14 +220,15 @@ def links(notes: DataFrame) -> DataFrame:
         each(AUTOLINK, 1, lambda m: item("link", None, m)),
     )
     entries = F.when(F.col("text").rlike(DEFINITION), definition).when(F.col("text").rlike(r"[\[<]"), uses)
-    found = unfenced_lines(notes).select("uri", "line", F.inline_outer(entries)).where("kind is not null")
+    found = unfenced_lines(notes).select("uri", "line", F.posexplode_outer(entries).alias("at", "e")).select("uri", "line", "at", "e.*")
+    found = found.where("kind is not null")
     is_definition = F.col("kind") == "definition"
     label = Window.partitionBy("uri", "label")
     defined = F.max_by(F.when(is_definition, F.col("target")), F.when(is_definition, F.col("line"))).over(label)
     return (
         found.withColumn("target", F.when(F.col("kind") == "reference", defined).otherwise(F.col("target")))
         .where(~is_definition & (F.col("target") != ""))
-        .select("uri", "line", "target")
+        .select("uri", "line", "target", *(["at"] if positions else []))
     )
 
 
