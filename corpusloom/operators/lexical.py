@@ -8,14 +8,13 @@ from pyspark.sql import functions as F
 from corpusloom.functions import markdown as md
 from corpusloom.functions.text import let, merge_term_counts, term_counts, token_count, tokens
 
-# Terms used per query, alias weight, field weights of the catalog ranking.
-MAX_QUERY_TERMS = 32
+# Alias weight, field weights of the catalog ranking.
 ALIAS_WEIGHT = 0.5
 FIELD_WEIGHTS = {"title": 2.0, "body": 1.0, "aliases": 0.5}
 
 
-def query_terms(queries: DataFrame, limit: int | None = MAX_QUERY_TERMS) -> DataFrame:
-    """queries(query_id, text) -> (query_id, term): distinct terms, the first ``limit``."""
+def query_terms(queries: DataFrame, limit: int | None = None) -> DataFrame:
+    """queries(query_id, text) -> (query_id, term): distinct terms; the first ``limit`` on request."""
     distinct = F.array_distinct(tokens(F.col("text")))
     kept = F.slice(distinct, 1, limit) if limit else distinct
     return queries.select("query_id", F.explode_outer(kept).alias("term")).where("term is not null")
@@ -115,7 +114,7 @@ def bm25(terms_by_query: DataFrame, posts: DataFrame, stats: DataFrame, frequenc
     )
 
 
-def lexical_search(queries: DataFrame, notes: DataFrame, weights: dict[str, float] | None = None, limit: int | None = MAX_QUERY_TERMS) -> DataFrame:
+def lexical_search(queries: DataFrame, notes: DataFrame, weights: dict[str, float] | None = None, limit: int | None = None) -> DataFrame:
     """BM25 straight from notes, without stored postings."""
     return bm25(
         query_terms(queries, limit), postings(note_terms(notes, weights)), corpus_stats(note_lengths(notes, weights))

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 # Float sums depend on the order of their terms, so ranks compare rounded scores.
 RANK_DIGITS = 9
-# Rank constant of the fusion votes, boost of a preferred topic, route length.
+# Rank constant of the fusion votes, boost of a preferred topic.
 RANK_CONSTANT = 60
 TOPIC_BOOST = 1.25
-ROUTE_LIMIT = 192
+
+
+def ranked(scores: DataFrame, key: str = "query_id", tie: str = "uri") -> DataFrame:
+    """All rows with their rank per query by (-score, tie)."""
+    order = Window.partitionBy(key).orderBy(F.round("score", RANK_DIGITS).desc(), tie)
+    return scores.withColumn("rank", F.row_number().over(order))
 
 
 def top_k(scores: DataFrame, k: int, key: str = "query_id", tie: str = "uri") -> DataFrame:
@@ -19,20 +24,19 @@ def top_k(scores: DataFrame, k: int, key: str = "query_id", tie: str = "uri") ->
     Spark limits each map task to k rows per query before the shuffle
     (WindowGroupLimit), so a query that matches everything stays cheap.
     """
-    order = Window.partitionBy(key).orderBy(F.round("score", RANK_DIGITS).desc(), tie)
-    return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked(scores, key, tie).where(F.col("rank") <= k)
 
 
-def first_occurrences(route: DataFrame, limit: int = ROUTE_LIMIT) -> DataFrame:
+def first_occurrences(route: DataFrame) -> DataFrame:
     """Drop repeats of a uri within a query, keep the route's order, re-rank without gaps.
 
-    route(query_id, uri, position, score): a repeat never moves the ranks behind it. A
-    route is a top list, so each task passes on its first ``limit`` rows per query only.
+    route(query_id, uri, position, score): a repeat never moves the ranks behind it.
+    Repeats are combined map-side; a route is as long as its caller asked for.
     """
     first = route.groupBy("query_id", "uri").agg(F.min_by(F.struct("position", "score"), "position").alias("hit"))
     flat = first.select("query_id", "uri", F.col("hit.position").alias("position"), F.col("hit.score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("position", "uri")
-    return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("position")
+    return flat.withColumn("rank", F.row_number().over(order)).drop("position")
 
 
 def best_per_uri(hits: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGEST_LEVELS = (5, 2)
-MAX_MANIFEST_FILES = 1024
 
 
 def _fold(rows: DataFrame, groups: list[Column], name: str, text: Column) -> DataFrame:
@@ -14,37 +13,30 @@ def _fold(rows: DataFrame, groups: list[Column], name: str, text: Column) -> Dat
     return rows.groupBy(*groups).agg(F.sha2(joined, 256).alias("digest"))
 
 
-def corpus_digest(rows: DataFrame, key: str = "path", value: str = "sha256", levels: tuple[int, ...] = DIGEST_LEVELS) -> DataFrame:
-    """One hash over all (key, value) rows of any number, as a tree of hashes.
+def corpus_digest(rows: DataFrame, key: str = "path", value: str = "sha256", levels: tuple[int, ...] = DIGEST_LEVELS, per: tuple[str, ...] = ()) -> DataFrame:
+    """One hash over all (key, value) rows of any number, as a tree of hashes; one for each
+    combination of the ``per`` columns.
 
     Rows group by the leading hex digits of sha256(key), each group hashes its lines in
     key order, and the group hashes are hashed again level by level. Keys are unique, so
     groups are even and small at every level and no task sees the whole table. The default
     has 16^5 leaves: a billion rows make groups of about a thousand lines.
     """
+    own = [F.col(c) for c in per]
     line = F.concat(F.col(key), F.lit("\0"), F.col(value), F.lit("\n"))
-    keyed = rows.select(F.col(key), F.col(value), F.sha2(F.col(key), 256).alias("hex"))
-    current = _fold(keyed, [F.left("hex", F.lit(levels[0])).alias("node")], key, line)
+    keyed = rows.select(*own, F.col(key), F.col(value), F.sha2(F.col(key), 256).alias("hex"))
+    current = _fold(keyed, [*own, F.left("hex", F.lit(levels[0])).alias("node")], key, line)
     for width in (*levels[1:], 0):
         parent = F.left("node", F.lit(width)).alias("parent")
-        current = _fold(current, [parent], "node", F.concat("node", F.lit("\0"), "digest", F.lit("\n"))).withColumnRenamed("parent", "node")
-    return current.select("digest")
+        current = _fold(current, [*own, parent], "node", F.concat("node", F.lit("\0"), "digest", F.lit("\n"))).withColumnRenamed("parent", "node")
+    return current.select(*own, "digest")
 
 
 def manifest_digest(rows: DataFrame, *keys: str, path: str = "path", value: str = "sha256") -> DataFrame:
-    """Flat digest over ``path NUL hash`` lines in path order, for manifests.
-
-    A manifest holds at most 1024 files. A larger one yields NULL here instead of a
-    huge group; use ``corpus_digest`` for whole corpora.
-    """
-    ranked = rows.select(*keys, path, value).withColumn(
-        "at", F.row_number().over(Window.partitionBy(*keys, F.lit(0)).orderBy(path))
-    ).where(F.col("at") <= MAX_MANIFEST_FILES + 1)
-    line = F.concat(F.col(path), F.lit("\0"), F.col(value), F.lit("\n"))
-    text = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("at", line.alias("line")))), lambda r: r["line"]))
-    return ranked.groupBy(*keys).agg(
-        F.when(F.count(F.lit(1)) <= MAX_MANIFEST_FILES, F.sha2(text, 256)).alias("digest"), F.count(F.lit(1)).alias("files")
-    )
+    """Digest and number of files of each manifest, of any size."""
+    digests = corpus_digest(rows, path, value, per=keys)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("files"))
+    return digests.join(counts, list(keys)) if keys else digests.crossJoin(counts)
 
 
 def diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:

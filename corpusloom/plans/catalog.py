@@ -23,12 +23,14 @@ ENTRY = ("uri", "root", "path", "stat_key", "fingerprint")
 
 @dataclass(frozen=True)
 class Catalog:
-    """One stored snapshot; ``full`` means that it holds every valid row itself."""
+    """One stored snapshot; ``full`` means that it holds every valid row itself. No valid row
+    is older than ``floor``, the last snapshot that was full."""
 
     spark: SparkSession
     root: str
     generation: int
     full: bool
+    floor: int = 0
 
     def entries(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/entries/snapshot={self.generation}")
@@ -36,7 +38,7 @@ class Catalog:
     def table(self, name: str) -> DataFrame:
         if self.full:
             return self.spark.read.parquet(f"{self.root}/{name}/snapshot={self.generation}")
-        rows = self.spark.read.parquet(f"{self.root}/{name}").where(F.col("snapshot") <= self.generation)
+        rows = self.spark.read.parquet(f"{self.root}/{name}").where(F.col("snapshot").between(self.floor, self.generation))
         valid = self.entries().select("uri", F.col("written").alias("snapshot"))
         return rows.join(valid, ["uri", "snapshot"], "left_semi").drop("snapshot")
 
@@ -69,8 +71,10 @@ def latest(spark: SparkSession, root: str) -> Catalog | None:
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/snapshots")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    row = spark.read.parquet(f"{root}/snapshots").agg(F.max(F.struct("generation", "full")).alias("s")).first()["s"]
-    return Catalog(spark, root, row["generation"], row["full"])
+    row = spark.read.parquet(f"{root}/snapshots").agg(
+        F.max(F.struct("generation", "full")).alias("s"), F.max(F.when(F.col("full"), F.col("generation"))).alias("floor")
+    ).first()
+    return Catalog(spark, root, row["s"]["generation"], row["s"]["full"], row["floor"] or 0)
 
 
 def _publish(spark: SparkSession, root: str, generation: int, previous: int | None, full: bool, errors: int) -> Catalog:
@@ -79,7 +83,7 @@ def _publish(spark: SparkSession, root: str, generation: int, previous: int | No
     row = [(generation, previous, full, notes, errors, "partial" if errors else "ready")]
     schema = "generation int, previous int, full boolean, documents long, errors long, status string"
     spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
-    return Catalog(spark, root, generation, full)
+    return latest(spark, root)
 
 
 def build(notes: DataFrame, root: str, errors: int = 0) -> Catalog:

@@ -16,7 +16,6 @@ from corpusloom.session import materialize
 
 # How far each route reads beyond the wanted results.
 FETCH_FACTOR, MIN_FETCH = 4, 16
-CATALOG_FACTOR, MAX_CATALOG_FETCH = 3, 192
 
 
 @dataclass(frozen=True)
@@ -91,8 +90,7 @@ def lexical_route(asked: DataFrame, notes: DataFrame, fetch: int, index: Index |
     wanted = asked.select("query_id", "mode", F.explode("topics").alias("topic"))
     topics = notes.select("uri", F.explode(F.array_distinct(F.transform("topics", F.lower))).alias("topic"))
     kept = ranking.only_topics(scores, topics, wanted.where("mode = 'only'"))
-    shortlist = ranking.top_k(kept, max(1, min(fetch * CATALOG_FACTOR, MAX_CATALOG_FETCH))).drop("rank")
-    return ranking.top_k(ranking.boost_preferred(shortlist, topics, wanted).drop("preferred"), fetch)
+    return ranking.top_k(ranking.boost_preferred(kept, topics, wanted).drop("preferred"), fetch)
 
 
 def search(

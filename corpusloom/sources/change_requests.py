@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 KEY = ["repo", "number"]
+UNBOUNDED = (1 << 31) - 2
 # Sentences of the note.
 PATCH_NOTE = "API patch excerpt (the pinned file is the complete-source reference):"
 SCOPE_NOTE = (
@@ -21,13 +22,12 @@ def _pinned(kind: str, sha: str, name: Column) -> Column:
 
 
 def _first(items: DataFrame, order: list, limit: int) -> DataFrame:
-    """The bounded head of each request's list; one row beyond the bound marks overflow."""
+    """Each request's list, up to one row beyond the bound, which marks overflow."""
     at = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order))
     return items.withColumn("at", at).where(F.col("at") <= limit + 1)
 
 
 def _section(rows: DataFrame, limit: int, name: str) -> DataFrame:
-    # At most ``limit`` rendered items per request, so the joined text stays bounded.
     return rows.groupBy(*KEY).agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.when(F.col("at") <= limit, F.struct("at", "block")))), lambda r: r["block"]), "\n"
@@ -38,15 +38,17 @@ def _section(rows: DataFrame, limit: int, name: str) -> DataFrame:
 
 
 def change_request_notes(
-    requests: DataFrame, files: DataFrame, comments: DataFrame, reviews: DataFrame, max_items: int = 300, site: str = "https://github.com"
+    requests: DataFrame, files: DataFrame, comments: DataFrame, reviews: DataFrame, max_items: int | None = None, site: str = "https://github.com"
 ) -> DataFrame:
     """One row per request: name, text, location, complete flag.
 
     requests(repo, number, title, state, merged, body, base_sha, head_sha, changed_files);
     files(repo, number, position, filename, previous_filename, status, additions,
     deletions, patch); comments and reviews(repo, number, position, html_url,
-    updated_at, login, body).
+    updated_at, login, body). With ``max_items`` a note lists that many files and
+    contributions of each kind at most, and says so by ``complete``.
     """
+    max_items = UNBOUNDED if max_items is None else max_items
     pins = requests.select(*KEY, "base_sha", "head_sha", F.concat(F.lit(site + "/"), F.col("repo")).alias("repo_url"))
     listed = _first(files, ["position"], max_items).join(pins, KEY)
     block = F.concat_ws(
@@ -84,7 +86,7 @@ def change_request_notes(
     over = said.groupBy(*KEY).agg(F.max((F.col("at") > max_items).cast("int")).alias("talk_over"))
     talk = (
         said.where(F.col("at") <= max_items)
-        .withColumn("at", F.col("group") * (max_items + 1) + F.col("at"))
+        .withColumn("at", F.struct("group", "at"))
         .groupBy(*KEY)
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "block"))), lambda r: r["block"]), "\n").alias("talk_text"))
     )

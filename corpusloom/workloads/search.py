@@ -231,19 +231,19 @@ def first_occurrences(spark, folder):
 
 
 _FIRST = "SELECT event_type AS query_id, 'user-' || user_id AS uri, min(event_id) AS pos, arg_min(value, event_id) AS score FROM events GROUP BY ALL"
-_ROUTE = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM ({_FIRST})) WHERE rank <= 192"
+_ROUTE = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM ({_FIRST})"
 FIRST_OCCURRENCES = f"SELECT query_id, uri, rank, CAST(round(score * 1e6) AS BIGINT) / 1e6 AS score FROM ({_ROUTE})"
 
 
 def rank_fusion(spark, folder):
     first, strong = _event_routes(spark, folder)
-    fused = ranking.fuse(ranking.first_occurrences(first), ranking.top_k(strong, ranking.ROUTE_LIMIT))
+    fused = ranking.fuse(ranking.first_occurrences(first), ranking.ranked(strong))
     return _rounded(ranking.top_k(fused, 50), "query_id", "uri")
 
 
 RANK_FUSION = f"""WITH vec AS (SELECT query_id, uri, rank FROM ({_ROUTE})),
 sums AS (SELECT event_type AS query_id, 'user-' || user_id AS uri, sum(value) AS score FROM events GROUP BY ALL),
-{q.ranked('sums', 192, 'lex')}, best AS (SELECT query_id, max(score) FILTER (score > 0) AS top FROM lex GROUP BY query_id),
+lex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, uri) AS rank FROM sums), best AS (SELECT query_id, max(score) FILTER (score > 0) AS top FROM lex GROUP BY query_id),
 fused AS (SELECT coalesce(v.query_id, l.query_id) AS query_id, coalesce(v.uri, l.uri) AS uri,
   greatest(coalesce(1.0 / (60 + v.rank), 0), coalesce(1.0 / (60 + l.rank), 0))
   + CASE WHEN v.uri IS NOT NULL AND score > 0 THEN least(1.0 / (60 + v.rank), 1.0 / (60 + l.rank)) * score / top ELSE 0 END AS score

@@ -69,12 +69,10 @@ docs AS (
 
 QUERY_TERMS = f"""
 words AS (
-  SELECT item_id AS query_id, unnest(w) AS term, generate_subscripts(w, 1) AS pos
+  SELECT item_id AS query_id, unnest(w) AS term
   FROM (SELECT item_id, {tokens('text')} AS w FROM benchmark)
 ), query_terms AS (
-  SELECT query_id, term FROM (
-    SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS rn FROM words GROUP BY query_id, term
-  ) WHERE rn <= 32
+  SELECT DISTINCT query_id, term FROM words
 )"""
 
 

@@ -49,7 +49,7 @@ def latest_bodies(spark, folder):
     )
     root = _place(spark, "titles")
     capture.update_stream(rows, root, _place(spark, "progress"), keep=("status",))
-    return spark.read.parquet(f"{root}/version=0").select("title", F.sha2("body", 256).alias("body_sha256"), "received", "status")
+    return spark.read.parquet(capture.latest_version(spark, root)).select("title", F.sha2("body", 256).alias("body_sha256"), "received", "status")
 
 
 LATEST_BODIES = """SELECT role || ' ' || conv_id AS title, sha256(arg_max(text, turn)) AS body_sha256, max(turn) AS received,
