@@ -147,6 +147,27 @@ def _masker(allow: Allowlist):
     return mask
 
 
+def _masked_text(text: str, allow: Allowlist) -> str:
+    parts, at = [], 0
+    for item in sorted(claims(text, allow), key=lambda f: f["start"]):
+        parts += [text[at : item["start"]], f"[redacted:{item['rule']}]"]
+        at = item["end"]
+    return "".join(parts) + text[at:]
+
+
+def mask_each(values: Column, allow: Allowlist | None = None) -> Column:
+    """Every text of an array masked on its own; arrays without a candidate skip Python."""
+    chosen = allow or Allowlist()
+
+    @F.pandas_udf("array<string>")
+    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda texts: None if texts is None else [t and _masked_text(t, chosen) for t in texts])
+
+    needed = F.exists(values, lambda v: F.coalesce(v.rlike(CANDIDATE), F.lit(False)))
+    return F.coalesce(masked(F.when(needed, values)), values)
+
+
 def findings(text: Column, allow: Allowlist | None = None) -> Column:
     """array<struct<rule,start,end,value>>; offsets are in characters from 0."""
     return _finder(allow or Allowlist())(F.when(text.rlike(CANDIDATE), text))

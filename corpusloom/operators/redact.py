@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markdown as md
-from corpusloom.functions.redaction import Allowlist, findings, mask
+from corpusloom.functions.redaction import Allowlist, findings, mask, mask_each
 from corpusloom.functions.text import content_hash
 
 # Reasons and states of a public copy.
@@ -111,10 +111,11 @@ def queue_public_copies(copies: DataFrame, queue: DataFrame) -> DataFrame:
     )
 
 
-def _mask_array(values, allow):
-    # One UDF call per row: the parts are joined by a character no text line contains.
-    joined = mask(F.array_join(values, "\x00"), allow)["text"]
-    return F.when(F.size(values) > 0, F.split(joined, "\x00", -1)).otherwise(values)
+def _last_wins(keys, values):
+    """A map in which, of several equal keys, the last one counts."""
+    later = lambda k, i: F.array_contains(F.slice(keys, i + 2, F.size(keys)), k)
+    last = F.filter(F.transform(keys, lambda k, i: F.struct(k.alias("key"), F.get(values, i).alias("value"), later(k, i).alias("again"))), lambda e: ~e["again"])
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(e["key"], e["value"])))
 
 
 def public_projection(notes: DataFrame, allow: Allowlist | None = None) -> DataFrame:
@@ -123,20 +124,26 @@ def public_projection(notes: DataFrame, allow: Allowlist | None = None) -> DataF
     notes(uri, path, raw, conditions, aliases, topics) -> public rows with
     (uri, path, text, conditions, aliases, topics, source_sha256, blocked, reason).
     """
-    keys = F.map_keys("conditions")
-    texts = F.transform("aliases", lambda a: a["text"])
-    kept = notes.select(
+    # Each value is masked alone: a pattern never sees two of them as one text.
+    safe = notes.select(
+        "*",
+        mask_each(F.map_keys("conditions"), allow).alias("_keys"),
+        mask_each(F.map_values("conditions"), allow).alias("_values"),
+        mask_each(F.transform("aliases", lambda a: a["text"]), allow).alias("_texts"),
+        mask_each(F.col("topics"), allow).alias("_topics"),
+    )
+    kept = safe.select(
         "uri",
         "path",
-        F.map_from_arrays(_mask_array(keys, allow), _mask_array(F.map_values("conditions"), allow)).alias("conditions"),
+        _last_wins(F.col("_keys"), F.col("_values")).alias("conditions"),
         F.zip_with(
             "aliases",
-            _mask_array(texts, allow),
+            "_texts",
             lambda a, t: F.struct(
                 t.alias("text"), F.coalesce(a["relation"], F.lit("related")).alias("relation"), a["scope"].alias("scope")
             ),
         ).alias("aliases"),
-        _mask_array(F.col("topics"), allow).alias("topics"),
+        F.col("_topics").alias("topics"),
     )
     copies = public_copies(notes, allow).select("uri", "text", "blocked", "reason")
     unsafe = ~md.is_safe_relative(F.col("path")) | (F.size(findings(F.col("path"), allow)) > 0)

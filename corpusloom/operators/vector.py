@@ -17,6 +17,13 @@ def _tiles(df: DataFrame, key: str, size: int) -> int:
     return max(1, -(-df.count() // size))
 
 
+def usable(vector) -> F.Column:
+    """A vector that can be ranked: present, not empty, every number finite.
+    ``audit_vectors`` counts the others."""
+    finite = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))
+    return F.coalesce((F.size(vector) > 0) & F.forall(vector, finite), F.lit(False))
+
+
 def vector_topk(
     queries: DataFrame, vectors: DataFrame, k: int, tile_vectors: int = TILE_VECTORS, tile_queries: int = TILE_QUERIES
 ) -> DataFrame:
@@ -28,6 +35,7 @@ def vector_topk(
     small matrices and returns only its k best per query. Nothing is broadcast or
     collected, and no pair row leaves a task.
     """
+    vectors, queries = vectors.where(usable(F.col("vector"))), queries.where(usable(F.col("vector")))
     rows, cols = _tiles(vectors, "uri", tile_vectors), _tiles(queries, "query_id", tile_queries)
     left = vectors.select(
         F.col("uri"),

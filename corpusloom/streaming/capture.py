@@ -67,10 +67,15 @@ def capture_stream(events: DataFrame, target: str, checkpoint: str, order: str =
 
 
 def merge_titles(previous: DataFrame, batch: DataFrame, key: str = "title", order: str = "received", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Latest body per title. Fields in ``keep`` that a newer capture leaves out stay."""
-    both = previous.unionByName(batch)
-    latest = [F.max_by(c, order).alias(c) for c in both.columns if c not in (key, *keep)]
-    retained = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in keep]
+    """Latest body per title. Fields in ``keep`` that a newer capture leaves out stay.
+
+    Captures without a body are refused. Of captures received at the same time the
+    one with the greatest body stays, whatever order they arrive in.
+    """
+    both = previous.unionByName(batch.where(F.btrim("body") != ""))
+    newest = F.struct(order, "body")
+    latest = [F.max_by(c, newest).alias(c) for c in both.columns if c not in (key, *keep)]
+    retained = [F.max_by(c, F.when(F.col(c).isNotNull(), newest)).alias(c) for c in keep]
     return both.groupBy(key).agg(*latest, *retained).select(*both.columns)
 
 
@@ -79,8 +84,8 @@ def update_stream(captures: DataFrame, root: str, checkpoint: str, keep: tuple[s
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = f"{root}/version={number - 1}"
-        old = spark.read.parquet(before) if number and _exists(spark, before) else batch.limit(0)
+        before = latest_version(spark, root, number)
+        old = batch.limit(0) if before is None else spark.read.parquet(before)
         merge_titles(old, batch, keep=keep).write.mode("overwrite").parquet(f"{root}/version={number}")
 
     query = (
@@ -93,3 +98,15 @@ def update_stream(captures: DataFrame, root: str, checkpoint: str, keep: tuple[s
 def _exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def latest_version(spark: SparkSession, root: str, before: int | None = None) -> str | None:
+    """The folder of the newest whole version (below ``before``); None without one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return None
+    names = [f.getPath().getName() for f in files.listStatus(place)]
+    whole = [int(n.split("=")[1]) for n in names if n.startswith("version=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
+    found = [v for v in whole if before is None or v < before]
+    return f"{root}/version={max(found)}" if found else None
