@@ -1,85 +1,80 @@
-"""HTML to Markdown-shaped text, as an Arrow-batched column function.
+"""HTML to Markdown-shaped text, by built-in expressions only.
 
-Hidden elements nest, so the conversion needs a parser with state; the standard
-library's one does the per-row work and Spark does everything else.
+A page is cut at its preformatted sections. Outside them runs of blanks become one, and
+each tag is replaced by the Markdown it stands for; inside them only tags go. Elements
+whose content is no text are removed first, then character references are resolved.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
+from collections.abc import Callable
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Elements that are dropped, and elements that start a line.
-HIDDEN = frozenset(("script", "style", "noscript", "template"))
-BREAKING = frozenset(("p", "div", "section", "article", "tr"))
-OPENING = {"br": "\n", "li": "\n- ", "td": " | ", "th": " | ", "pre": "\n\n````\n"}
-OPENING.update({tag: "\n" for tag in BREAKING})
-OPENING.update({f"h{n}": f"\n\n{'#' * n} " for n in range(1, 7)})
-CLOSING = {"pre": "\n````\n"}
-CLOSING.update({tag: "\n" for tag in BREAKING})
-CLOSING.update({f"h{n}": "\n" for n in range(1, 7)})
-
-DEFAULT_BUDGET = 4 * 1024 * 1024
-
-
-class _OverBudget(Exception):
-    pass
-
-
-class _Reader(HTMLParser):
-    def __init__(self, budget: int):
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.left = budget
-        self.depth = {"hidden": 0, "pre": 0}
-
-    def emit(self, piece: str | None) -> None:
-        if not piece:
-            return
-        self.left -= len(piece)
-        if self.left < 0:
-            raise _OverBudget
-        self.out.append(piece)
-
-    def handle_starttag(self, tag, attrs):
-        self.depth["hidden"] += tag in HIDDEN
-        if not self.depth["hidden"]:
-            self.depth["pre"] += tag == "pre"
-            self.emit(OPENING.get(tag))
-
-    def handle_endtag(self, tag):
-        if self.depth["hidden"]:
-            self.depth["hidden"] -= tag in HIDDEN
-            return
-        if tag == "pre" and self.depth["pre"]:
-            self.depth["pre"] -= 1
-        self.emit(CLOSING.get(tag))
-
-    def handle_data(self, data):
-        if not self.depth["hidden"]:
-            self.emit(data if self.depth["pre"] else re.sub(r"\s+", " ", data))
-
-
-def _convert(html: str | None, budget: int) -> dict:
-    reader = _Reader(budget)
-    try:
-        # A parser that is only fed, never closed, keeps an unfinished tail back.
-        reader.feed(html or "")
-    except _OverBudget:
-        return {"text": None, "partial": True}
-    return {"text": "".join(reader.out), "partial": False}
-
-
-def html_to_text(budget: int = DEFAULT_BUDGET):
-    """Column function: html -> struct<text, partial>; over budget gives no text."""
-
-    @F.pandas_udf("text string, partial boolean")
-    def convert(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([_convert(html, budget) for html in batch], columns=["text", "partial"])
+from corpusloom.functions.text import let
+
+# Elements without readable content, and what a tag becomes.
+UNREAD = r"(?is)<!--.*?-->|<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>"
+PREFORMATTED = r"(?is)</?pre\b[^>]*>"
+FENCE = "````"
+TAGS = (
+    (r"(?is)<br\b[^>]*>", "\n"),
+    (r"(?is)<li\b[^>]*>", "\n- "),
+    (r"(?is)<t[dh]\b[^>]*>", " | "),
+    (r"(?is)</?(?:p|div|section|article|tr)\b[^>]*>", "\n"),
+    *((rf"(?is)<h{n}\b[^>]*>", "\n\n" + "#" * n + " ") for n in range(1, 7)),
+    (r"(?is)</h[1-6]\s*>", "\n"),
+    (r"(?s)</?[A-Za-z!?][^>]*>", ""),
+)
+NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+NUMBERED = r"&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});"
+
+
+def _numbered(text: Column) -> Column:
+    """Character references by number; a number that is no character stays."""
+
+    def character(ref: Column) -> Column:
+        hexadecimal = F.conv(F.regexp_extract(ref, "[xX]([0-9A-Fa-f]+)", 1), 16, 10)
+        number = F.when(ref.rlike("[xX]"), hexadecimal).otherwise(F.regexp_extract(ref, "#([0-9]+)", 1)).cast("long")
+        # UTF-32 spells every code point as its number in eight digits.
+        spelled = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        return F.when(number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF), spelled).otherwise(ref)
+
+    def woven(refs: Column) -> Column:
+        between = F.split(text, NUMBERED, -1)
+        return F.array_join(F.flatten(F.transform(between, lambda part, i: F.array(part, F.coalesce(F.get(refs, i), F.lit(""))))), "")
+
+    refs = F.transform(F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(0)), character)
+    return F.when(text.contains("&#"), let(refs, woven)).otherwise(text)
+
+
+def _resolved(text: Column) -> Column:
+    out = _numbered(text)
+    for name, char in NAMED:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return out
+
+
+def _flowing(text: Column) -> Column:
+    out = F.regexp_replace(text, r"\s+", " ")
+    for pattern, mark in TAGS:
+        out = F.regexp_replace(out, pattern, mark)
+    return out
+
+
+def html_to_text(budget: int | None = None) -> Callable[[Column], Column]:
+    """Column function: html -> struct<text, partial>.
+
+    With a ``budget`` of characters a longer text is left out and marked partial.
+    """
+
+    def convert(html: Column) -> Column:
+        sections = F.split(F.regexp_replace(F.coalesce(html, F.lit("")), UNREAD, ""), PREFORMATTED, -1)
+        bare = lambda s: F.regexp_replace(s, TAGS[-1][0], "")
+        fenced = lambda s: F.concat(F.lit(f"\n\n{FENCE}\n"), bare(s), F.lit(f"\n{FENCE}\n"))
+        text = F.array_join(F.transform(sections, lambda s, i: _resolved(F.when(i % 2 == 1, fenced(s)).otherwise(_flowing(s)))), "")
+        over = (lambda t: F.lit(False)) if budget is None else (lambda t: F.length(t) > budget)
+        return let(text, lambda t: F.struct(F.when(~over(t), t).alias("text"), over(t).alias("partial")))
 
     return convert
