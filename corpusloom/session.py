@@ -21,10 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    The folder goes when the session's JVM ends, as later readers of the result need it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
