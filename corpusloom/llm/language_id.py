@@ -37,8 +37,8 @@ FAMILIES = {
 FAMILY_OF = {lang: family for family, langs in FAMILIES.items() for lang in langs}
 
 UNKNOWN = "und"
-MAX_SAMPLE = 4_000
-BITS = 13
+MAX_SAMPLE = 2_000
+BITS = 12
 CHUNK = 1 << 20
 HAS_LETTER = r"\p{L}"
 
@@ -112,7 +112,7 @@ class Identifier:
                 rows = (told == a) | (told == b)
                 self.machines.append((a, b))
                 fitted.append(fit_machine(x[rows], told[rows] == a))
-        self.weights = np.array([w for w, _ in fitted], np.float32).reshape(len(fitted), -1)
+        self.weights = np.array([w for w, _ in fitted], np.float32).reshape(len(fitted), x.shape[1])
         self.biases = np.array([b for _, b in fitted], np.float32)
 
     def predict(self, text: str) -> tuple[str, float]:
