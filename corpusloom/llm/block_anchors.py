@@ -4,7 +4,7 @@ A run of ``WINDOW`` words that two documents share holds a whole block of ``BLOC
 of either document, wherever it starts, if blocks do not overlap and a window is as long
 as two of them. So the blocks of all documents are the index, and every rolling window of
 ``BLOCK`` words of every document probes it. Around the hits, windows of ``WINDOW`` words
-are compared by 128-bit hashes of their words; consecutive ones make up the maximal
+are compared by 96-bit hashes of their words; consecutive ones make up the maximal
 repeats. A word goes if it lies in a window that also starts in a document of a smaller id.
 
 Texts are dealt once into groups of about ``GROUP_BYTES``, by a hash of the row. A group
@@ -33,7 +33,9 @@ from corpusloom.llm.native import table
 WINDOW = 50
 BLOCK = WINDOW // 2
 GROUP_BYTES = 12_000_000
-ANCHOR_BITS = 48
+# An anchor keeps so many bits beyond those of the number of groups: about one in 2**14
+# windows then meets a block by chance, which costs comparisons but changes nothing.
+ANCHOR_BITS = 31
 LAST_ID = (1 << 63) - 1
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -66,18 +68,22 @@ def _block_hashes(words: list[bytes]) -> np.ndarray:
 def _window_hashes(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent 64-bit hashes of every window, from those of its halves."""
     a, b = blocks[:-BLOCK], blocks[BLOCK:]
-    return _mix(a * _M1 + b).view(np.int64), _mix((a ^ _M2) * _M2 + b * _M1).view(np.int64)
+    second = _mix((a ^ _M2) * _M2 + b * _M1) >> np.uint64(32)
+    return _mix(a * _M1 + b).view(np.int64), second.astype(np.uint32).view(np.int32)
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Sorted distinct numbers as differences: four bytes each, or eight if one is wide."""
-    steps = np.diff(values, prepend=np.uint64(0))
-    wide = len(steps) and steps.max() >= 1 << 32
-    return (b"\x08" + steps.tobytes()) if wide else (b"\x04" + steps.astype(np.uint32).tobytes())
+    """Sorted numbers as differences, all in as many bytes as the largest one takes."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8) if len(steps) else 1
+    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint64 if data[0] == 8 else np.uint32, offset=1), dtype=np.uint64)
+    narrow = np.frombuffer(data, np.uint8, offset=1).reshape(-1, data[0])
+    steps = np.zeros((len(narrow), 8), np.uint8)
+    steps[:, : data[0]] = narrow
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
 def _documents(group: pa.Table):
@@ -86,43 +92,48 @@ def _documents(group: pa.Table):
         yield (LAST_ID if row is None else row), _words(text.as_py())
 
 
-def _anchors(blocks: np.ndarray) -> np.ndarray:
-    return blocks >> np.uint64(64 - ANCHOR_BITS)
+def _bits(groups: int) -> int:
+    return min(64, ANCHOR_BITS + groups.bit_length())
+
+
+def _anchors(blocks: np.ndarray, bits: int) -> np.ndarray:
+    return blocks >> np.uint64(64 - bits)
 
 
 def _send(buckets: int):
+    bits = _bits(buckets)
+
     def send(group: pa.Table) -> pa.Table:
         """Per bucket: the distinct anchors of the group, those it holds twice, and its blocks."""
         probes, blocks = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         for _, words in _documents(group):
             if len(words) >= WINDOW:
-                found = _anchors(_block_hashes(words))
+                found = _anchors(_block_hashes(words), bits)
                 probes.append(found)
                 blocks.append(found[::BLOCK])
         every, times = np.unique(np.concatenate(probes), return_counts=True)
         twice, index = every[times > 1], np.unique(np.concatenate(blocks))
         out: dict[str, list] = {"bucket": [], "g": [], "probes": [], "twice": [], "blocks": []}
-        parts = [_split(values, buckets) for values in (every, twice, index)]
+        bounds = np.array([(k << bits) // buckets for k in range(buckets)], np.uint64)
+        parts = [(values, np.append(np.searchsorted(values, bounds), len(values))) for values in (every, twice, index)]
         for bucket in range(buckets):
             lists = [values[at[bucket] : at[bucket + 1]] for values, at in parts]
             if len(lists[0]):
                 out["bucket"].append(bucket)
                 out["g"].append(group.column("g")[0].as_py())
                 for name, values in zip(("probes", "twice", "blocks"), lists, strict=True):
-                    out[name].append(_pack(values))
+                    out[name].append(_pack(values - bounds[bucket]))
         return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("probes", pa.binary()), ("twice", pa.binary()), ("blocks", pa.binary())]))
 
     return send
 
 
-def _split(values: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted values and where each bucket, a range of the hash, begins."""
-    bounds = np.array([(k << ANCHOR_BITS) // buckets for k in range(buckets)], np.uint64)
-    return values, np.append(np.searchsorted(values, bounds), len(values))
-
-
 def _answer(messages: pa.Table) -> pa.Table:
-    """For each group the anchors that are a block somewhere and occur more than once."""
+    """For each group the anchors that are a block somewhere and occur more than once.
+
+    Within a bucket, a range of the hash, anchors are counted from its start.
+    """
+    bucket = messages.column("bucket")[0].as_py()
     groups = messages.column("g").to_pylist()
     probes = [_unpack(x.as_py()) for x in messages.column("probes")]
     index = np.unique(np.concatenate([_unpack(x.as_py()) for x in messages.column("blocks")]))
@@ -138,27 +149,34 @@ def _answer(messages: pa.Table) -> pa.Table:
     for x in messages.column("twice"):
         times[places(_unpack(x.as_py()))] += 1
     shared = times > 1
-    out: dict[str, list] = {"g": [], "anchors": []}
+    out: dict[str, list] = {"g": [], "bucket": [], "anchors": []}
     for g, values in zip(groups, probes, strict=True):
         at = places(values)
         if shared[at].any():
             out["g"].append(g)
+            out["bucket"].append(bucket)
             out["anchors"].append(_pack(index[at[shared[at]]]))
-    return pa.table(out, schema=pa.schema([("g", pa.int32()), ("anchors", pa.binary())]))
+    return pa.table(out, schema=pa.schema([("g", pa.int32()), ("bucket", pa.int32()), ("anchors", pa.binary())]))
+
+
+def _candidates(buckets: int):
+    bits = _bits(buckets)
+    return lambda group, answers: _candidate_windows(group, answers, buckets, bits)
 
 
-def _candidates(group: pa.Table, answers: pa.Table) -> pa.Table:
+def _candidate_windows(group: pa.Table, answers: pa.Table, buckets: int, bits: int) -> pa.Table:
     """Distinct windows around the hits, each with its first and last document in the group."""
-    schema = pa.schema([("g", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+    schema = pa.schema([("g", pa.int32()), ("a", pa.int64()), ("b", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
     if not answers.num_rows or not group.num_rows:
         return schema.empty_table()
-    shared = np.unique(np.concatenate([_unpack(x.as_py()) for x in answers.column("anchors")]))
+    starts = [np.uint64((k << bits) // buckets) for k in answers.column("bucket").to_pylist()]
+    shared = np.unique(np.concatenate([start + _unpack(x.as_py()) for start, x in zip(starts, answers.column("anchors"), strict=True)]))
     columns: list[list[np.ndarray]] = [[], [], []]
     for row, words in _documents(group):
         if len(words) < WINDOW:
             continue
         blocks = _block_hashes(words)
-        anchors = _anchors(blocks)
+        anchors = _anchors(blocks, bits)
         at = np.searchsorted(shared, anchors)
         at[at == len(shared)] = 0
         hit = np.concatenate([[0], np.cumsum(shared[at] == anchors)])
@@ -222,8 +240,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     dealt = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"), F.pmod(F.xxhash64(id_column, text), F.lit(groups)).cast("int").alias("g"))
     by_group = dealt.groupBy("g")
     messages = by_group.applyInArrow(_send(groups), "bucket int, g int, probes binary, twice binary, blocks binary")
-    answers = messages.groupBy("bucket").applyInArrow(_answer, "g int, anchors binary")
-    windows = by_group.cogroup(answers.groupBy("g")).applyInArrow(_candidates, "g int, a long, b long, low long, high long")
+    answers = messages.groupBy("bucket").applyInArrow(_answer, "g int, bucket int, anchors binary")
+    windows = by_group.cogroup(answers.groupBy("g")).applyInArrow(_candidates(groups), "g int, a long, b int, low long, high long")
     # A group has one row per window, so no window has more rows than there are groups.
     first = windows.withColumn("least", F.min("low").over(Window.partitionBy("a", "b")))
     earlier = first.filter("least < high").select("g", "a", "b", F.col("least").alias("low"))
