@@ -39,7 +39,7 @@ SHINGLE = 5
 THRESHOLD = 85
 COORDINATES = 48
 TREES = 8
-LEAF = 512
+LEAF = 4096
 BRANCHES = 4
 DEPTH = 4
 MAYBE = 0.58
