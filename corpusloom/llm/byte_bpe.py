@@ -1,9 +1,10 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A text is cut into pieces by the tokenizer's pattern. A piece is a byte array, written as a
-string of one character per byte; ``_fold`` folds its bytes with ``aggregate``: each step
-joins the adjacent pair of the lowest rank, looked up in a literal rank map. The map is a literal
-array of hash buckets, since a literal of map type is searched from end to end.
+A text is cut into pieces by the tokenizer's pattern. The bytes of a piece become the ids of
+the one-byte tokens, written as two bytes each, and ``aggregate`` folds them: each step joins
+the leftmost adjacent pair of the lowest rank, read from a literal rank map. A literal of map
+type is searched from end to end and one of array type is an object per element, so the rank
+map is one literal of bytes in which a pair has one of two places given by a hash.
 
 Distinct pieces are folded once for the corpus where that pays: pieces are counted over all
 documents, the most frequent ones (at most ``HOT_WORDS`` pieces of at most ``HOT_BYTES``
@@ -20,10 +21,9 @@ bound. Repeated rows get equal answers; extra columns pass through.
 from __future__ import annotations
 
 import base64
-import zlib
-from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +32,15 @@ from corpusloom.llm.native import table
 from corpusloom.session import materialize
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-HOT_WORDS = 200_000
+HOT_WORDS = 100_000
 HOT_BYTES = 48
-HOT_COUNT = 16
+HOT_COUNT = 4
 BUCKETS = 1 << 16
-NO_RANK = 2_000_000_000
-# Around and inside an entry of a bucket, and between buckets: no byte is written this
-# way, and pieces that hold one of these characters are never put into a literal.
-ENTRY, VALUE, BUCKET = "\ue000", "\ue001", "\ue002"
+SLOT = 6
+# Sorts behind every rank, which is two bytes.
+NO_RANK = b"\xff\xff\xff"
+# Around, inside and between the entries of a literal; pieces that hold one are never put into it.
+ENTRY, VALUE, CUT = "\ue000", "\ue001", "\ue002"
 
 
 @dataclass(frozen=True)
@@ -54,127 +55,144 @@ class Vocabulary:
         """Read a rank file; ``pattern`` is in the notation where ``\\s`` is Unicode blank."""
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        if max(ranks.values()) >= 0xFFFF:
+            raise ValueError("ids must fit into two bytes")
         return cls(ranks, pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}"))
 
 
-def _literal(buckets: list[str]) -> Column:
-    """A literal array of strings: the optimizer folds the split once."""
-    return F.split(F.lit(BUCKET.join(buckets)), BUCKET, -1)
-
-
-def _slot(key: Column) -> Column:
-    return (F.crc32(F.encode(key, "UTF-8")) % BUCKETS).cast("int")
-
-
-def _entries(pairs: list[tuple[str, str]]) -> list[str]:
-    buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
-    for key, value in pairs:
-        buckets[zlib.crc32(key.encode()) % BUCKETS].append(f"{ENTRY}{key}{VALUE}{value}")
-    return ["".join(b) + ENTRY if b else "" for b in buckets]
-
-
-def _look_up(buckets: Column, key: Column) -> Column:
-    """The value stored with ``key``; null without one."""
-
-    def inside(bucket: Column) -> Column:
-        after = F.split_part(bucket, F.concat(F.lit(ENTRY), key, F.lit(VALUE)), F.lit(2))
-        return F.when(bucket == "", None).otherwise(F.nullif(F.split_part(after, F.lit(ENTRY), F.lit(1)), F.lit("")))
-
-    return let(F.get(buckets, _slot(key)), inside)
-
-
-def as_bytes(piece: Column) -> Column:
-    """One character, U+0000 to U+00FF, for each UTF-8 byte."""
-    return F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1")
-
-
-def _fold(piece: Column, ranks: Column) -> Column:
-    """Ids of one piece, joined by commas.
-
-    The state is the list of cuts between tokens and, for every adjacent pair, the rank of
-    the two together. A step removes the cut inside the leftmost pair of the lowest rank
-    and looks up the two pairs beside it.
-    """
-
-    def token(text: Column, cuts: Column, i: Column, width: int) -> Column:
-        start = F.get(cuts, i)
-        return F.substr(text, start + 1, F.get(cuts, i + width) - start)
-
-    def rank(text: Column, cuts: Column, i: Column) -> Column:
-        known = F.when(i + 2 < F.size(cuts), _look_up(ranks, token(text, cuts, i, 2)).cast("int"))
-        return F.coalesce(known, F.lit(NO_RANK))
-
-    def step(text: Column) -> Callable[[Column, Column], Column]:
-        def join(state: Column, _: Column) -> Column:
-            def at(i: Column) -> Column:
-                fewer = F.filter(state["cuts"], lambda c, j: j != i + 1)
-
-                def ranked(cuts: Column) -> Column:
-                    rest = F.filter(state["ranks"], lambda r, j: j != i)
-                    beside = F.transform(rest, lambda r, j: F.when((j == i) | (j == i - 1), rank(text, cuts, j)).otherwise(r))
-                    return F.struct(cuts.alias("cuts"), beside.alias("ranks"))
-
-                return let(fewer, ranked)
-
-            lowest = F.array_min(state["ranks"])
-            going = F.coalesce(lowest < NO_RANK, F.lit(False))
-            return F.when(going, let(F.array_position(state["ranks"], lowest).cast("int") - 1, at)).otherwise(state)
-
-        return join
+def _places(a: Column, b: Column) -> tuple[Column, Column]:
+    """The two hashes that give an entry its places."""
+    return F.hash(a, b), F.hash(b, a)
+
+
+def _two_choices(hashes: list[tuple[int, int]]) -> list[int | None]:
+    """A table of a power of two places: each entry's number in one of its two places."""
+    size = 1 << (2 * len(hashes) + 1).bit_length()
+    while True:
+        slots: list[int | None] = [None] * size
+        for number in range(len(hashes)):
+            moving, place = number, hashes[number][0] & (size - 1)
+            for _ in range(500):
+                slots[place], moving = moving, slots[place]
+                if moving is None:
+                    break
+                first, second = (h & (size - 1) for h in hashes[moving])
+                place = second if place == first else first
+            else:
+                break
+        else:
+            return slots
+        size *= 2
 
-    def whole(text: Column) -> Column:
-        size = F.length(text)
-        cuts = F.sequence(F.lit(0), size)
-        start = let(cuts, lambda c: F.struct(c.alias("cuts"), F.transform(F.slice(c, 1, F.greatest(size - 1, F.lit(0))), lambda _, i: rank(text, c, i)).alias("ranks")))
-        folded = F.aggregate(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), start, step(text))
-        ids = let(folded["cuts"], lambda c: F.array_join(F.transform(F.slice(c, 1, F.size(c) - 1), lambda _, i: _look_up(ranks, token(text, c, i, 1))), ","))
-        return F.coalesce(_look_up(ranks, text), ids)
 
-    return let(as_bytes(piece), whole)
+def _literal(values: list[str]) -> Column:
+    """A literal array of strings: the optimizer folds the split once."""
+    return F.split(F.lit(CUT.join(values)), CUT, -1)
 
 
 class Codec:
     """Encoding and decoding expressions for one vocabulary."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.ranks = _entries([(token.decode("latin-1"), str(rank)) for token, rank in vocabulary.ranks.items()])
-        tokens = [""] * (1 + max(vocabulary.ranks.values()))
-        for token, rank in vocabulary.ranks.items():
-            tokens[rank] = token.hex()
-        self.tokens = tokens
+    def __init__(self, spark: SparkSession, vocabulary: Vocabulary):
+        self.spark, self.vocabulary = spark, vocabulary
+        ranks = vocabulary.ranks
+        two = lambda n: n.to_bytes(2, "big")
+        self.tokens = [""] * (1 + max(ranks.values()))
+        for token, rank in ranks.items():
+            self.tokens[rank] = token.hex()
+        # Every way to join two tokens to a token: both ids, and the rank of the two together.
+        pairs = [(two(left) + two(right), two(rank)) for token, rank in ranks.items() for k in range(1, len(token)) if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None]
+        frame = spark.createDataFrame(pa.table({"pair": pa.array([key for key, _ in pairs], pa.binary())})).coalesce(1)
+        found = frame.select(*[h.alias(n) for h, n in zip(_places(F.col("pair"), F.lit(0)), ("x", "y"), strict=True)]).toArrow()
+        slots = _two_choices(list(zip(found.column("x").to_pylist(), found.column("y").to_pylist(), strict=True)))
+        self.slots = len(slots)
+        # No pair is made of the highest number twice, so it marks an empty place.
+        self.pairs = b"".join(b"\xff" * SLOT if k is None else pairs[k][0] + pairs[k][1] for k in slots)
+        self.bytes = b"".join(two(ranks.get(bytes([b]), 0)) for b in range(256))
 
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.vocabulary.pattern), F.lit(0))
 
+    def _rank(self, table: Column, a: Column, b: Column) -> Column:
+        """Rank of two adjacent tokens joined, which is also the id of both."""
+        pair = F.concat(a, b)
+        out = F.lit(NO_RANK)
+        for place in reversed(_places(pair, F.lit(0))):
+            slot = F.substr(table, place.bitwiseAND(self.slots - 1) * SLOT + 1, F.lit(SLOT))
+            out = F.when(F.substr(slot, F.lit(1), F.lit(4)) == pair, F.substr(slot, F.lit(5), F.lit(2))).otherwise(out)
+        return out
+
+    def _fold(self, piece: Column, table: Column) -> Column:
+        """Ids of one piece, joined by commas.
+
+        The state is the ids and, for every adjacent pair, the rank of both together. A step
+        replaces the best pair and looks up the two pairs beside it.
+        """
+        part = lambda values, start, end: F.slice(values, start, F.greatest(end - start + 1, F.lit(0)))
+        none = F.array().cast("array<binary>")
+
+        def step(state: Column, _: Column) -> Column:
+            best = F.array_min(state["ranks"])
+
+            def joined(at: Column) -> Column:
+                ids, ranks, n = state["ids"], state["ranks"], F.size(state["ids"])
+                new = F.concat(part(ids, F.lit(1), at - 1), F.array(best), part(ids, at + 2, n))
+                left = F.when(at > 1, F.array(self._rank(table, F.get(ids, at - 2), best))).otherwise(none)
+                right = F.when(at + 2 <= n, F.array(self._rank(table, best, F.get(ids, at + 1)))).otherwise(none)
+                beside = F.concat(part(ranks, F.lit(1), at - 2), left, right, part(ranks, at + 2, n - 1))
+                return F.struct(new.alias("ids"), beside.alias("ranks"))
+
+            going = F.coalesce(best < F.lit(NO_RANK), F.lit(False))
+            return F.when(going, let(F.array_position(state["ranks"], best).cast("int"), joined)).otherwise(state)
+
+        def whole(codes: Column) -> Column:
+            ranks = F.transform(part(codes, F.lit(2), F.size(codes)), lambda b, i: self._rank(table, F.get(codes, i), b))
+            start = F.struct(codes.alias("ids"), ranks.alias("ranks"))
+            folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(codes) - 1, F.lit(1))), start, step)
+            return F.array_join(F.transform(folded["ids"], lambda i: F.conv(F.hex(i), 16, 10)), ",")
+
+        # One character, U+0000 to U+00FF, for each UTF-8 byte.
+        letters = F.split(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), "")
+        return let(F.transform(letters, lambda c: F.substr(F.lit(self.bytes), F.ascii(c) * 2 + 1, F.lit(2))), whole)
+
     def hot_words(self, docs: DataFrame, text: str = "text", most: int = HOT_WORDS) -> list[str]:
-        """Buckets of frequent pieces with their ids."""
+        """Buckets of known pieces with their ids: whole tokens, and frequent pieces."""
         piece = F.explode(self.pieces(F.col(text))).alias("piece")
         counts = docs.select(piece).groupBy("piece").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_COUNT)
-        storable = (F.octet_length("piece") <= HOT_BYTES) & ~F.col("piece").rlike(f"[{ENTRY}{VALUE}{BUCKET}]")
+        storable = (F.octet_length("piece") <= HOT_BYTES) & ~F.col("piece").rlike(f"[{ENTRY}{VALUE}{CUT}]")
         counts = materialize(counts.filter(storable).withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "pieces")
         # Steps of the count, at most 1,024 of them, decide where the frequent pieces end.
-        room, least = most, None
+        room, least = most, 1 << 30
         for row in counts.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
             room -= row.words
             if room < 0:
                 break
             least = row.step
-        if least is None:
-            return [""] * BUCKETS
-        hot = counts.filter(F.col("step") >= least).repartition(docs.sparkSession.sparkContext.defaultParallelism)
-        folded = F.transform(F.array(_literal(self.ranks)), lambda ranks: _fold(F.col("piece"), ranks))[0]
-        rows = hot.select("piece", folded.alias("ids")).toLocalIterator()
-        return _entries([(row.piece, row.ids) for row in rows])
+        hot = counts.filter(F.col("step") >= least).repartition(self.spark.sparkContext.defaultParallelism)
+        folded = let(F.lit(self.pairs), lambda table: self._fold(F.col("piece"), table))
+        known = dict(hot.select("piece", folded.alias("ids")).toLocalIterator())
+        for token, rank in self.vocabulary.ranks.items():
+            text_of = token.decode("utf-8", "replace")
+            if text_of.encode() == token and not {ENTRY, VALUE, CUT} & set(text_of):
+                known[text_of] = str(rank)
+        frame = self.spark.createDataFrame(pa.table({"piece": list(known)})).coalesce(1)
+        places = frame.select(F.hash("piece").bitwiseAND(BUCKETS - 1).alias("at")).toArrow().column("at").to_pylist()
+        buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
+        for (word, ids), at in zip(known.items(), places, strict=True):
+            buckets[at].append(f"{ENTRY}{word}{VALUE}{ids}")
+        return ["".join(b) + ENTRY if b else "" for b in buckets]
 
     def encode(self, text: Column, hot: list[str]) -> Column:
         """Ids joined by commas."""
 
-        def one(piece: Column, ranks: Column, known: Column) -> Column:
-            return F.coalesce(_look_up(known, piece), _fold(piece, ranks))
+        def one(piece: Column, buckets: Column, table: Column) -> Column:
+            bucket = F.get(buckets, F.hash(piece).bitwiseAND(BUCKETS - 1))
+            after = F.split_part(bucket, F.concat(F.lit(ENTRY), piece, F.lit(VALUE)), F.lit(2))
+            return let(after, lambda a: F.when(a == "", self._fold(piece, table)).otherwise(F.split_part(a, F.lit(ENTRY), F.lit(1))))
 
-        both = F.array(_literal(self.ranks), _literal(hot))
-        return F.array_join(let(both, lambda t: F.transform(self.pieces(text), lambda p: one(p, t[0], t[1]))), ",")
+        # Each literal is bound once: written at every use, it would fill the plan's text.
+        each = lambda table, buckets: F.transform(self.pieces(text), lambda p: one(p, buckets, table))
+        return F.array_join(let(F.lit(self.pairs), lambda table: let(_literal(hot), lambda buckets: each(table, buckets))), ",")
 
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids."""
@@ -192,7 +210,7 @@ def encode(docs: DataFrame, codec: Codec, text: str = "text", name: str = "ids")
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256."""
-    codec = Codec(vocabulary)
+    codec = Codec(docs.sparkSession, vocabulary)
     coded = encode(docs, codec, text, "_ids")
     results = {
         "n_tokens": F.size("_ids").cast("long"),
