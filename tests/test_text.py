@@ -102,3 +102,24 @@ def test_html_to_text(spark):
     text = rows[0].t.text
     assert "## T & x" in text and " | a | b" in text and "- i j" in text and "````\nk\n  l\n````" in text and "no" not in text and "n" not in text.replace("\n", "").split("l````")[1]
     assert spark.range(1).select(html_to_text(10)(F.lit("<p>" + "x" * 50)).alias("t")).first().t.partial is True
+
+
+REFERENCES = {
+    "&copy; 2024 &middot; caf&eacute; &amp done": "© 2024 · café & done", "&mdash;&hellip;&NotEqualTilde;&Tab;x": "—…≂̸ x", "&copyright &notit; &notin; &nosuch; &; R&D &AMP": "©right ¬it; ∉ &nosuch; &; R&D &",
+    "a &nbsp;&#32;&#xA0; b c&nbspd": "a b c d", "&#233;&#xe9;&#XE9 &#128;&#150;&#0;&#xD800;&#x110000;&#99999999999999999999;&#1;&#xFFFE;.": "ééé €–\ufffd\ufffd\ufffd\ufffd.",
+    "&am<b>p;</b> &lt;p&gt; &amp;lt; &lt<i>;</i>": "&amp; <p> &lt; <;", "<pre>&copy;&nbsp;<b>&lt</b>  &eacute</pre>": "\n\n````\n© <  é\n````\n",
+}
+
+
+def test_every_character_reference_is_resolved(spark):
+    from html import unescape
+    from html.entities import html5
+
+    from corpusloom.functions.html import html_to_text
+
+    found = {r.h: r.t.text for r in spark.createDataFrame([(h,) for h in REFERENCES], "h string").select("h", html_to_text()(F.col("h")).alias("t")).collect()}
+    assert found == REFERENCES
+    # Inside <pre> blanks stay, so every name and number can be held against the library.
+    pieces = [f"&{n}" for n in html5] + [f"&{n.rstrip(';')}zz" for n in html5] + [f"&#{n};" for n in (*range(300), 0xFDD0, 0xFFFD, 0x1F600, 0x10FFFF)] + [f"&#x{n:X}" for n in range(300)]
+    rows = spark.createDataFrame([(p,) for p in pieces], "p string").select("p", html_to_text()(F.concat(F.lit("<pre>"), "p", F.lit(" </pre>"))).alias("t")).collect()
+    assert {r.p: r.t.text[7:-7] for r in rows} == {p: unescape(p) for p in pieces}
