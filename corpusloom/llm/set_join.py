@@ -7,11 +7,12 @@ coordinates are chosen by a hash of its path, and its sets go to one child for e
 ``DEPTH`` levels what is still too large is compared exhaustively in pairs of blocks.
 
 A pair of similarity J meets in a tree with probability about J, so eight trees lose a
-pair at 0.85 with probability 0.15**8 (3e-7) where nodes are small.
+pair at 0.85 with probability 0.15**8 (3e-7) where nodes are small; a lower threshold has
+more trees (ten at 0.80), so that it loses no more.
 
 Comparing in a leaf takes two steps. Minhash agreement first joins what might be linked
-(agreement of at least ``MAYBE``, five standard deviations below the threshold) into
-clusters; then the full shingle sets of each cluster (of each leaf, where a cluster
+(``agreement``, more than five standard deviations below the threshold: 28 of 48 at 0.85
+lose a pair with probability 2e-6, 24 at 0.80 with 8e-7) into clusters; then the full shingle sets of each cluster (of each leaf, where a cluster
 exceeds ``LEAF``) are compared exactly. Only spanning edges leave a task, never all pairs,
 and sets found equal are one vertex from the start.
 
@@ -36,13 +37,14 @@ from corpusloom.llm.native import table
 from corpusloom.session import materialize
 
 SHINGLE = 5
+# Percent: the similarity from which op2 links; ``group_duplicates`` takes others.
 THRESHOLD = 85
 COORDINATES = 48
 TREES = 8
 LEAF = 4096
 BRANCHES = 4
 DEPTH = 4
-MAYBE = 0.58
+DEVIATIONS = 5.25
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -75,9 +77,20 @@ def minhashes(found: np.ndarray) -> np.ndarray:
     return np.array([(_mix(found ^ seed).min() >> np.uint64(32)) for seed in _SEEDS], np.uint32).view(np.int32)
 
 
-def linked(a: int, b: int, common: np.ndarray) -> np.ndarray:
+def agreement(threshold: int) -> int:
+    """How many minhashes agree at least in a pair that might be linked."""
+    j = threshold / 100
+    return int(np.ceil(COORDINATES * j - DEVIATIONS * np.sqrt(COORDINATES * j * (1 - j))))
+
+
+def trees_for(threshold: int) -> int:
+    """Trees that lose a pair at ``threshold`` no more often than ``TREES`` one at 85."""
+    return int(np.ceil(TREES * np.log(1 - THRESHOLD / 100) / np.log(1 - threshold / 100)))
+
+
+def linked(a: int, b: int, common: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
     """Whether sets of sizes a and b with that many common members are linked."""
-    return 100 * common >= THRESHOLD * (a + b - common)
+    return 100 * common >= threshold * (a + b - common)
 
 
 def _describe(docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -150,9 +163,8 @@ def _grouped(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(key).sortWithinPartitions(key)
 
 
-def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Spanning edges of the sets in a node whose minhashes agree often enough."""
-    least = int(np.ceil(MAYBE * COORDINATES))
+def _candidates(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """Spanning edges of the sets in a node of which ``least`` minhashes agree."""
     a, b = [], []
     for group in _by_group(batches, "node"):
         sids, sigs = group["sid"].to_numpy(), np.stack(group["sig"].to_numpy())
@@ -172,7 +184,7 @@ def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"a": a, "b": b}, dtype=object)
 
 
-def spanning_links(sids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[str, str]]:
+def spanning_links(sids: np.ndarray, sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[tuple[str, str]]:
     """Edges that join exactly the sets connected by links among the given ones."""
     sizes = np.array([len(s) for s in sets])
     members, flat = np.unique(np.concatenate(sets), return_inverse=True)
@@ -197,7 +209,7 @@ def spanning_links(sids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[str,
             mark = np.zeros(len(members), np.int32)
             mark[flat[starts[i] : starts[i + 1]]] = 1
             common = np.add.reduceat(mark[tokens], begins)
-            near = alive & linked(sizes[i], sizes[waiting], common)
+            near = alive & linked(sizes[i], sizes[waiting], common, threshold)
             for j in waiting[place[near]]:
                 edges.append((sids[first], sids[j]))
                 frontier.append(j)
@@ -206,20 +218,22 @@ def spanning_links(sids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[str,
     return edges
 
 
-def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verified(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.DataFrame]:
     for group in _by_group(batches, "node"):
         if len(group) > 1:
-            edges = spanning_links(group["sid"].to_numpy(), [np.frombuffer(s, np.uint64) for s in group["members"]])
+            edges = spanning_links(group["sid"].to_numpy(), [np.frombuffer(s, np.uint64) for s in group["members"]], threshold)
             if edges:
                 yield pd.DataFrame(edges, columns=["a", "b"])
 
 
-def find_links(docs: DataFrame, described: DataFrame, id_column: str, text: str, leaf: int = LEAF, **tree) -> DataFrame:
+def find_links(docs: DataFrame, described: DataFrame, id_column: str, text: str, leaf: int = LEAF, threshold: int = THRESHOLD, **tree) -> DataFrame:
     """(a, b): spanning edges between the distinct sets of linked documents."""
     sets = described.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("id", "text_hash")).alias("row"), F.first("sig").alias("sig"))
     sets = materialize(sets.select("sid", "row.id", "row.text_hash", "sig"), "sets")
+    tree = {"trees": trees_for(threshold)} | tree
     nodes = materialize(leaves(sets.select("sid", "sig"), leaf=leaf, **tree), "leaves")
-    candidates = _grouped(nodes.join(sets.select("sid", "sig"), "sid"), "node").mapInPandas(_candidates, "a string, b string")
+    least = agreement(threshold)
+    candidates = _grouped(nodes.join(sets.select("sid", "sig"), "sid"), "node").mapInPandas(lambda batches: _candidates(batches, least), "a string, b string")
     clusters = materialize(components(candidates), "clusters")
 
     sizes = clusters.groupBy("component").agg(F.count("*").alias("n"))
@@ -236,13 +250,13 @@ def find_links(docs: DataFrame, described: DataFrame, id_column: str, text: str,
     source = docs.select(F.col(id_column).alias("_id"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
     full = source.join(wanted, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("text_hash")))
     full = full.groupBy("sid").agg(F.first("_text").alias("_text")).select("sid", members("_text").alias("members"))
-    return _grouped(groups.join(full, "sid"), "node").mapInPandas(_verified, "a string, b string")
+    return _grouped(groups.join(full, "sid"), "node").mapInPandas(lambda batches: _verified(batches, threshold), "a string, b string")
 
 
-def group_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", leaf: int = LEAF, **tree) -> DataFrame:
+def group_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", leaf: int = LEAF, threshold: int = THRESHOLD, **tree) -> DataFrame:
     """(id, text_hash, n_shingles, component_id, kept) of every row of ``docs``."""
     described = materialize(_describe(docs, id_column, text), "described")
-    joined = components(find_links(docs, described, id_column, text, leaf, **tree)).select(F.col("vertex").alias("sid"), "component")
+    joined = components(find_links(docs, described, id_column, text, leaf, threshold, **tree)).select(F.col("vertex").alias("sid"), "component")
     smallest = described.filter("n_shingles > 0").groupBy("sid").agg(F.min("id").alias("smallest"))
     named = smallest.join(joined, "sid", "left").select("sid", "smallest", F.coalesce("component", "sid").alias("component"))
     named = materialize(named, "named")
@@ -252,9 +266,9 @@ def group_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "te
     return answer.select("id", "text_hash", "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One document of each group, with its own columns: the one of the smallest id."""
-    kept = group_duplicates(docs, id_column, text).filter("kept").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    kept = group_duplicates(docs, id_column, text, threshold=threshold).filter("kept").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     hashed = docs.withColumn("_text_hash", F.xxhash64(text))
     same = hashed[id_column].eqNullSafe(kept["_id"]) & (hashed["_text_hash"] == kept["_hash"])
     return hashed.join(kept, same, "left_semi").dropDuplicates([id_column, "_text_hash"]).drop("_text_hash")

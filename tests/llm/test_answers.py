@@ -71,6 +71,24 @@ def test_components_match_all_pairs(spark, texts, leaf):
     assert found == {i: (c, len(sets[i]), c == i) for i, c in components_of(sets).items()}
 
 
+def test_stage_links_from_80_percent(spark):
+    import corpus_pipeline
+
+    def changed(name, *places):
+        return " ".join(f"{name}{'new' if i in places else ''}{i}" for i in range(104))
+
+    pairs = {
+        1: changed("a"), 2: changed("a", 30, 60),  # 90 of 110 shingles, 0.818
+        3: changed("b"), 4: changed("b", 20, 50, 80),  # 85 of 115, 0.739
+        5: " ".join(f"c{i}" for i in range(12)), 6: " ".join(f"c{i}" for i in range(14)),  # 8 of 10
+    }
+    df = spark.createDataFrame(list(pairs.items()), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, FOLDER).collect()} == {1, 3, 4, 5}
+    assert {r.id for r in set_join.group_duplicates(df).filter("kept").collect()} == set(pairs)
+    # Fewer agreeing minhashes and more trees at a lower threshold; op2's stay.
+    assert [(set_join.agreement(t), set_join.trees_for(t)) for t in (85, 80)] == [(28, 8), (24, 10)]
+
+
 # Substrings -------------------------------------------------------------------------
 
 @pytest.mark.parametrize("group_bytes", [20_000, 12_000_000])
