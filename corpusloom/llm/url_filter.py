@@ -1,12 +1,15 @@
 """URL filter: ratio of two character language models.
 
 Two Markov models of variable order, one of accepted and one of rejected addresses, are
-counted over all labelled pages (a label is weak: ``REJECT_TERMS`` in the host). A model
-keeps its ``max_contexts`` most frequent contexts and backs off to shorter ones with
-Witten-Bell weights, so it is bounded (``2 * max_contexts`` contexts of at most 96
-symbols) while its counts cover the whole table. An address is judged by the difference of its
-two log-likelihoods per character against a threshold set on labelled addresses that
-were kept out of the counts.
+counted over all labelled pages (a label is weak: ``REJECT_TERMS`` in the host) but a
+tenth, kept out for the threshold. All counts stay, as a table of contexts, each with at most
+96 symbols; a context backs off to shorter ones with Witten-Bell weights. An address is
+judged by the difference of its two log-likelihoods per character against the threshold.
+
+Every distinct gram of the addresses gets its log-ratio by joins, from the shortest suffix to
+the longest, where at most 96 grams meet in a key. The most frequent grams (``FAST`` at most)
+are broadcast; an address sums them where it is and gets the others by a join. Both ways
+give the same values, and what is outside the broadcast is rare, so no key is hot.
 
 Host and path rules go first: the longest fitting rule decides, and only addresses
 without one are left to the models.
@@ -19,7 +22,6 @@ is allowed. Repeated rows get equal answers; extra columns pass through.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.llm.native import table
+from corpusloom.session import materialize
 
 # Parts of host names that mark an address as rejected for training.
 REJECT_TERMS = ("adult", "bets", "casino", "free-money", "gambl", "pills", "poker", "porn", "spam", "viagra", "xxx")
@@ -36,7 +39,7 @@ REJECT_TERMS = ("adult", "bets", "casino", "free-money", "gambl", "pills", "poke
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 ORDER = 4
-MAX_CONTEXTS = 50_000
+FAST = 300_000
 MAX_CALIBRATION = 2_000
 HELD_OUT = 10
 ALPHABET = 96
@@ -69,33 +72,100 @@ def symbols(host: Column, path: Column) -> Column:
     return F.regexp_replace(F.concat(host, path), r"[^\x21-\x7e]", OTHER)
 
 
+def _grams(rows: DataFrame, order: int, *keep: str) -> DataFrame:
+    """A row for each character of ``text``: it and the ``order`` symbols before it."""
+    padded = rows.select(*keep, F.concat(F.lit(START * order), "text").alias("text")).filter(F.length("text") > order)
+    at = padded.select(*keep, "text", F.explode(F.sequence(F.lit(order + 1), F.length("text"))).alias("i"))
+    return at.select(*keep, F.substr("text", F.col("i") - order, F.lit(order + 1)).alias("gram"))
+
+
+def count_contexts(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """(context, totals and distinct symbols of both labels, following) of
+    ``labelled(text, label)``."""
+    of = lambda label, n: F.sum(F.when(F.col("label") == label, n).otherwise(0))
+    at = _grams(labelled, order, "label").groupBy("gram").agg(of("accept", 1).alias("a"), of("reject", 1).alias("r"))
+    at = at.select("a", "r", F.explode(F.transform(F.sequence(F.lit(1), F.lit(order + 1)), lambda k: F.substr("gram", k))).alias("gram"))
+    counts = at.groupBy("gram").agg(F.sum("a").alias("a"), F.sum("r").alias("r"))
+    # At most ALPHABET rows meet in a context, whatever the size of the table.
+    entry = F.struct(F.substr("gram", F.length("gram")).alias("symbol"), F.struct("a", "r").alias("n"))
+    return counts.groupBy(F.substr("gram", F.lit(1), F.length("gram") - 1).alias("context")).agg(
+        F.sum("a").alias("total_a"), F.count_if(F.col("a") > 0).alias("kinds_a"),
+        F.sum("r").alias("total_r"), F.count_if(F.col("r") > 0).alias("kinds_r"),
+        F.map_from_entries(F.collect_list(entry)).alias("following"),
+    )
+
+
 class Ratio:
-    """Difference of two smoothed log-likelihoods per character."""
-
-    def __init__(self, models: dict[str, dict[str, tuple[int, dict[str, int]]]], order: int = ORDER):
-        self.models, self.order, self.seen = models, order, {}
-
-    def probability(self, label: str, context: str, symbol: str) -> float:
-        model, p = self.models[label], 1.0 / ALPHABET
-        for start in range(len(context), -1, -1):
-            if entry := model.get(context[start:]):
-                total, following = entry
-                p = (following.get(symbol, 0) + len(following) * p) / (total + len(following))
-        return p
-
-    def step(self, gram: str) -> float:
-        if gram not in self.seen:
-            if len(self.seen) > 500_000:
-                self.seen.clear()
-            p = [self.probability(label, gram[:-1], gram[-1]) for label in ("accept", "reject")]
-            self.seen[gram] = math.log(p[0]) - math.log(p[1])
-        return self.seen[gram]
+    """Difference of two smoothed log-likelihoods per character, from a table of contexts."""
+
+    def __init__(self, contexts: DataFrame, order: int = ORDER):
+        self.contexts, self.order = contexts, order
+
+    def steps(self, texts: DataFrame) -> DataFrame:
+        """(gram, n, step): log-ratio and number of every gram of ``texts(text)``."""
+        needed = materialize(_grams(texts, self.order).groupBy("gram").agg(F.count("*").alias("n")), "grams")
+        below = None
+        for k in range(1, self.order + 2):
+            now = needed.select(F.substr("gram", F.lit(self.order + 2 - k)).alias("g")).distinct()
+            known = self.contexts.filter(F.length("context") == k - 1)
+            now = now.join(known, F.substr("g", F.lit(1), F.lit(k - 1)) == F.col("context"), "left")
+            if below is None:
+                now = now.withColumns({"below_a": F.lit(1.0 / ALPHABET), "below_r": F.lit(1.0 / ALPHABET)})
+            else:
+                now = now.join(below, F.substr("g", F.lit(2)) == F.col("shorter"))
+            here = F.col("following")[F.substr("g", F.lit(k))]
+
+            def mixed(x: str, here: Column = here) -> Column:
+                p, total, kinds = F.col(f"below_{x}"), F.col(f"total_{x}"), F.col(f"kinds_{x}")
+                return F.when(total > 0, (F.coalesce(here[x], F.lit(0)) + kinds * p) / (total + kinds)).otherwise(p)
+
+            below = now.select(F.col("g").alias("shorter"), mixed("a").alias("below_a"), mixed("r").alias("below_r"))
+        found = below.select(F.col("shorter").alias("gram"), (F.log("below_a") - F.log("below_r")).alias("step"))
+        return materialize(needed.join(found, "gram"), "steps")
+
+    def scored(self, rows: DataFrame, text: str, steps: DataFrame, fast: int | None = None) -> DataFrame:
+        """``rows`` with ``_score``; ``steps`` cover the grams of their texts."""
+        order, fast = self.order, FAST if fast is None else fast
+        # The most frequent grams, by powers of two of their numbers.
+        level = F.floor(F.log2("n"))
+        sizes = sorted(((r.level, r.n) for r in steps.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+        held, least = 0, None
+        for at, n in sizes:
+            if held + n > fast:
+                break
+            held, least = held + n, at
+        often = steps.filter(level >= least) if least is not None else steps.limit(0)
+        shared = rows.sparkSession.sparkContext.broadcast(dict(zip(*often.select("gram", "step").toArrow().to_pydict().values(), strict=True)))
+
+        @F.pandas_udf("total double, rest array<string>")
+        def sums(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            step = shared.value
+            for texts in batches:
+                out = []
+                for value in texts:
+                    padded = START * order + value
+                    grams = [padded[i : i + order + 1] for i in range(len(value))]
+                    out.append((sum(step.get(g, 0.0) for g in grams), [g for g in grams if g not in step]))
+                yield pd.DataFrame(out, columns=["total", "rest"])
+
+        mean = lambda total: F.when(F.col(text) == "", 0.0).otherwise(total / F.length(text))
+        summed = rows.withColumn("_sums", sums(text))
+        whole = summed.withColumn("_score", mean(F.col("_sums.total"))).drop("_sums")
+        if held == sum(n for _, n in sizes):
+            return whole
+        own = summed.filter(F.size("_sums.rest") > 0).select(F.col(text).alias("_open"), F.col("_sums.rest").alias("rest"))
+        own = own.distinct().select("_open", F.posexplode("rest").alias("i", "gram")).join(steps.select("gram", "step"), "gram")
+        # Summed in the order of the text, so that equal addresses have equal scores.
+        inside = F.transform(F.array_sort(F.collect_list(F.struct("i", "step"))), lambda x: x["step"])
+        own = own.groupBy("_open").agg(F.aggregate(inside, F.lit(0.0), lambda x, y: x + y).alias("_more"))
+        open_ = summed.filter(F.size("_sums.rest") > 0).join(own, F.col(text) == F.col("_open"))
+        open_ = open_.withColumn("_score", mean(F.col("_sums.total") + F.col("_more"))).drop("_sums", "_open", "_more")
+        return summed.filter(F.size("_sums.rest") == 0).withColumn("_score", mean(F.col("_sums.total"))).drop("_sums").union(open_)
 
     def score(self, text: str) -> float:
-        if not text:
-            return 0.0
-        padded = START * self.order + text
-        return sum(self.step(padded[i : i + self.order + 1]) for i in range(len(text))) / len(text)
+        """The score of one address."""
+        one = self.contexts.sparkSession.createDataFrame([(text,)], "text string")
+        return self.scored(one, "text", self.steps(one)).first()._score
 
 
 def threshold(scores: list[tuple[float, bool]]) -> float | None:
@@ -115,50 +185,43 @@ def threshold(scores: list[tuple[float, bool]]) -> float | None:
     return at
 
 
-def fit(pages: DataFrame, max_contexts: int = MAX_CONTEXTS, order: int = ORDER) -> tuple[Ratio, float | None]:
-    """Both models and the threshold, from ``pages(host, text)``."""
+def _labelled(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(text, label) of ``pages(host, text)``: what is counted, and what is kept out."""
     spam = F.col("host").rlike("|".join(REJECT_TERMS))
     labelled = pages.filter(F.col("text") != "").select("text", F.when(spam, "reject").otherwise("accept").alias("label"))
     held_out = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(HELD_OUT)) == 0
+    return labelled.filter(~held_out), labelled.filter(held_out)
 
-    at = labelled.filter(~held_out).select("label", F.concat(F.lit(START * order), "text").alias("text"))
-    at = at.select("label", "text", F.explode(F.sequence(F.lit(order + 1), F.length("text"))).alias("i"))
-    at = at.groupBy("label", F.substr("text", F.col("i") - order, F.lit(order + 1)).alias("gram")).agg(F.count("*").alias("n"))
-    at = at.select("label", "n", F.explode(F.transform(F.sequence(F.lit(1), F.lit(order + 1)), lambda k: F.substr("gram", k))).alias("gram"))
-    counts = at.groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    # At most ALPHABET rows meet in a context, whatever the size of the table.
-    last = F.struct(F.substr("gram", F.length("gram")).alias("symbol"), F.col("n").alias("n"))
-    contexts = counts.groupBy("label", F.substr("gram", F.lit(1), F.length("gram") - 1).alias("context"))
-    contexts = contexts.agg(F.sum("n").alias("total"), F.collect_list(last).alias("following"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("total"), F.length("context"), "context"))
-    models: dict[str, dict] = {"accept": {}, "reject": {}}
-    for row in contexts.withColumn("rank", rank).filter(F.col("rank") <= max_contexts).toLocalIterator():
-        models[row.label][row.context] = (row.total, {s: n for s, n in row.following})
-    ratio = Ratio(models, order)
 
+def _calibrated(ratio: Ratio, kept_out: DataFrame, steps: DataFrame) -> float | None:
     spread = Window.partitionBy("label").orderBy(F.md5("text"), "text")
-    sample = labelled.filter(held_out).distinct().withColumn("rank", F.row_number().over(spread)).filter(F.col("rank") <= MAX_CALIBRATION)
-    return ratio, threshold([(ratio.score(row.text), row.label == "accept") for row in sample.collect()])
+    sample = kept_out.distinct().withColumn("rank", F.row_number().over(spread)).filter(F.col("rank") <= MAX_CALIBRATION)
+    return threshold([(row._score, row.label == "accept") for row in ratio.scored(sample, "text", steps).collect()])
+
 
+def _fitted(pages: DataFrame, order: int = ORDER) -> tuple[Ratio, float | None, DataFrame]:
+    counted, kept_out = _labelled(pages)
+    ratio = Ratio(materialize(count_contexts(counted, order), "contexts"), order)
+    steps = ratio.steps(pages.select("text"))
+    return ratio, _calibrated(ratio, kept_out, steps), steps
 
-def judge(pages: DataFrame, url: str = "url", rules=RULES, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+
+def fit(pages: DataFrame, order: int = ORDER) -> tuple[Ratio, float | None]:
+    """Both models and the threshold, from ``pages(host, text)``."""
+    return _fitted(pages, order)[:2]
+
+
+def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """``pages`` with host, path, rule, score and verdict."""
     host, path = address_parts(F.col(url))
     parts = pages.withColumns({"host": host, "path": path}).withColumn("_text", symbols(F.col("host"), F.col("path")))
-    ratio, limit = fit(parts.select("host", F.col("_text").alias("text")), max_contexts)
-    shared = pages.sparkSession.sparkContext.broadcast(ratio.models)
-
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Ratio(shared.value)
-        for texts in batches:
-            yield texts.map(own.score).astype("float64")
+    ratio, limit, steps = _fitted(parts.select("host", F.col("_text").alias("text")))
 
     name, effect = matching_rule(F.col("host"), F.col("path"), rules)
-    judged = parts.withColumns({"score": score("_text"), "rule": name, "_effect": effect})
+    judged = ratio.scored(parts, "_text", steps).withColumns({"score": F.col("_score"), "rule": name, "_effect": effect})
     rejected = F.lit(False) if limit is None else (F.col("_text") != "") & (F.col("score") < limit)
     verdict = F.coalesce("_effect", F.when(rejected, "block").otherwise("allow"))
-    return judged.withColumn("verdict", verdict).drop("_text", "_effect")
+    return judged.withColumn("verdict", verdict).drop("_text", "_effect", "_score")
 
 
 def op1_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

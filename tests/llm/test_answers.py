@@ -287,6 +287,42 @@ def test_counts_and_scores_match_a_plain_model(spark):
     assert limit is not None and all((r.verdict == "block") == ("casino" in r.host) for r in judged)
 
 
+@pytest.mark.parametrize("fast", [2_000, 300_000])
+def test_all_contexts_count(spark, monkeypatch, fast):
+    """More contexts than 50,000, and grams within and outside the broadcast."""
+    import random
+    import zlib
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=16))
+    urls = [f"http://h.example.com/{word()}" for _ in range(6_000)] + [f"http://casino.example.com/{word()}" for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(4)
+    follow = {x: collections.defaultdict(collections.Counter) for x in (False, True)}
+    for url in urls:
+        text = url[7:]
+        if zlib.crc32(text.encode()) % url_filter.HELD_OUT:
+            padded = url_filter.START * 4 + text
+            for i in range(4, len(padded)):
+                for k in range(5):
+                    follow["casino" in text][padded[i - k : i]][padded[i]] += 1
+    assert len(follow[False]) > 50_000
+
+    def logs(spam, context, symbol):
+        p = 1 / 96
+        for k in range(5):
+            if seen := follow[spam].get(context[4 - k :]):
+                p = (seen[symbol] + len(seen) * p) / (sum(seen.values()) + len(seen))
+        return math.log(p)
+
+    monkeypatch.setattr(url_filter, "FAST", fast)
+    rows = url_filter.judge(df).collect()
+    assert len(rows) == len(urls)
+    for r in rows:
+        padded = url_filter.START * 4 + r.url[7:]
+        steps = [logs(False, padded[i - 4 : i], padded[i]) - logs(True, padded[i - 4 : i], padded[i]) for i in range(4, len(padded))]
+        assert r.score == pytest.approx(sum(steps) / len(steps), abs=1e-9)
+
+
 # Sharding ---------------------------------------------------------------------------
 
 def test_growth_moves_rows_only_into_the_new_shard(spark):
