@@ -15,9 +15,10 @@ Host and path rules go first: the longest fitting rule decides, and only address
 without one are left to the models.
 
 A null address, or one without ``://``, has empty host and path, which carry no evidence:
-no rule fits and the verdict is ``allow``. If no labelled address is rejected (or none is
-accepted, or the table is empty) the models cannot differ and everything without a rule
-is allowed. Repeated rows get equal answers; extra columns pass through.
+no rule fits and the verdict is ``allow``. The threshold is set on all addresses that were kept
+out; if one label is missing there but both were counted, it is 0, where both models are
+equally likely. If no counted address is rejected either (or none is accepted, or the
+table is empty) the models cannot differ and everything without a rule is allowed. Repeated rows get equal answers; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 ORDER = 4
 FAST = 300_000
-MAX_CALIBRATION = 2_000
+BINS = 1024
 HELD_OUT = 10
 ALPHABET = 96
 OTHER = "\x7f"
@@ -168,21 +169,34 @@ class Ratio:
         return self.scored(one, "text", self.steps(one)).first()._score
 
 
-def threshold(scores: list[tuple[float, bool]]) -> float | None:
-    """Where accepted and rejected addresses part with the fewest errors, each class
-    weighing the same; the middle of the gap. None if one class is missing."""
-    accepted = sum(ok for _, ok in scores)
-    rejected = len(scores) - accepted
+def threshold(scored: DataFrame) -> float | None:
+    """Where accepted and rejected addresses of ``scored(score, label)`` part with the
+    fewest errors, each class weighing the same; the middle of the gap, the lowest of
+    several. None if one class is missing.
+
+    Equal scores are one row; their running sums start anew in each bin of scores, from
+    the sums of the bins before it.
+    """
+    of = lambda label: F.count_if(F.col("label") == label)
+    rows = scored.groupBy("score").agg(of("accept").alias("a"), of("reject").alias("r"))
+    rows = materialize(rows.withColumn("bin", F.floor(F.col("score") * BINS)), "kept_out")
+    bins = sorted(tuple(x) for x in rows.groupBy("bin").agg(F.min("score"), F.sum("a"), F.sum("r")).collect())
+    accepted, rejected = sum(x[2] for x in bins), sum(x[3] for x in bins)
     if not accepted or not rejected:
         return None
-    scores = sorted(scores)
-    lost, passed = 0.0, 1.0
-    best, at = passed, scores[0][0] - 1.0
-    for (value, ok), after in zip(scores, [*scores[1:], (scores[-1][0] + 2.0, True)], strict=True):
-        lost, passed = (lost + 1 / accepted, passed) if ok else (lost, passed - 1 / rejected)
-        if after[0] > value and lost + passed < best - 1e-12:
-            best, at = lost + passed, (value + after[0]) / 2
-    return at
+    before, a, r = [], 0, 0
+    for (at, _, more_a, more_r), after in zip(bins, [*(x[1] for x in bins[1:]), None], strict=True):
+        before.append((at, a, r, after))
+        a, r = a + more_a, r + more_r
+    starts = scored.sparkSession.createDataFrame(before, "bin long, a0 long, r0 long, after double")
+    order = Window.partitionBy("bin").orderBy("score")
+    passed = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lost, caught = F.col("a0") + F.sum("a").over(passed), F.col("r0") + F.sum("r").over(passed)
+    errors = lost.cast("decimal(38,0)") * rejected - caught.cast("decimal(38,0)") * accepted
+    after = F.coalesce(F.lead("score").over(order), "after", F.col("score") + 2.0)
+    least = rows.join(starts, "bin").select(F.struct(errors.alias("errors"), "score", after.alias("after")).alias("x")).agg(F.min("x").alias("x")).first().x
+    # Nothing is better than letting all pass: below the lowest score.
+    return (least.score + least.after) / 2 if least.errors < 0 else bins[0][1] - 1.0
 
 
 def _labelled(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -194,9 +208,10 @@ def _labelled(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _calibrated(ratio: Ratio, kept_out: DataFrame, steps: DataFrame) -> float | None:
-    spread = Window.partitionBy("label").orderBy(F.md5("text"), "text")
-    sample = kept_out.distinct().withColumn("rank", F.row_number().over(spread)).filter(F.col("rank") <= MAX_CALIBRATION)
-    return threshold([(row._score, row.label == "accept") for row in ratio.scored(sample, "text", steps).collect()])
+    found = threshold(ratio.scored(kept_out.distinct(), "text", steps).select(F.col("_score").alias("score"), "label"))
+    if found is None and not ratio.contexts.filter("context = '' and total_a > 0 and total_r > 0").isEmpty():
+        return 0.0
+    return found
 
 
 def _fitted(pages: DataFrame, order: int = ORDER) -> tuple[Ratio, float | None, DataFrame]:

@@ -323,6 +323,34 @@ def test_all_contexts_count(spark, monkeypatch, fast):
         assert r.score == pytest.approx(sum(steps) / len(steps), abs=1e-9)
 
 
+def test_threshold_over_all_kept_out_addresses(spark):
+    import random
+
+    def plain(rows):
+        """The lowest cut with the fewest errors, by trying each."""
+        values = sorted({v for v, _ in rows})
+        cuts = [values[0] - 1.0] + [(x + y) / 2 for x, y in zip(values, [*values[1:], values[-1] + 2.0], strict=True)]
+        n = {ok: sum(k == ok for _, k in rows) for ok in (True, False)}
+        errors = lambda cut: sum(v < cut for v, ok in rows if ok) * n[False] + sum(v > cut for v, ok in rows if not ok) * n[True]
+        return min(cuts, key=lambda cut: (errors(cut), cut))
+
+    rng = random.Random(3)
+    many = [(rng.choice([rng.gauss(m, 0.002), round(rng.gauss(m, 1), 1)]), ok) for ok, m in ((True, 0.5), (False, -0.1)) for _ in range(200)]
+    for rows in (many, [(1.0, False), (0.0, True)], [(0.0, False), (3.0, True), (3.0, False)]):
+        df = spark.createDataFrame([(v, "accept" if ok else "reject") for v, ok in rows], "score double, label string")
+        assert url_filter.threshold(df) == pytest.approx(plain(rows))
+
+
+def test_no_rejected_address_kept_out(spark):
+    import zlib
+
+    kept_out = lambda text: zlib.crc32(text.encode()) % url_filter.HELD_OUT == 0
+    spam = [t for t in (f"casino-{i}.example.com/win/{i}" for i in range(60)) if not kept_out(t)][:8]
+    urls = ["http://" + t for t in [*(f"site{i % 7}.example.com/en/{i * 17 % 900}" for i in range(150)), *spam]]
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert all(r.verdict == "block" for r in rows if "casino" in r.host) and any(r.verdict == "allow" for r in rows)
+
+
 # Sharding ---------------------------------------------------------------------------
 
 def test_growth_moves_rows_only_into_the_new_shard(spark):
