@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import block_anchors, byte_bpe, decontaminate, language_id, license_scan, merkle, periodic_runs, pseudonyms, quality_rules, set_join, shard_tree, url_filter
+from corpusloom.llm import block_anchors, byte_bpe, decontaminate, language_id, license_scan, merkle, periodic_runs, pseudonyms, quality_rules, secret_scan, set_join, shard_tree, url_filter
 
 QUERIES = {
     "op1_url_language_model": (url_filter.op1_url_language_model, None),
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": (byte_bpe.op8_byte_bpe, None),
     "op9_weighted_hash_tree": (shard_tree.op9_weighted_hash_tree, shard_tree.ORACLE_SQL),
     "op10_quality_rules": (quality_rules.op10_quality_rules, quality_rules.ORACLE_SQL),
+    "op11_secret_models": (secret_scan.op11_secret_models, None),
     "op12_periodic_runs": (periodic_runs.op12_periodic_runs, None),
     "op13_merkle_proofs": (merkle.op13_merkle_proofs, merkle.ORACLE_SQL),
 }
