@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.native import table
+from corpusloom.llm.native import aside, table
 
 # Closely related languages; any other language is a family of its own.
 FAMILIES = {
@@ -176,8 +176,9 @@ def identify(docs: DataFrame, model: Identifier | None, text: str = "text") -> D
             rows = [(UNKNOWN, 0.0) if t is None else own.predict(t) for t in texts]
             yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
+    docs, back = aside(docs, "_p")
     readable = F.when(F.col(text).rlike(HAS_LETTER), F.col(text))
-    return docs.withColumn("_p", predict(readable)).withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    return docs.withColumn("_p", predict(readable)).withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p").withColumnsRenamed(back)
 
 
 def op4_language_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:

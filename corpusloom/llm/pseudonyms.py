@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import let
-from corpusloom.llm.native import table
+from corpusloom.llm.native import aside, table
 
 KEY = "change-this-key"
 ROUNDS = 8
@@ -210,13 +210,14 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     """``docs`` with personal data replaced in ``text``, and ``n_replaced``."""
+    docs, back = aside(docs, "_found", "_new")
     value = F.col(text)
     found = docs.withColumn("_found", F.when(value.rlike(GATE), F.regexp_extract_all(value, F.lit(ANY), F.lit(0))))
     found = found.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda v: pseudonym(v, key))))
     between = F.split(value, ANY, -1)
     woven = let(between, lambda b: F.array_join(F.flatten(F.transform(b, lambda part, i: F.array(part, F.coalesce(F.get("_new", i), F.lit(""))))), ""))
     replaced = F.coalesce(F.size(F.filter(F.arrays_zip("_found", "_new"), lambda z: z["_found"] != z["_new"])), F.lit(0)).cast("long")
-    return found.withColumns({text: F.when(F.col("_new").isNotNull(), woven).otherwise(value), "n_replaced": replaced}).drop("_found", "_new")
+    return found.withColumns({text: F.when(F.col("_new").isNotNull(), woven).otherwise(value), "n_replaced": replaced}).drop("_found", "_new").withColumnsRenamed(back)
 
 
 def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

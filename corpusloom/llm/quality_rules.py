@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import let
-from corpusloom.llm.native import BLANK, table, words
+from corpusloom.llm.native import BLANK, aside, table, words
 
 WINDOW = 8
 SYMBOLS = r"[#*$%&|<>]"
@@ -114,9 +114,10 @@ def assess(text: Column, rules=RULES) -> Column:
 
 def measure(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """``docs`` with counts, ratios, the names of failed rules and the verdict ``kept``."""
+    docs, back = aside(docs, "_assessed")
     source = docs.withColumn("_assessed", assess(F.col(text), rules))
     rest = [c for c in docs.columns if c not in RESULT]
-    return source.select(*rest, "_assessed.measures.*", "_assessed.verdict.*")
+    return source.select(*rest, "_assessed.measures.*", "_assessed.verdict.*").withColumnsRenamed(back)
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:

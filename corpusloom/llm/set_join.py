@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import components
-from corpusloom.llm.native import table
+from corpusloom.llm.native import aside, table
 from corpusloom.session import materialize
 
 SHINGLE = 5
@@ -269,9 +269,10 @@ def group_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "te
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """One document of each group, with its own columns: the one of the smallest id."""
     kept = group_duplicates(docs, id_column, text, threshold=threshold).filter("kept").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    docs, back = aside(docs, "_text_hash", "_id", "_hash")
     hashed = docs.withColumn("_text_hash", F.xxhash64(text))
     same = hashed[id_column].eqNullSafe(kept["_id"]) & (hashed["_text_hash"] == kept["_hash"])
-    return hashed.join(kept, same, "left_semi").dropDuplicates([id_column, "_text_hash"]).drop("_text_hash")
+    return hashed.join(kept, same, "left_semi").dropDuplicates([id_column, "_text_hash"]).drop("_text_hash").withColumnsRenamed(back)
 
 
 def op2_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.native import table
+from corpusloom.llm.native import aside, table
 from corpusloom.session import materialize
 
 SHARDS = 16
@@ -74,10 +74,11 @@ def assign(df: DataFrame, key: Column, leaves: list[Leaf], name: str = "shard")
     regions = _totals(leaves, "region")
     within = {r: [x for x in leaves if x.region == r] for r in regions}
     racks = {x.rack: [y for y in leaves if y.rack == x.rack] for x in leaves}
+    df, back = aside(df, "_region", "_rack")
     df = df.withColumn("_region", _choose(text, "region", regions))
     df = df.withColumn("_rack", _descend(F.col("_region"), {r: _choose(text, "rack", _totals(below, "rack")) for r, below in within.items()}))
     shard = _descend(F.col("_rack"), {r: _choose(text, "shard", _totals(below, "shard")) for r, below in racks.items()})
-    return df.withColumn(name, shard.cast("int")).drop("_region", "_rack")
+    return df.withColumn(name, shard.cast("int")).drop("_region", "_rack").withColumnsRenamed(back)
 
 
 def number_rows(df: DataFrame, shard: str = "shard", digits: int = 3) -> DataFrame:
@@ -86,6 +87,7 @@ def number_rows(df: DataFrame, shard: str = "shard", digits: int = 3) -> DataFra
     Equal rows are first counted per input partition, then hash buckets (``16**digits`` a
     shard) are numbered in parallel and shifted by the rows of the buckets before them.
     """
+    df, back = aside(df, "_part", "_n", "_order", "_bucket", "_rows", "_shift", "_start")
     columns = df.columns
     order = F.md5(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
     counted = df.groupBy(*columns, F.spark_partition_id().alias("_part")).agg(F.count("*").alias("_n"))
@@ -96,7 +98,7 @@ def number_rows(df: DataFrame, shard: str = "shard", digits: int = 3) -> DataFra
     inside = Window.partitionBy(shard, "_bucket").orderBy("_order", "_part").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("_start", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(buckets, [shard, "_bucket"])
     first = F.col("_shift") + F.col("_start")
-    return placed.select(*columns, F.explode(F.sequence(first, first + F.col("_n") - 1)).alias("slot"))
+    return placed.select(*columns, F.explode(F.sequence(first, first + F.col("_n") - 1)).alias("slot")).withColumnsRenamed(back)
 
 
 def op9_weighted_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.llm.native import table
+from corpusloom.llm.native import aside, table
 from corpusloom.session import materialize
 
 # Parts of host names that mark an address as rejected for training.
@@ -228,6 +228,7 @@ def fit(pages: DataFrame, order: int = ORDER) -> tuple[Ratio, float | None]:
 
 def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     """``pages`` with host, path, rule, score and verdict."""
+    pages, back = aside(pages, "_text", "_score", "_effect", "_sums", "_open", "_more")
     host, path = address_parts(F.col(url))
     parts = pages.withColumns({"host": host, "path": path}).withColumn("_text", symbols(F.col("host"), F.col("path")))
     ratio, limit, steps = _fitted(parts.select("host", F.col("_text").alias("text")))
@@ -236,7 +237,7 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES) -> DataFrame:
     judged = ratio.scored(parts, "_text", steps).withColumns({"score": F.col("_score"), "rule": name, "_effect": effect})
     rejected = F.lit(False) if limit is None else (F.col("_text") != "") & (F.col("score") < limit)
     verdict = F.coalesce("_effect", F.when(rejected, "block").otherwise("allow"))
-    return judged.withColumn("verdict", verdict).drop("_text", "_effect", "_score")
+    return judged.withColumn("verdict", verdict).drop("_text", "_effect", "_score").withColumnsRenamed(back)
 
 
 def op1_url_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

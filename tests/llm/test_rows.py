@@ -1,9 +1,11 @@
 """Every operator on awkward rows: nulls, empty and long texts, repeats, clashing columns."""
 
-import pytest
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 
-from corpusloom.llm import block_anchors, byte_bpe, decontaminate, language_id, license_scan, pseudonyms, quality_rules, set_join, shard_tree, url_filter
+import corpus_pipeline
+from corpusloom.llm import block_anchors, byte_bpe, decontaminate, language_id, license_scan, merkle, periodic_runs, pseudonyms, quality_rules, secret_scan, set_join, shard_tree, url_filter
 
 LONG = " ".join(f"word{i % 997} the of and" for i in range(30_000))
 ROWS = [
@@ -13,7 +15,14 @@ ROWS = [
 COUNT = len(ROWS)
 VOCABULARY = byte_bpe.Vocabulary.load(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN)
 # Names that operators use for their results or inside.
-CLASH = ("kept", "hash", "words", "n", "sid", "node", "g", "_words", "n_replaced", "component_id", "label", "score", "lines")
+CLASH = (
+    "kept", "hash", "words", "n", "sid", "node", "g", "_words", "n_replaced", "component_id", "label", "score", "lines", "_found", "_new", "_assessed", "_p", "_text",
+    "_score", "_effect", "_sums", "_ids", "_joined", "_coded", "_text_hash", "_id", "_hash", "_region", "_rack", "_part", "_n", "_order", "secrets", "spans",
+)
+# Operators that pass the columns of their input on, and the names that hold their results.
+PASSING = {
+    "quality": {"kept"}, "language": {"score"}, "pseudonyms": {"n_replaced"}, "tokens": set(), "addresses": {"score"}, "secrets": {"secrets"}, "shards": set(),
+}
 
 
 @pytest.fixture(scope="module")
@@ -23,8 +32,6 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def clashing(docs):
-    from pyspark.sql import functions as F
-
     return docs.withColumns({name: F.lit("x") for name in CLASH})
 
 
@@ -42,6 +49,10 @@ RUNS = {
     "pseudonyms": lambda d: pseudonyms.pseudonymise(d),
     "tokens": lambda d: byte_bpe.digests(d, VOCABULARY),
     "addresses": lambda d: url_filter.judge(d, "text"),
+    "secrets": lambda d: secret_scan.scan(d, secret_scan.fit(d)),
+    "shards": lambda d: shard_tree.number_rows(shard_tree.assign(d, d.doc_id, shard_tree.layout(16))),
+    "runs": lambda d: periodic_runs.periodic_runs(d),
+    "proofs": lambda d: merkle.manifest(d.withColumns({c: F.lit(None).cast("string") for c in ("source", "n_chars")})),
 }
 FILTERS = {
     "quality": lambda d: quality_rules.keep_good(d),
@@ -57,6 +68,28 @@ def test_one_answer_per_row(docs, clashing, name):
     assert RUNS[name](docs.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("name", list(PASSING))
+def test_columns_of_the_input_pass_unchanged(clashing, name):
+    result = RUNS[name](clashing)
+    passed = [c for c in CLASH if c not in PASSING[name]]
+    assert set(clashing.columns) <= set(result.columns) and len(set(result.columns)) == len(result.columns)
+    assert result.select(passed).distinct().collect() == [("x",) * len(passed)]
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_pipeline_stages_on_awkward_tables(spark, docs, clashing, place, stage):
+    name, run = stage
+    benchmark(spark).write.parquet(f"{place}/benchmark.parquet")
+    for given in (docs, clashing, docs.filter("false"), docs.withColumn("text", F.lit(None).cast("string"))):
+        given = given.withColumn("source", F.lit("web"))
+        result = run(spark, given, place)
+        assert name == "tokens" or result.columns == given.columns
+        assert result.count() <= given.count()
+        if name not in ("tokens", "personal_data") or given.isEmpty():
+            continue
+        assert result.count() == given.count()
+
+
 @pytest.mark.parametrize("name", list(FILTERS))
 def test_filters_keep_the_columns(docs, clashing, name):
     assert FILTERS[name](docs).columns == docs.columns
