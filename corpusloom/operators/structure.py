@@ -6,13 +6,10 @@ are grouped by note. A note is at most 4 MiB, so a note's lines are a bounded gr
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import BLANKS, fold, lines, lstrip, strip
+from corpusloom.functions.text import BLANKS, fold, let, lines, lstrip, strip
 
 # The shapes of headings, table rules, fields and links in notes.
 HEADING = rf"^(#{{1,6}})[{BLANKS}]+(.+?)[{BLANKS}]*#*[{BLANKS}]*$"
@@ -153,43 +150,47 @@ def conditions(notes: DataFrame, structure: DataFrame | None = None) -> DataFram
     return written.unionByName(recorded)
 
 
-def _fenced(markers: Column) -> Column:
-    """Which lines belong to a fence, given each line's fence marker or ''.
+def _open_ranges(texts: Column) -> Column:
+    """The ranges of lines outside fences, as array<struct<skip,size>>.
 
-    A fence closes on the same character at least as long as its opening, which needs
-    the opening length: sequential, so a small per-note loop over short markers.
+    A fold over the few lines that carry a fence marker. The state is the marker that holds
+    the fence open ("" outside), the first line after the last fence, and the ranges so far.
+    A marker is a run of one character, so a fence ends at a marker that begins with its own.
     """
+    marks = F.filter(
+        F.transform(texts, lambda t, i: F.struct(i.alias("line"), F.regexp_extract(t, FENCE, 1).alias("mark"))), lambda m: m["mark"] != ""
+    )
+    none = F.array().cast("array<struct<skip:int,size:int>>")
+    begin = F.struct(F.lit("").alias("held"), F.lit(0).alias("free"), none.alias("ranges"))
 
-    def one(row):
-        flags, opened = [], ""
-        for marker in row:
-            flags.append(bool(marker) or bool(opened))
-            if marker:
-                if not opened:
-                    opened = marker
-                elif marker[0] == opened[0] and len(marker) >= len(opened):
-                    opened = ""
-        return flags
+    def upto(state: Column, line: Column) -> Column:
+        return F.concat(state["ranges"], F.array(F.struct(state["free"].alias("skip"), (line - state["free"]).alias("size"))))
 
-    @F.pandas_udf("array<boolean>")
-    def flag(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(one, na_action="ignore")
+    def step(state: Column, m: Column) -> Column:
+        opening = state["held"] == ""
+        closing = ~opening & F.startswith(m["mark"], state["held"])
+        return F.struct(
+            F.when(opening, m["mark"]).when(closing, F.lit("")).otherwise(state["held"]).alias("held"),
+            F.when(closing, m["line"] + 1).otherwise(state["free"]).alias("free"),
+            F.when(opening, upto(state, m["line"])).otherwise(state["ranges"]).alias("ranges"),
+        )
 
-    return flag(markers)
+    # What an unclosed fence holds is fenced to the end of the note.
+    last = lambda s: F.when(s["held"] == "", upto(s, F.size(texts))).otherwise(s["ranges"])
+    return F.aggregate(marks, begin, step, last)
 
 
 def unfenced_lines(notes: DataFrame) -> DataFrame:
-    """(uri, line, text) outside fences; only notes with a fence visit Python."""
-    base = notes.select("uri", lines(F.col("raw")).alias("texts"))
-    markers = F.transform("texts", lambda t: F.regexp_extract(t, FENCE, 1))
-    flagged = base.withColumn("flags", _fenced(F.when(F.exists(markers, lambda m: m != ""), markers)))
-    # Each exploded line brings its own flag; nothing note-sized is carried per line.
-    marked = F.transform(
-        "texts",
-        lambda t, i: F.struct((i + 1).alias("line"), t.alias("text"), F.coalesce(F.get("flags", i), F.lit(False)).alias("fenced")),
-    )
-    return flagged.select("uri", F.inline_outer(marked)).where(~F.col("fenced")).drop("fenced")
+    """(uri, line, text) outside fences."""
+
+    def numbered(texts: Column) -> Column:
+        whole = F.transform(texts, lambda t, i: F.struct((i + 1).alias("line"), t.alias("text")))
+        piece = lambda w, r: F.slice(w, r["skip"] + 1, r["size"])
+        parts = let(whole, lambda w: F.flatten(F.transform(_open_ranges(texts), lambda r: piece(w, r))))
+        return F.when(F.exists(texts, lambda t: t.rlike(FENCE)), parts).otherwise(whole)
+
+    # The outer form: a plain inline() would evaluate the array twice.
+    return notes.select("uri", F.inline_outer(let(lines(F.col("raw")), numbered))).where("line is not null")
 
 
 def links(notes: DataFrame, positions: bool = False) -> DataFrame:

@@ -29,6 +29,32 @@ def test_fence_states_match_a_sequential_scan(spark):
             assert got[(f"n{i}", n)] == inside, (raw, n)
 
 
+def test_only_lines_outside_fences_are_read_for_links(spark):
+    rng = random.Random(5)
+    marks = ["```", "````", "`````", "~~~", "~~~~", "  ```py", "    ```", "~~~ ```", "text", "", "`` x", "[a](b)"]
+    raws = ["\n".join(rng.choice(marks) for _ in range(rng.randint(0, 40))) for _ in range(80)]
+    raws += ["```\n~~~\n````\nout", "~~~~\n~~~\nin", "```\nin", "a\n```", "```\nx\n```\n```\ny", "```" + "\nx" * 300]
+    got = {}
+    for r in structure.unfenced_lines(notes(spark, *raws)).collect():
+        got.setdefault(r.uri, []).append((r.line, r.text))
+
+    def outside(raw):
+        """A fence runs from its marker to the next line whose marker begins with it."""
+        texts = raw.splitlines()
+        mark = lambda t: (lambda s: s[: len(s) - len(s.lstrip(s[0]))] if len(t) - len(s) <= 3 and s[:3] in ("```", "~~~") else "")(t.lstrip(" ") or "x")
+        at, kept = 0, []
+        while at < len(texts):
+            if held := mark(texts[at]):
+                at = next((j for j in range(at + 1, len(texts)) if mark(texts[j]).startswith(held)), len(texts))
+            else:
+                kept.append((at + 1, texts[at]))
+            at += 1
+        return kept
+
+    for i, raw in enumerate(raws):
+        assert got.get(f"n{i}", []) == outside(raw), raw
+
+
 def test_blocks_and_sections(spark):
     raw = "# A\np | q\n--|--\nr | s\ntail\n\n### C ###\n## B\nx\n~~~ js \n# no\n```\n"
     rows = structure.blocks(notes(spark, raw)).orderBy("line_start").collect()
