@@ -120,12 +120,18 @@ def test_running_results(spark, n):
 
 
 def test_models_tell_unseen_strings_apart(spark):
-    model = S.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+    model = S.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     rng = random.Random(4)
     digits = lambda k: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=k))
     unlike = [(i, "key " + digits(24)) for i in range(300)]
-    names = "get_user_profile_by_name2 readConfigurationFromDisk9 /usr/local/share/lib/python3 kubernetes-cluster-node-17 HttpRequestHandlerFactory2".split()
-    plain = [(1000 + i, f"call {n} now") for i, n in enumerate(names)]
-    found = {r.doc_id for r in S.scan(spark.createDataFrame(unlike + plain, "doc_id long, text string"), model).collect() if r.secrets.added}
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").limit(50).collect()]
+    words = sorted(set(re.findall("[a-z]{3,9}", " ".join(texts))))
+    joints = [lambda a, b: a + b.title(), lambda a, b: a + "_" + b, lambda a, b: f"{a}/{b}", lambda a, b: f"{a}-{b}"]
+    names = []
+    for i in range(400):
+        a, b, c = rng.choices(words, k=3)
+        join = rng.choice(joints)
+        names.append((1000 + i, f"call {join(join(a, b), c) + 'Name' + str(rng.randrange(1000)):_<20} now"))
+    found = {r.doc_id for r in S.scan(spark.createDataFrame(unlike + names, "doc_id long, text string"), model).collect() if r.secrets.added}
     assert len([i for i in found if i < 1000]) >= 290
-    assert not [i for i in found if i >= 1000]
+    assert len([i for i in found if i >= 1000]) <= 8
