@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markdown as md
-from corpusloom.operators import lexical
+from corpusloom.operators import lexical, pruned
 from corpusloom.operators.snapshots import refresh_plan
 from corpusloom.operators.structure import blocks, conditions
 from corpusloom.plans.search import Index
@@ -35,31 +35,59 @@ class Catalog:
     def entries(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/entries/snapshot={self.generation}")
 
+    def _stored(self, name: str) -> DataFrame:
+        """All rows since the last full snapshot, with the ``snapshot`` that wrote them."""
+        return self.spark.read.parquet(f"{self.root}/{name}").where(F.col("snapshot").between(self.floor, self.generation))
+
+    def valid(self, rows: DataFrame) -> DataFrame:
+        """Rows (uri, snapshot) that this snapshot still holds."""
+        if self.full:
+            return rows
+        return rows.join(self.entries().select("uri", F.col("written").alias("snapshot")), ["uri", "snapshot"], "left_semi")
+
     def table(self, name: str) -> DataFrame:
         if self.full:
             return self.spark.read.parquet(f"{self.root}/{name}/snapshot={self.generation}")
-        rows = self.spark.read.parquet(f"{self.root}/{name}").where(F.col("snapshot").between(self.floor, self.generation))
-        valid = self.entries().select("uri", F.col("written").alias("snapshot"))
-        return rows.join(valid, ["uri", "snapshot"], "left_semi").drop("snapshot")
+        return self.valid(self._stored(name)).drop("snapshot")
+
+    def postings(self) -> DataFrame:
+        return lexical.postings(self.table("terms"))
+
+    def frequencies(self) -> DataFrame:
+        """Notes per term: every snapshot stored what it added and took away."""
+        return self._stored("frequencies").groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
 
     def index(self) -> Index:
-        return Index(self.table("postings"), lexical.corpus_stats(self.table("lengths")), None)
+        return Index(self.postings(), lexical.corpus_stats(self.table("lengths")), self.frequencies(), self._stored("blocks"), self.valid)
 
 
 def note_topics(notes: DataFrame) -> DataFrame:
     return notes.select("uri", F.explode(F.array_distinct(F.transform("topics", F.lower))).alias("topic"))
 
 
-def _write(notes: DataFrame, root: str, generation: int) -> None:
-    tables = {
-        "notes": notes,
-        "lengths": lexical.note_lengths(notes),
-        # Sorted by term inside each file, so a search skips the row groups of other terms.
-        "postings": lexical.postings(lexical.note_terms(notes)).sortWithinPartitions("term"),
-        "topics": note_topics(notes),
-    }
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}/snapshot={generation}")
+def _write(notes: DataFrame, root: str, generation: int, gone: DataFrame | None = None) -> None:
+    """The tables of one snapshot. ``gone`` holds the earlier terms of replaced and deleted
+    notes, which leave the frequencies. Texts are tokenised once; lengths, frequencies and
+    posting blocks come from the stored terms."""
+    spark = notes.sparkSession
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        path = f"{root}/{name}/snapshot={generation}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    put("notes", notes)
+    put("topics", note_topics(notes))
+    terms = put("terms", lexical.note_terms(notes))
+    lengths = put("lengths", terms.select("uri", F.coalesce(F.get("terms", F.lit(0))["doc_len"], F.lit(0.0)).alias("doc_len")))
+    posts = lexical.postings(terms)
+    added = lexical.term_frequencies(posts)
+    change = added
+    if gone is not None:
+        left = lexical.term_frequencies(lexical.postings(gone)).withColumn("df", -F.col("df"))
+        change = added.unionByName(left).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+    put("frequencies", change)
+    put("blocks", pruned.build_blocks(posts, lexical.corpus_stats(lengths), added))
 
 
 def _entries(notes: DataFrame, generation: int) -> DataFrame:
@@ -116,7 +144,8 @@ def refresh(notes: DataFrame, root: str, readable_roots: DataFrame, mounted_root
     if plan.where(F.col("action").isin("insert", "update", "delete", "touch")).isEmpty():
         return before, plan
     changed = notes.join(plan.where(F.col("action").isin("insert", "update")).select("uri"), "uri", "left_semi")
-    _write(changed, root, generation)
+    gone = before.table("terms").join(plan.where(F.col("action").isin("update", "delete")).select("uri"), "uri", "left_semi")
+    _write(changed, root, generation, gone)
     fresh = _entries(spark.read.schema(changed.schema).parquet(f"{root}/notes/snapshot={generation}"), generation)
     kept = before.entries().join(plan.where(F.col("action").isin("update", "delete")).select("uri"), "uri", "left_anti")
     touched = notes.select("uri", F.col("stat_key").alias("new_stat")).join(plan.where("action = 'touch'").select("uri"), "uri", "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import markdown as md
 from corpusloom.functions.text import tokens
-from corpusloom.operators import lexical, ranking
+from corpusloom.operators import lexical, pruned, ranking
 from corpusloom.operators.excerpts import DEFAULT_QUERY_CHARS, MAX_RESULTS, excerpts
 from corpusloom.operators.vector import vector_topk
 from corpusloom.session import materialize
@@ -25,6 +26,8 @@ class Index:
     postings: DataFrame
     stats: DataFrame
     frequencies: DataFrame | None = None
+    blocks: DataFrame | None = None
+    valid: Callable[[DataFrame], DataFrame] = lambda posts: posts
 
 
 def fetch_size(limit: int) -> tuple[int, int]:
@@ -82,14 +85,19 @@ def valid_hits(hits: DataFrame, notes: DataFrame, layers: list[str], active_pref
 
 def lexical_route(asked: DataFrame, notes: DataFrame, fetch: int, index: Index | None = None) -> DataFrame:
     """Ranked lexical hits (query_id, uri, score, rank) after topic rules."""
+    wanted = asked.select("query_id", "mode", F.explode("topics").alias("topic"))
+    topics = notes.select("uri", F.explode(F.array_distinct(F.transform("topics", F.lower))).alias("topic"))
+    only = lambda pairs: ranking.only_topics(pairs, topics, wanted.where("mode = 'only'"))
+    terms = lexical.query_terms(asked)
     if index is None:
-        scores = lexical.lexical_search(asked, notes)
+        kept = only(lexical.lexical_search(asked, notes))
+    elif index.blocks is not None:
+        pool = notes.select("uri")
+        live = lambda posts: index.valid(posts).join(pool, "uri", "left_semi")
+        kept = pruned.pruned_scores(terms, index.blocks, index.stats, index.frequencies, fetch, live, only, ranking.TOPIC_BOOST)
     else:
         posts = index.postings.join(notes.select("uri"), "uri", "left_semi")
-        scores = lexical.bm25(lexical.query_terms(asked), posts, index.stats, index.frequencies)
-    wanted = asked.select("query_id", "mode", F.explode("topics").alias("topic"))
-    topics = notes.select("uri", F.explode(F.array_distinct(F.transform("topics", F.lower))).alias("topic"))
-    kept = ranking.only_topics(scores, topics, wanted.where("mode = 'only'"))
+        kept = only(lexical.bm25(terms, posts, index.stats, index.frequencies))
     return ranking.top_k(ranking.boost_preferred(kept, topics, wanted).drop("preferred"), fetch)
 
 

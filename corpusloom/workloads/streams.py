@@ -64,7 +64,7 @@ def streamed_catalog(spark, folder):
     catalog_stream(shaped, root, _place(spark, "progress"))
     stored = catalog.latest(spark, root)
     return (
-        stored.table("postings").groupBy("layer").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("words"))
+        stored.postings().groupBy("layer").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("words"))
         .join(stored.table("notes").groupBy("layer").agg(F.count(F.lit(1)).alias("notes")), "layer")
     )
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from corpusloom.operators import health, intake, lexical, ranking, redact, snapshots
+from corpusloom.operators import health, intake, lexical, pruned, ranking, redact, snapshots
 from corpusloom.plans import catalog, export
 from corpusloom.sources.change_requests import change_request_notes
 from corpusloom.sources.notes import check_identity
@@ -199,7 +199,7 @@ def catalog_search(spark, folder):
     """Write a catalog snapshot, then rank the query batch from its stored tables."""
     stored = catalog.build(notes(spark, folder), f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}")
     index = stored.index()
-    scores = lexical.bm25(lexical.query_terms(benchmark_queries(spark, folder)), index.postings, index.stats, index.frequencies)
+    scores = pruned.pruned_scores(lexical.query_terms(benchmark_queries(spark, folder)), index.blocks, index.stats, index.frequencies, 8)
     return ranking.top_k(scores, 8).select("query_id", "uri", F.col("rank").cast("long").alias("rank"), micro("score").alias("score"))
 
 

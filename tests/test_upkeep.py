@@ -74,8 +74,9 @@ def write(root, files):
 
 
 def stored(cat):
-    rows = lambda name, *cols: sorted(tuple(r) for r in cat.table(name).select(*cols).collect())
-    return rows("notes", "uri", "title", "source_sha256"), rows("postings", "uri", "term", "tf", "doc_len"), rows("topics", "uri", "topic"), rows("lengths", "uri", "doc_len")
+    of = lambda df, *cols: sorted(tuple(r) for r in df.select(*cols).collect())
+    rows = lambda name, *cols: of(cat.table(name), *cols)
+    return rows("notes", "uri", "title", "source_sha256"), of(cat.postings(), "uri", "term", "tf", "doc_len"), of(cat.frequencies(), "term", "df"), rows("topics", "uri", "topic"), rows("lengths", "uri", "doc_len")
 
 
 def test_incremental_refresh_equals_rebuild(spark, place):
