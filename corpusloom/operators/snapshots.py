@@ -8,7 +8,15 @@ from pyspark.sql import functions as F
 DIGEST_LEVELS = (5, 2)
 
 
-def _fold(rows: DataFrame, groups: list[Column], name: str, text: Column) -> DataFrame:
+def manifest_line(key: str, value: str) -> Column:
+    return F.concat(F.col(key), F.lit("\0"), F.col(value), F.lit("\n"))
+
+
+def node_line(node: str) -> Column:
+    return manifest_line(node, "digest")
+
+
+def fold_level(rows: DataFrame, groups: list[Column], name: str, text: Column) -> DataFrame:
     joined = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct(F.col(name), text.alias("line")))), lambda r: r["line"]))
     return rows.groupBy(*groups).agg(F.sha2(joined, 256).alias("digest"))
 
@@ -23,12 +31,11 @@ def corpus_digest(rows: DataFrame, key: str = "path", value: str = "sha256", lev
     has 16^5 leaves: a billion rows make groups of about a thousand lines.
     """
     own = [F.col(c) for c in per]
-    line = F.concat(F.col(key), F.lit("\0"), F.col(value), F.lit("\n"))
     keyed = rows.select(*own, F.col(key), F.col(value), F.sha2(F.col(key), 256).alias("hex"))
-    current = _fold(keyed, [*own, F.left("hex", F.lit(levels[0])).alias("node")], key, line)
+    current = fold_level(keyed, [*own, F.left("hex", F.lit(levels[0])).alias("node")], key, manifest_line(key, value))
     for width in (*levels[1:], 0):
         parent = F.left("node", F.lit(width)).alias("parent")
-        current = _fold(current, [*own, parent], "node", F.concat("node", F.lit("\0"), "digest", F.lit("\n"))).withColumnRenamed("parent", "node")
+        current = fold_level(current, [*own, parent], "node", node_line("node")).withColumnRenamed("parent", "node")
     return current.select(*own, "digest")
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusloom.operators import health, intake, lexical, pruned, ranking, redact, snapshots
-from corpusloom.plans import catalog, export
+from corpusloom.plans import catalog, export, manifest_tree
 from corpusloom.sources.change_requests import change_request_notes
 from corpusloom.sources.notes import check_identity
 from corpusloom.session import shared_folder
@@ -44,6 +44,31 @@ def snapshot_diff(spark, folder):
 SNAPSHOT_DIFF = f"WITH {SNAPSHOTS}, {DIFF} SELECT path, change FROM changes"
 
 
+def tree_changes(spark, folder):
+    """Both snapshots stored as trees of hashes; only what lies below unequal nodes is compared."""
+    root = f"{shared_folder(spark)}/manifests-{uuid.uuid4().hex}"
+    before, after = (manifest_tree.store(rows, f"{root}/{name}") for rows, name in zip(_snapshots(spark, folder), ("before", "after"), strict=True))
+    return manifest_tree.compare(before, after).changes
+
+
+TREE_CHANGES = f"WITH {SNAPSHOTS}, {DIFF} SELECT path, old AS before, new AS after, change FROM changes WHERE change <> 'unchanged'"
+
+
+def tree_check(spark, folder):
+    """A declared manifest against files of which a source was edited and another got lost."""
+    root = f"{shared_folder(spark)}/manifests-{uuid.uuid4().hex}"
+    name = F.concat("source", F.lit("/"), "doc_id")
+    declared = documents(spark, folder).select(name.alias("path"), F.sha2("text", 256).alias("sha256"), "source")
+    edited = F.when(F.col("source") == "src2", F.sha2("sha256", 256)).otherwise(F.col("sha256"))
+    moved = F.when(F.col("source") == "src4", F.concat(F.lit("new/"), "path")).otherwise(F.col("path"))
+    found = declared.where("source <> 'src3'").select(moved.alias("path"), edited.alias("sha256"))
+    return manifest_tree.verify(manifest_tree.store(declared, f"{root}/declared"), manifest_tree.store(found, f"{root}/found"))
+
+
+TREE_CHECK = """SELECT source || '/' || doc_id AS path, CASE source WHEN 'src2' THEN 'body_changed' ELSE 'missing_file' END AS rule FROM documents WHERE source IN ('src2', 'src3', 'src4')
+UNION ALL SELECT 'new/' || source || '/' || doc_id, 'unmanaged_file' FROM documents WHERE source = 'src4'"""
+
+
 def snapshot_renames(spark, folder):
     before, after = _snapshots(spark, folder)
     return snapshots.renames(snapshots.diff(before, after, "path", "sha256"), "path").select("renamed_from", "renamed_to")
@@ -399,6 +424,8 @@ FROM orders LEFT JOIN t ON o_orderkey = l_orderkey"""
 
 QUERIES = {
     "snapshot_diff": (snapshot_diff, SNAPSHOT_DIFF),
+    "tree_changes": (tree_changes, TREE_CHANGES),
+    "tree_check": (tree_check, TREE_CHECK),
     "snapshot_renames": (snapshot_renames, SNAPSHOT_RENAMES),
     "three_way_clean": (three_way_clean, THREE_WAY_CLEAN),
     "three_way_conflict": (three_way_conflict, THREE_WAY_CONFLICT),
