@@ -1,38 +1,39 @@
-"""Redaction rules and the interval claiming that turns them into findings.
+"""Redaction rules, and the claiming of spans that turns their matches into findings.
 
-Rules run in order and a span that overlaps an earlier claimed one is skipped. That
-is sequential within one text, so it is an Arrow-batched function; a JVM ``rlike``
-over all rules at once keeps clean texts from ever leaving the JVM.
+Rules run in order, and a match that overlaps a span claimed earlier is skipped. The
+matches of one rule never overlap each other, and neither do claimed spans, so each rule
+adds its matches by one merge in the order of positions. All of it is built-in
+expressions; one ``rlike`` over all rules keeps clean texts from being searched rule by rule.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import let, match_ends, running
+
 PROFILE = "r2"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` must mean the same to Python and Java; ``value`` is the group reported."""
+    """``value`` is the group reported, which ends ``tail`` characters before the match does."""
 
     id: str
     pattern: str
     value: int = 0
+    tail: int = 0
 
 
 # Own patterns for the published rule ids. Placeholders such as <user> or $USER are
 # never values, and hashes, versions and device indices stay readable.
 RULES = (
     Rule("credential-known-format", r"-----BEGIN [A-Z ]*PRIVATE KEY-----|\b(?:gh[pousr]_[A-Za-z0-9]{36,}|AKIA[0-9A-Z]{16}|xox[abprs]-[A-Za-z0-9-]{10,}|glpat-[A-Za-z0-9_-]{20,})"),
-    Rule("credential-url-userinfo", r"\b[a-z][a-z0-9+.-]*://([^\s/@:<>$\[\]]+:[^\s/@<>$\[\]]+)@", 1),
+    Rule("credential-url-userinfo", r"\b[a-z][a-z0-9+.-]*://([^\s/@:<>$\[\]]+:[^\s/@<>$\[\]]+)@", 1, 1),
     Rule("credential-bearer", r"(?i:\bbearer)[ \t]+([A-Za-z0-9._~+/-]{8,}=*)", 1),
     Rule("credential-assignment", r"(?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passw(?:or)?d|pwd))[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9+/_.-]{8,}=*)", 1),
     Rule("email-address", r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"),
@@ -53,10 +54,11 @@ RULES = (
     Rule("container-name-assignment", r"(?i:\bcontainer(?:[_-]?name)?)[ \t]*[:=][ \t]*([A-Za-z0-9][\w.-]*)", 1),
     Rule("hostname-assignment", r"(?i:\bhost(?:name)?)[ \t]*[:=][ \t]*([A-Za-z][\w.-]*)", 1),
     Rule("hostname-numbered", r"(?<![A-Za-z0-9_-])(?:node|worker|master|remote|k8s)[-_]?\d+(?:_[a-z0-9]+(?:[_-]\d+)*)*(?![A-Za-z0-9-])"),
-    Rule("internal-machine-identifier", r"\bremote[ ](\d{3})\b|(?<=[a-z]_)(\d{3})(?=_npu\d)", 0),
+    Rule("internal-machine-identifier", r"\bremote[ ](\d{3})\b", 1),
+    Rule("internal-machine-identifier", r"(?<=[a-z]_)\d{3}(?=_npu\d)"),
     Rule("credential-high-entropy", r"(?i:\b(?:token|secret|key|password)\b)[ \t:=\"']+((?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{28,})(?![A-Za-z0-9+/_-])", 1),
 )
-RULE_IDS = tuple(rule.id for rule in RULES)
+RULE_IDS = tuple(dict.fromkeys(rule.id for rule in RULES))
 
 # Values public by construction (documentation ranges, loopback, examples).
 PUBLIC_VALUES = ("127.0.0.1", "0.0.0.0", "255.255.255.255", "::", "::1", "localhost", "example.internal")
@@ -66,9 +68,10 @@ PUBLIC_PATTERNS = (
     r"[\w.%+-]+@example\.(?:com|org|net)",
 )
 
-# One Java pattern per rule is enough to know that a text has nothing to report.
-CANDIDATE = "|".join(f"(?:{rule.pattern})" for rule in RULES)
-FINDING = "array<struct<rule:string,start:int,end:int,value:string>>"
+# Letters, digits and word ends are those of all scripts.
+UNICODE = "(?U)"
+# One pattern of all rules is enough to know that a text has nothing to report.
+CANDIDATE = UNICODE + "|".join(f"(?:{rule.pattern})" for rule in RULES)
 
 
 class Allowlist:
@@ -87,100 +90,111 @@ class Allowlist:
         self.exact = frozenset((*exact, *PUBLIC_VALUES))
         self.pattern = "|".join(f"(?:{p})" for p in (*PUBLIC_PATTERNS, *patterns))
 
-    def allows(self, value: str) -> bool:
-        return value.casefold() in self.exact or re.fullmatch(self.pattern, value, re.IGNORECASE) is not None
-
     def allows_column(self, value: Column) -> Column:
         return F.lower(value).isin(*sorted(self.exact)) | value.rlike(f"(?i)^(?:{self.pattern})$")
 
 
-def _span(match: re.Match, group: int) -> tuple[int, int]:
-    if group:
-        return match.span(group)
-    # Alternatives may each capture: the first group that took part is the value.
-    return match.span(match.lastindex or 0)
+# Spans by position; ``fresh`` marks those of the rule that is being added.
+_SPANS = "array<struct<start:int,fresh:int,end:int,rule:int,value:string>>"
 
 
-def claims(text: str, allow: Allowlist, compiled=tuple((rule, re.compile(rule.pattern)) for rule in RULES)) -> list[dict]:
-    """Findings of one text in rule order; allowed values claim without being found."""
-    starts: list[int] = []
-    ends: list[int] = []
-    found = []
-    for rule, pattern in compiled:
-        for match in pattern.finditer(text):
-            start, end = _span(match, rule.value)
-            at = bisect_left(starts, start)
-            if start == end or (at and ends[at - 1] > start) or (at < len(starts) and starts[at] < end):
-                continue
-            starts.insert(at, start)
-            ends.insert(at, end)
-            value = text[start:end]
-            if not allow.allows(value):
-                found.append({"rule": rule.id, "start": start, "end": end, "value": value})
-    return found
+def _hits(text: Column) -> Column:
+    """What each rule that occurs in a text finds: values, whole matches, parts between."""
 
+    def hit(number: int, rule: Rule) -> Column:
+        pattern = UNICODE + rule.pattern
+        group = lambda n: F.regexp_extract_all(text, F.lit(pattern), F.lit(n))
+        return F.when(
+            text.rlike(pattern),
+            F.struct(
+                F.lit(number).alias("rule"), F.lit(rule.tail).alias("tail"), group(rule.value).alias("values"),
+                group(0).alias("found"), F.split(text, pattern, -1).alias("parts"),
+            ),
+        )
 
-def _finder(allow: Allowlist):
-    @F.pandas_udf(FINDING)
-    def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda text: claims(text, allow) if text else [])
+    return F.array_compact(F.array(*[hit(n, rule) for n, rule in enumerate(RULES)]))
 
-    return find
 
+def _spans(hit: Column) -> Column:
+    """The values of one rule as fresh spans, in order."""
 
-def _masker(allow: Allowlist):
-    @F.pandas_udf("text string, rules array<string>, clean boolean")
-    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        def one(text):
-            found = claims(text or "", allow)
-            parts, at = [], 0
-            for item in sorted(found, key=lambda f: f["start"]):
-                parts += [text[at : item["start"]], f"[redacted:{item['rule']}]"]
-                at = item["end"]
-            masked = "".join(parts) + (text or "")[at:]
-            return masked, [item["rule"] for item in found], not claims(masked, allow)
+    def placed(ends: Column) -> Column:
+        def one(value: Column, i: Column) -> Column:
+            end = F.get(ends, i) - hit["tail"]
+            return F.struct((end - F.length(value)).alias("start"), F.lit(1).alias("fresh"), end.alias("end"), hit["rule"].alias("rule"), value.alias("value"))
 
-        for batch in batches:
-            yield pd.DataFrame([one(text) for text in batch], columns=["text", "rules", "clean"])
+        return F.transform(hit["values"], one)
 
-    return mask
+    return let(match_ends(hit["parts"], hit["found"]), placed)
 
 
-def _masked_text(text: str, allow: Allowlist) -> str:
-    parts, at = [], 0
-    for item in sorted(claims(text, allow), key=lambda f: f["start"]):
-        parts += [text[at : item["start"]], f"[redacted:{item['rule']}]"]
-        at = item["end"]
-    return "".join(parts) + text[at:]
+def _claim(claimed: Column, fresh: Column) -> Column:
+    """``claimed`` with the fresh spans that overlap none of it, by position."""
 
+    def merged(spans: Column) -> Column:
+        held = lambda s: s["fresh"] == 0
+        ends = F.transform(spans, lambda s: F.when(held(s), s["end"]).otherwise(F.lit(0)))
+        starts = F.reverse(F.transform(spans, lambda s: F.when(held(s), s["start"]).otherwise(F.lit(2**31 - 1))))
+        before = let(ends, lambda e: running(e, lambda a, b: F.greatest(a, b), F.lit(0)))
+        after = F.reverse(let(starts, lambda e: running(e, lambda a, b: F.least(a, b), F.lit(2**31 - 1))))
+        open_ = lambda b, a: F.filter(spans, lambda s, i: held(s) | ((F.get(b, i) <= s["start"]) & (F.get(a, i) >= s["end"])))
+        return let(before, lambda b: let(after, lambda a: open_(b, a)))
 
-def mask_each(values: Column, allow: Allowlist | None = None) -> Column:
-    """Every text of an array masked on its own; arrays without a candidate skip Python."""
+    kept = let(fresh, lambda f: F.when(F.size(f) == 0, claimed).when(F.size(claimed) == 0, f).otherwise(let(F.array_sort(F.concat(claimed, f)), merged)))
+    return F.transform(kept, lambda s: s.withField("fresh", F.lit(0)))
+
+
+def claims(text: Column, allow: Allowlist | None = None) -> Column:
+    """Claimed spans of a text, by position, that are not allowed."""
     chosen = allow or Allowlist()
+    none = F.array().cast(_SPANS)
+    # One fold over all rules, however many: the plan stays small and flat.
+    claimed = F.aggregate(F.transform(_hits(text), _spans), none, _claim)
+    wanted = F.filter(claimed, lambda s: ~chosen.allows_column(s["value"]))
+    return F.when(F.coalesce(text.rlike(CANDIDATE), F.lit(False)), wanted).otherwise(none)
 
-    @F.pandas_udf("array<string>")
-    def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield batch.map(lambda texts: None if texts is None else [t and _masked_text(t, chosen) for t in texts])
 
-    needed = F.exists(values, lambda v: F.coalesce(v.rlike(CANDIDATE), F.lit(False)))
-    return F.coalesce(masked(F.when(needed, values)), values)
+def _ids(spans: Column) -> Column:
+    """Spans in the order of their rules, with the rules' names."""
+    names = F.array(*[F.lit(rule.id) for rule in RULES])
+    by_rule = F.array_sort(F.transform(spans, lambda s: F.struct(s["rule"].alias("number"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))))
+    return F.transform(by_rule, lambda s: F.struct(F.get(names, s["number"]).alias("rule"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
 
 def findings(text: Column, allow: Allowlist | None = None) -> Column:
-    """array<struct<rule,start,end,value>>; offsets are in characters from 0."""
-    return _finder(allow or Allowlist())(F.when(text.rlike(CANDIDATE), text))
+    """array<struct<rule,start,end,value>> in rule order; offsets are in characters from 0."""
+    return _ids(claims(text, allow))
+
+
+def rules_of(spans: Column) -> Column:
+    """Rule names of claimed spans, in claim order."""
+    return F.transform(_ids(spans), lambda s: s["rule"])
 
 
-def mask(text: Column, allow: Allowlist | None = None) -> Column:
-    """struct<text, rules, clean>: masked text, rules in claim order, rescan verdict.
+def masked(text: Column, spans: Column) -> Column:
+    """The text with every span replaced by the name of its rule."""
+    names = F.array(*[F.lit(rule.id) for rule in RULES])
 
-    Clean texts skip Python: the function sees NULL for them and its answer is not used.
-    """
-    masked = _masker(allow or Allowlist())(F.when(text.rlike(CANDIDATE), text))
-    return F.struct(
-        F.when(F.size(masked["rules"]) > 0, masked["text"]).otherwise(text).alias("text"),
-        masked["rules"].alias("rules"),
-        masked["clean"].alias("clean"),
-    )
+    def woven(chars: Column) -> Column:
+        between = lambda start, end: F.array_join(F.slice(chars, start + 1, F.greatest(end - start, F.lit(0))), "")
+        free = lambda i: F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+        parts = F.transform(spans, lambda s, i: F.concat(between(free(i), s["start"]), F.lit("[redacted:"), F.get(names, s["rule"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), between(F.element_at(spans, -1)["end"], F.size(chars)))
+
+    # Single characters, so that a long text with many spans is cut in one pass.
+    whole = let(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), woven)
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
+
+
+def with_mask(df: DataFrame, text: str, name: str, allow: Allowlist | None = None) -> DataFrame:
+    """``df`` with ``name``: struct<text, rules, clean>, the masked text, rules in claim
+    order and the verdict of a second scan. Step by step, as each uses the one before."""
+    spans, hidden = f"{name}_spans", f"{name}_text"
+    found = df.withColumn(spans, claims(F.col(text), allow)).withColumn(hidden, masked(F.col(text), F.col(spans)))
+    again = F.when(F.size(spans) > 0, F.size(claims(F.col(hidden), allow)) == 0).otherwise(F.lit(True))
+    return found.withColumn(name, F.struct(F.col(hidden).alias("text"), rules_of(F.col(spans)).alias("rules"), again.alias("clean"))).drop(spans, hidden)
+
+
+def mask_each(values: Column, allow: Allowlist | None = None) -> Column:
+    """Every text of an array masked on its own."""
+    return F.transform(values, lambda t: let(claims(t, allow), lambda spans: masked(t, spans)))

@@ -60,6 +60,27 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def running(values: Column, combine: Callable[[Column, Column], Column], zero: Column, block: int = 64) -> Column:
+    """Prefix results of a fold, each including its own value; by blocks, so that long
+    arrays take little more than linear time."""
+    fold = lambda part, start: F.aggregate(part, start, combine)
+    last = F.greatest(F.floor((F.size(values) - 1) / block).cast("int"), F.lit(0))
+
+    def by_block(totals: Column) -> Column:
+        heads = F.transform(totals, lambda _, b: fold(F.slice(totals, 1, b), zero))
+        own = lambda i, b, before: fold(F.slice(values, b * block + 1, i - b * block + 1), F.get(before, b))
+        return let(heads, lambda before: F.transform(values, lambda _, i: own(i, F.floor(i / block).cast("int"), before)))
+
+    return let(F.transform(F.sequence(F.lit(0), last), lambda b: fold(F.slice(values, b * block + 1, block), zero)), by_block)
+
+
+def match_ends(parts: Column, found: Column) -> Column:
+    """Where each of the ``found`` matches of a pattern ends, in characters from 0, given
+    the ``parts`` of the text between them: lengths in turn add up to positions."""
+    steps = F.transform(found, lambda m, i: F.length(F.get(parts, i)) + F.length(m))
+    return let(steps, lambda s: running(s, lambda a, b: a + b, F.lit(0)))
+
+
 def strip(value: Column) -> Column:
     return F.btrim(value, F.lit(BLANKS))
 

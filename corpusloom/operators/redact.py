@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markdown as md
-from corpusloom.functions.redaction import Allowlist, findings, mask, mask_each
+from corpusloom.functions.redaction import Allowlist, findings, mask_each, with_mask
 from corpusloom.functions.text import content_hash
 
 # Reasons and states of a public copy.
@@ -60,7 +60,7 @@ def public_copies(notes: DataFrame, allow: Allowlist | None = None) -> DataFrame
     """
     rendered = md.render(md.title_of(F.col("raw")), md.body_of(F.col("raw")))
     source = notes.select("uri", "raw", (md.body_of(F.col("raw")) == "").alias("empty"), rendered.alias("rendered"))
-    masked = source.withColumn("m", mask(F.col("rendered"), allow))
+    masked = with_mask(source, "rendered", "m", allow)
     parsed = masked.select(
         "uri",
         "raw",

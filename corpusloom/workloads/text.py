@@ -13,7 +13,6 @@ from corpusloom.sources.notes import is_selected
 from corpusloom.workloads import sql as q
 from corpusloom.workloads.tables import documents, micro, notes, table
 
-CHECKED_RULES = ("email-address", "ipv4-address", "credential-assignment")
 EMAIL = r"\b[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b"
 IPV4 = r"\b(?:\d{1,3}\.){3}\d{1,3}(?:/\d{1,2}\b|-(?:(?:\d{1,3}\.){3})?\d{1,3}\b)?"
 SECRET = r"((?i:\b(?:api[_-]?key|access[_-]?key|secret(?:[_-]?key)?|token|passw(?:or)?d|pwd))[\"']?[ \t]*[:=][ \t]*[\"']?)([A-Za-z0-9+/_.-]{8,}=*)"
@@ -135,7 +134,7 @@ SELECT doc_id, CAST(generate_subscripts(p, 1) AS BIGINT) AS line, sha256(unnest(
 
 
 def redaction_findings(spark, folder):
-    found = redact.scan_findings(notes(spark, folder), show=True).where(F.col("rule").isin(*CHECKED_RULES))
+    found = redact.scan_findings(notes(spark, folder), show=True)
     return found.groupBy("uri", "rule", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -148,8 +147,7 @@ REDACTION_FINDINGS = f"WITH {q.NOTES}, {_FOUND} SELECT uri, rule, value, count(*
 
 
 def redaction_report(spark, folder):
-    found = redact.scan_findings(notes(spark, folder)).where(F.col("rule").isin(*CHECKED_RULES))
-    return redact.redaction_report(found)
+    return redact.redaction_report(redact.scan_findings(notes(spark, folder)))
 
 
 REDACTION_REPORT = f"WITH {q.NOTES}, {_FOUND} SELECT rule, count(*) AS findings, count(DISTINCT uri) AS notes FROM found GROUP BY rule"
