@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markdown as md
+from corpusloom.streaming.keyed import KeyedTable, run
 
 HOOK = (
     "hookEventName string, hook_event_name string, lastAssistantMessage string, last_assistant_message string, text string, "
@@ -39,74 +40,58 @@ def summaries(messages: DataFrame) -> DataFrame:
     return titled.withColumn("slug", md.note_slug(F.col("title")))
 
 
-def insert_new(batch: DataFrame, target: str, order: str, key: str = "slug") -> None:
-    """Insert-if-absent: the first delivery keeps its provenance and time.
+def first_deliveries(rows: DataFrame, order: str = "received", key: str = "slug") -> DataFrame:
+    """One row per key: of the earliest micro-batch, and in it the first by ``order``."""
+    others = [c for c in rows.columns if c != key]
+    first = F.min_by(F.struct(*others), F.struct("arrived", order)).alias("row")
+    return rows.groupBy(key).agg(first).select(key, "row.*").select(*rows.columns)
 
-    The sink table is the authority, so replays need no endless stream state and a
-    repeated micro-batch adds nothing.
-    """
-    spark = batch.sparkSession
-    others = [c for c in batch.columns if c != key]
-    first = batch.groupBy(key).agg(F.min_by(F.struct(*others), order).alias("row")).select(key, "row.*").select(*batch.columns)
-    if _exists(spark, target):
-        first = first.join(spark.read.parquet(target).select(key), key, "left_anti").select(*batch.columns)
-    first.write.mode("append").parquet(target)
+
+def captured(spark: SparkSession, target: str, order: str = "received") -> KeyedTable:
+    """The table of captured messages below ``target``."""
+    return KeyedTable(spark, target, lambda rows: first_deliveries(rows, order))
 
 
 def capture_stream(events: DataFrame, target: str, checkpoint: str, order: str = "received"):
-    """Run the capture stream until the input is used up; returns the finished query."""
-    rows = summaries(events)
-    query = (
-        rows.writeStream.foreachBatch(lambda batch, _: insert_new(batch, target, order))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
+    """Run the capture stream until the input is used up; returns the finished query.
 
+    Insert-if-absent by state: the first delivery of a message keeps its provenance and
+    time, replays change nothing, and no batch reads what earlier ones stored. Within a
+    micro-batch the time of arrival is one value.
+    """
+    rows = summaries(events).withColumn("arrived", F.current_timestamp())
+    return run(rows, captured(events.sparkSession, target, order), checkpoint)
 
-def merge_titles(previous: DataFrame, batch: DataFrame, key: str = "title", order: str = "received", keep: tuple[str, ...] = ()) -> DataFrame:
+
+def latest_titles(captures: DataFrame, key: str = "title", order: str = "received", keep: tuple[str, ...] = ()) -> DataFrame:
     """Latest body per title. Fields in ``keep`` that a newer capture leaves out stay.
 
-    Captures without a body are refused. Of captures received at the same time the
-    one with the greatest body stays, whatever order they arrive in.
+    Of captures received at the same time the one with the greatest body stays, whatever
+    order they arrive in.
     """
-    both = previous.unionByName(batch.where(F.btrim("body") != ""))
     newest = F.struct(order, "body")
-    latest = [F.max_by(c, newest).alias(c) for c in both.columns if c not in (key, *keep)]
+    latest = [F.max_by(c, newest).alias(c) for c in captures.columns if c not in (key, *keep)]
     retained = [F.max_by(c, F.when(F.col(c).isNotNull(), newest)).alias(c) for c in keep]
-    return both.groupBy(key).agg(*latest, *retained).select(*both.columns)
+    return captures.groupBy(key).agg(*latest, *retained).select(*captures.columns)
 
 
-def update_stream(captures: DataFrame, root: str, checkpoint: str, keep: tuple[str, ...] = ()):
-    """Maintain root/version=<batch> as the latest note per title; each version is whole."""
+def merge_titles(previous: DataFrame, batch: DataFrame, key: str = "title", order: str = "received", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Latest body per title. Fields in ``keep`` that a newer capture leaves out stay.
+
+    Captures without a body are refused.
+    """
+    return latest_titles(previous.unionByName(with_body(batch)), key, order, keep)
 
-    def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = latest_version(spark, root, number)
-        old = batch.limit(0) if before is None else spark.read.parquet(before)
-        merge_titles(old, batch, keep=keep).write.mode("overwrite").parquet(f"{root}/version={number}")
 
-    query = (
-        captures.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return query
+def with_body(captures: DataFrame) -> DataFrame:
+    return captures.where(F.btrim("body") != "")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+def titles(spark: SparkSession, root: str, keep: tuple[str, ...] = ()) -> KeyedTable:
+    """The table of the latest note per title below ``root``."""
+    return KeyedTable(spark, root, lambda rows: latest_titles(rows, keep=keep))
 
 
-def latest_version(spark: SparkSession, root: str, before: int | None = None) -> str | None:
-    """The folder of the newest whole version (below ``before``); None without one."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(place):
-        return None
-    names = [f.getPath().getName() for f in files.listStatus(place)]
-    whole = [int(n.split("=")[1]) for n in names if n.startswith("version=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
-    found = [v for v in whole if before is None or v < before]
-    return f"{root}/version={max(found)}" if found else None
+def update_stream(captures: DataFrame, root: str, checkpoint: str, keep: tuple[str, ...] = ()):
+    """Keep the latest note per title current until the input is used up."""
+    return run(with_body(captures), titles(captures.sparkSession, root, keep), checkpoint)

@@ -32,7 +32,7 @@ def captured_summaries(spark, folder):
     events = turns.select(F.lit("codex").alias("client"), payload.alias("payload"), (F.col("conv_id") * 100_000 + F.col("turn")).alias("received"))
     target = _place(spark, "captured")
     capture.capture_stream(capture.final_messages(events), target, _place(spark, "progress"))
-    return spark.read.parquet(target).select("slug", "title", "received", F.element_at("source", "session_id").alias("session_id"))
+    return capture.captured(spark, target).read().select("slug", "title", "received", F.element_at("source", "session_id").alias("session_id"))
 
 
 CAPTURED_SUMMARIES = f"""WITH said AS (SELECT conv_id, conv_id * 100000 + turn AS received, text FROM conversations WHERE role = 'assistant'), {_SUMMARY}
@@ -49,7 +49,7 @@ def latest_bodies(spark, folder):
     )
     root = _place(spark, "titles")
     capture.update_stream(rows, root, _place(spark, "progress"), keep=("status",))
-    return spark.read.parquet(capture.latest_version(spark, root)).select("title", F.sha2("body", 256).alias("body_sha256"), "received", "status")
+    return capture.titles(spark, root, ("status",)).read().select("title", F.sha2("body", 256).alias("body_sha256"), "received", "status")
 
 
 LATEST_BODIES = """SELECT role || ' ' || conv_id AS title, sha256(arg_max(text, turn)) AS body_sha256, max(turn) AS received,
