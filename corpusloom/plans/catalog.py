@@ -1,8 +1,10 @@
 """Catalog snapshots: stored notes, postings and topics, refreshed incrementally.
 
-A snapshot writes only the notes that changed. Its entries table, a short row per note,
-says which snapshot holds the valid rows of each note, so a refresh of a few notes never
-copies the corpus, and older snapshots stay readable. ``build`` compacts.
+A snapshot writes only what changed: tables of the changed notes, and an entry for each
+note that was written, touched or removed. The entries since the last full snapshot, the
+newest of each note, say which snapshot holds the valid rows of a note; so a refresh costs
+what changed, and older snapshots stay readable. ``retain`` makes the oldest snapshot that
+is kept a full one, from stored tables, and removes the files of all before it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from corpusloom.operators.structure import blocks, conditions
 from corpusloom.plans.search import Index
 
 ENTRY = ("uri", "root", "path", "stat_key", "fingerprint")
+TABLES = ("notes", "topics", "terms", "lengths", "frequencies", "blocks", "entries")
 
 
 @dataclass(frozen=True)
@@ -33,7 +36,9 @@ class Catalog:
     floor: int = 0
 
     def entries(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/entries/snapshot={self.generation}")
+        """(uri, root, path, stat_key, fingerprint, written): one row per valid note."""
+        newest = self._stored("entries").groupBy("uri").agg(F.max_by(F.struct(*ENTRY[1:], "written"), "snapshot").alias("e"))
+        return newest.select("uri", "e.*").where("written is not null")
 
     def _stored(self, name: str) -> DataFrame:
         """All rows since the last full snapshot, with the ``snapshot`` that wrote them."""
@@ -95,23 +100,37 @@ def _entries(notes: DataFrame, generation: int) -> DataFrame:
     return notes.select(*present, F.lit(generation).alias("written"))
 
 
-def latest(spark: SparkSession, root: str) -> Catalog | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/snapshots")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+def _files(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def at(spark: SparkSession, root: str, generation: int | None = None) -> Catalog | None:
+    """A stored snapshot, the latest one unless a generation is named."""
+    files, path = _files(spark, f"{root}/snapshots")
+    if not files.exists(path):
+        return None
+    rows = spark.read.parquet(f"{root}/snapshots")
+    if generation is not None:
+        rows = rows.where(F.col("generation") <= generation)
+    row = rows.agg(F.max(F.struct("generation", "full")).alias("s"), F.max(F.when(F.col("full"), F.col("generation"))).alias("floor")).first()
+    if row["s"] is None or generation not in (None, row["s"]["generation"]):
         return None
-    row = spark.read.parquet(f"{root}/snapshots").agg(
-        F.max(F.struct("generation", "full")).alias("s"), F.max(F.when(F.col("full"), F.col("generation"))).alias("floor")
-    ).first()
     return Catalog(spark, root, row["s"]["generation"], row["s"]["full"], row["floor"] or 0)
 
 
+def latest(spark: SparkSession, root: str) -> Catalog | None:
+    return at(spark, root)
+
+
 def _publish(spark: SparkSession, root: str, generation: int, previous: int | None, full: bool, errors: int) -> Catalog:
     """The snapshot row comes last: readers never see a half-written generation."""
-    notes = spark.read.parquet(f"{root}/entries/snapshot={generation}").count()
+    floor = generation if full else at(spark, root, previous).floor
+    notes = Catalog(spark, root, generation, full, floor).entries().count()
     row = [(generation, previous, full, notes, errors, "partial" if errors else "ready")]
     schema = "generation int, previous int, full boolean, documents long, errors long, status string"
     spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
-    return latest(spark, root)
+    return at(spark, root, generation)
 
 
 def build(notes: DataFrame, root: str, errors: int = 0) -> Catalog:
@@ -147,13 +166,62 @@ def refresh(notes: DataFrame, root: str, readable_roots: DataFrame, mounted_root
     gone = before.table("terms").join(plan.where(F.col("action").isin("update", "delete")).select("uri"), "uri", "left_semi")
     _write(changed, root, generation, gone)
     fresh = _entries(spark.read.schema(changed.schema).parquet(f"{root}/notes/snapshot={generation}"), generation)
-    kept = before.entries().join(plan.where(F.col("action").isin("update", "delete")).select("uri"), "uri", "left_anti")
+    old = before.entries()
     touched = notes.select("uri", F.col("stat_key").alias("new_stat")).join(plan.where("action = 'touch'").select("uri"), "uri", "left_semi")
-    kept = kept.join(touched, "uri", "left").withColumn("stat_key", F.coalesce("new_stat", "stat_key")).drop("new_stat")
-    kept.unionByName(fresh).write.mode("overwrite").parquet(f"{root}/entries/snapshot={generation}")
+    touched = old.join(touched, "uri").withColumn("stat_key", F.col("new_stat")).drop("new_stat")
+    removed = old.join(plan.where("action = 'delete'").select("uri"), "uri", "left_semi").withColumn("written", F.lit(None).cast("int"))
+    fresh.unionByName(touched).unionByName(removed).write.mode("overwrite").parquet(f"{root}/entries/snapshot={generation}")
     return _publish(spark, root, generation, before.generation, False, errors), plan
 
 
+def _compact(catalog: Catalog) -> Catalog:
+    """Write a snapshot anew as a full one, from stored rows: nothing is parsed again.
+
+    The new tables are written beside the old ones and take their places one by one; an
+    interrupted move is finished by the next call, as both hold the same valid rows.
+    """
+    spark, root, generation = catalog.spark, catalog.root, catalog.generation
+    frequencies, stats = catalog.frequencies(), lexical.corpus_stats(catalog.table("lengths"))
+    whole = {name: catalog.table(name) for name in ("notes", "topics", "terms", "lengths")} | {
+        "frequencies": frequencies,
+        "blocks": pruned.build_blocks(catalog.postings(), stats, frequencies),
+        "entries": catalog.entries().withColumn("written", F.lit(generation)),
+    }
+    for name in TABLES:
+        whole[name].write.mode("overwrite").parquet(f"{root}/compacted/{name}")
+    for name in TABLES:
+        files, source = _files(spark, f"{root}/compacted/{name}")
+        target = _files(spark, f"{root}/{name}/snapshot={generation}")[1]
+        files.delete(target, True)
+        files.rename(source, target)
+    spark.catalog.clearCache()
+    row = spark.read.parquet(f"{root}/snapshots").where(F.col("generation") == generation).limit(1).withColumn("full", F.lit(True))
+    row = spark.createDataFrame(row.collect(), row.schema)
+    row.coalesce(1).write.mode("append").parquet(f"{root}/snapshots")
+    return at(spark, root, generation)
+
+
+def retain(spark: SparkSession, root: str, keep: int) -> list[int]:
+    """Keep the newest ``keep`` snapshots and remove the files that none of them needs."""
+    if keep < 1:
+        raise ValueError("keep must be positive")
+    rows = spark.read.parquet(f"{root}/snapshots").select("generation").distinct().orderBy(F.desc("generation")).limit(keep).collect()
+    kept = sorted(r["generation"] for r in rows)
+    oldest = at(spark, root, kept[0])
+    if not oldest.full:
+        oldest = _compact(oldest)
+    for name in (*TABLES, "plans"):
+        files, folder = _files(spark, f"{root}/{name}")
+        for status in files.listStatus(folder) if files.exists(folder) else []:
+            number = status.getPath().getName().removeprefix("snapshot=")
+            if number.isdigit() and int(number) < kept[0]:
+                files.delete(status.getPath(), True)
+    left = spark.read.parquet(f"{root}/snapshots").where(F.col("generation") >= kept[0]).groupBy("generation").agg(F.max_by(F.struct("previous", "full", "documents", "errors", "status"), "full").alias("s"))
+    left = left.select("generation", "s.*")
+    spark.createDataFrame(left.collect(), left.schema).coalesce(1).write.mode("overwrite").parquet(f"{root}/snapshots")
+    return kept
+
+
 def export_rows(notes: DataFrame, layers: list[str] | None = None) -> DataFrame:
     """Portable source-bound rows in uri order, without absolute paths."""
     chosen = [name for name in (layers or md.LAYERS) if name in md.LAYERS]

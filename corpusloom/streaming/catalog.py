@@ -24,7 +24,7 @@ def catalog_stream(notes: DataFrame, root: str, checkpoint: str):
         mounted = newest.select("root").distinct()
         stored = catalog.latest(newest.sparkSession, root)
         if stored is not None:
-            mounted = mounted.unionByName(stored.table("notes").select("root").distinct())
+            mounted = mounted.unionByName(stored.entries().select("root").distinct())
         catalog.refresh(newest, root, readable_roots=none, mounted_roots=mounted)
 
     query = notes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

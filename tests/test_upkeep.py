@@ -102,6 +102,35 @@ def test_incremental_refresh_equals_rebuild(spark, place):
     assert gone.table("notes").count() == 0
 
 
+def test_small_refreshes_write_what_changed_and_retention_frees_the_rest(spark, place):
+    root = f"{place}/cat"
+    mounted = spark.createDataFrame([("/r",)], "root string")
+
+    def notes(version):
+        edited = F.when(F.col("id") == version % 400, F.lit(version)).otherwise(0)
+        row = spark.range(400).select(
+            F.concat(F.lit("u"), "id").alias("uri"), F.lit("project").alias("layer"), F.lit("/r").alias("root"), F.concat(F.lit("/r/"), "id").alias("path"),
+            F.concat_ws("-", "id", edited).alias("stat_key"), F.lit("t").alias("title"), F.concat(F.lit("words of note "), "id", F.lit(" v"), edited, F.repeat(F.lit(" filler"), 30)).alias("body"), F.array(F.lit("x")).alias("topics"),
+        )
+        return row.withColumns({"fingerprint": F.col("stat_key"), "source_sha256": F.col("stat_key")}).where((F.col("id") != 399) | F.lit(version < 4))
+
+    sizes = lambda: {d: sum(os.path.getsize(os.path.join(d, f)) for f in os.listdir(d) if f.endswith(".parquet")) for d in (os.path.join(root, t, s) for t in catalog.TABLES for s in os.listdir(os.path.join(root, t)))}
+    for version in range(1, 7):
+        made, _ = catalog.refresh(notes(version), root, mounted, mounted)
+        assert made.generation == version
+    by = lambda g: sum(n for d, n in sizes().items() if d.endswith(f"={g}"))
+    assert all(spark.read.parquet(f"{root}/entries/snapshot={g}").count() <= 3 for g in range(2, 7))
+    assert all(by(g) < by(1) / 2 for g in range(2, 7))
+    read = lambda g: (lambda c: (*stored(c), sorted(tuple(r) for r in c.entries().drop("written").collect())))(catalog.at(spark, root, g))
+    before = {g: read(g) for g in (4, 5, 6)}
+    assert len(before[6][0]) == 399
+    assert catalog.retain(spark, root, 3) == [4, 5, 6]
+    assert catalog.at(spark, root, 3) is None and not [d for d in sizes() if d.endswith(("=1", "=2", "=3"))]
+    assert {g: read(g) for g in (4, 5, 6)} == before
+    again, _ = catalog.refresh(notes(7), root, mounted, mounted)
+    assert stored(again) == stored(catalog.build(notes(7), f"{place}/full"))
+
+
 def test_export_is_all_or_nothing_and_verified(spark, place):
     base = [("topics/a.md", "# A\n\nbody\n\n## Retrieval queries\n- find a\n"), ("cases/b.md", "# B\n\nat " + NET + "7\n"), ("other/c.md", "# C\n\nx\n")]
 
