@@ -32,17 +32,18 @@ def capture(events: DataFrame, notes: DataFrame) -> DataFrame:
     return merge_titles(notes, events.where(usable).select(*notes.columns), keep=keep)
 
 
-def evaluate(results: DataFrame, cases: DataFrame, qrels: DataFrame, limit: int = 8) -> DataFrame:
+def evaluate(results: DataFrame, cases: DataFrame, qrels: DataFrame, limit: int = 8, evidence: DataFrame | None = None) -> DataFrame:
     """Per category and overall: metrics of results(case_id, rank, uri) against
-    qrels(case_id, uri, grade). cases(case_id, category, query, no_evidence, incomplete,
-    elapsed_ms, output_bytes). Malformed cases or grades stop the evaluation."""
+    qrels(case_id, uri, grade), and of evidence(case_id, valid), one row per result.
+    cases(case_id, category, query, no_evidence, incomplete, elapsed_ms, output_bytes).
+    Malformed cases or grades stop the evaluation."""
     if limit < 1:
         raise ValueError("limit must be positive")
     problems = evaluation.invalid_cases(cases, qrels).take(3)
     if problems:
         raise ValueError("; ".join(f"{p.case_id}: {p.problem}" for p in problems))
     counts = results.where(results["rank"] <= limit).groupBy("case_id").count().withColumnRenamed("count", "n_hits")
-    return evaluation.summarize(evaluation.label_cases(cases, evaluation.case_metrics(results, qrels, limit), counts))
+    return evaluation.summarize(evaluation.label_cases(cases, evaluation.case_metrics(results, qrels, limit), counts), evidence)
 
 
 def sync_feed(journal: DataFrame, actual: DataFrame, incoming: DataFrame) -> DataFrame:

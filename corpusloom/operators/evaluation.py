@@ -94,18 +94,42 @@ def summary_columns() -> list[Column]:
     ]
 
 
+def evidence_counts(evidence: DataFrame) -> DataFrame:
+    """evidence(case_id, valid): one row per result, NULL where it could not be checked."""
+    return evidence.groupBy("case_id").agg(
+        F.count("valid").alias("checked"), F.sum(F.col("valid").cast("long")).alias("proven"), F.sum(F.col("valid").isNull().cast("long")).alias("unknown")
+    )
+
+
 def evidence_columns() -> list[Column]:
-    """Over rows with ``valid`` true, false or NULL (unknown)."""
+    """Over cases with the columns of ``evidence_counts``; NULL accuracy without a check."""
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0))
     return [
-        F.avg(F.col("valid").cast("double")).alias("evidence_accuracy"),
-        F.count("valid").alias("evidence_checked"),
-        F.sum(F.col("valid").isNull().cast("int")).alias("evidence_unknown"),
+        (F.sum("proven") / F.when(total("checked") > 0, total("checked"))).alias("evidence_accuracy"),
+        total("checked").alias("evidence_checked"),
+        total("unknown").alias("evidence_unknown"),
     ]
 
 
-def summarize(cases: DataFrame) -> DataFrame:
-    """One row overall (category NULL) and one per category."""
-    return cases.rollup("category").agg(*summary_columns())
+LATENCIES = {"p50_ms": 0.5, "p95_ms": 0.95}
+
+
+def summarize(cases: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+    """One row overall (category NULL) and one per category.
+
+    Without ``evidence`` nothing counts as checked. Latencies are nearest-rank percentiles.
+    """
+    none = cases.sparkSession.createDataFrame([], "case_id string, valid boolean")
+    counted = cases.join(evidence_counts(none if evidence is None else evidence), "case_id", "left")
+    # Cases without a category are one; only the total has none.
+    named = counted.withColumn("category", F.coalesce("category", F.lit("unspecified")))
+    rows = named.rollup("category").agg(*summary_columns(), *evidence_columns())
+    timed = named.select(F.explode(F.array(F.struct(F.lit(True).alias("whole")), F.struct(F.lit(False).alias("whole")))).alias("of"), "category", "elapsed_ms")
+    timed = timed.select(F.when(~F.col("of.whole"), F.col("category")).alias("category"), "elapsed_ms")
+    key = F.concat_ws(":", F.col("category").isNull().cast("string"), "category").alias("part")
+    found = nearest_rank(timed.select(key, "elapsed_ms"), "part", "elapsed_ms", list(LATENCIES.values()))
+    ranks = found.groupBy("part").agg(*[F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(name) for name, q in LATENCIES.items()])
+    return rows.withColumn("part", key).join(ranks, "part", "left").drop("part")
 
 
 def nearest_rank(values: DataFrame, group: str, value: str, quantiles: list[float], buckets: int = PERCENTILE_BUCKETS) -> DataFrame:

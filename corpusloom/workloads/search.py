@@ -320,19 +320,30 @@ def evaluation_summary(spark, folder):
     )
     hits = results.where("rank <= 8").groupBy("case_id").agg(F.count(F.lit(1)).alias("n_hits"))
     labelled = evaluation.label_cases(cases, evaluation.case_metrics(results, qrels, 8), hits)
-    s = evaluation.summarize(labelled)
+    n = F.col("n_chars")
+    checked = results.where("rank <= 8").join(d.select(F.col("doc_id").alias("uri"), "n_chars"), "uri")
+    evidence = checked.select("case_id", F.when(n % 7 != 0, n % 5 != 0).alias("valid"))
+    s = evaluation.summarize(labelled, evidence)
     return s.select(
         F.coalesce("category", F.lit("(all)")).alias("category"), "queries", "scored_queries", "unlabelled_queries", "incomplete_queries", "output_bytes",
-        *[micro(c).alias(c) for c in ("recall", "mrr", "ndcg", "max_ms")],
+        "evidence_checked", "evidence_unknown", *[micro(c).alias(c) for c in ("recall", "mrr", "ndcg", "max_ms", "p50_ms", "p95_ms", "evidence_accuracy")],
     )
 
 
+_MICRO = "CAST(round({0} * 1e6) AS BIGINT) / 1e6"
 EVALUATION_SUMMARY = f"""WITH {_CASES}, cases AS (SELECT source AS case_id, min(lang) AS category, max(n_chars) > 10000 AS incomplete, avg(n_chars) AS ms, sum(n_chars) AS bytes FROM documents GROUP BY source),
-j AS (SELECT c.*, m.labels, m.recall, m.mrr, m.ndcg FROM cases c LEFT JOIN metrics m USING (case_id))
-SELECT coalesce(category, '(all)') AS category, count(*) AS queries, count(labels) AS scored_queries, count(*) - count(labels) AS unlabelled_queries,
+seen AS (SELECT case_id, sum(CASE WHEN n_chars % 7 <> 0 THEN 1 ELSE 0 END) AS checked, sum(CASE WHEN n_chars % 7 <> 0 AND n_chars % 5 <> 0 THEN 1 ELSE 0 END) AS proven,
+  sum(CASE WHEN n_chars % 7 = 0 THEN 1 ELSE 0 END) AS unknown FROM results JOIN documents ON uri = doc_id GROUP BY case_id),
+j AS (SELECT c.*, m.labels, m.recall, m.mrr, m.ndcg, checked, proven, unknown FROM cases c LEFT JOIN metrics m USING (case_id) LEFT JOIN seen USING (case_id)),
+both_ AS (SELECT *, category AS part FROM j UNION ALL SELECT *, '(all)' FROM j),
+timed AS (SELECT part, ms, row_number() OVER (PARTITION BY part ORDER BY ms) AS pos, count(*) OVER (PARTITION BY part) AS n FROM both_),
+ranks AS (SELECT part, min(ms) FILTER (pos >= ceil(n * 0.5)) AS p50, min(ms) FILTER (pos >= ceil(n * 0.95)) AS p95 FROM timed GROUP BY part),
+s AS (SELECT part AS category, count(*) AS queries, count(labels) AS scored_queries, count(*) - count(labels) AS unlabelled_queries,
   CAST(sum(CAST(incomplete AS INT)) AS BIGINT) AS incomplete_queries, CAST(sum(bytes) AS BIGINT) AS output_bytes,
-  CAST(round(avg(recall) * 1e6) AS BIGINT) / 1e6 AS recall, CAST(round(avg(mrr) * 1e6) AS BIGINT) / 1e6 AS mrr, CAST(round(avg(ndcg) * 1e6) AS BIGINT) / 1e6 AS ndcg, CAST(round(max(ms) * 1e6) AS BIGINT) / 1e6 AS max_ms
-FROM j GROUP BY ROLLUP (category)"""
+  CAST(coalesce(sum(checked), 0) AS BIGINT) AS evidence_checked, CAST(coalesce(sum(unknown), 0) AS BIGINT) AS evidence_unknown,
+  {', '.join(f"{_MICRO.format(f'avg({c})')} AS {c}" for c in ('recall', 'mrr', 'ndcg'))}, {_MICRO.format('max(ms)')} AS max_ms,
+  {_MICRO.format('sum(proven) / sum(checked)')} AS evidence_accuracy FROM both_ GROUP BY part)
+SELECT s.*, {_MICRO.format('p50')} AS p50_ms, {_MICRO.format('p95')} AS p95_ms FROM s JOIN ranks ON part = category"""
 
 
 def nearest_rank(spark, folder):
