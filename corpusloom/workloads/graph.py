@@ -214,7 +214,8 @@ CHANGED_SYMBOLS = f"""SELECT {_CODE} AS path, unnest(CASE lang WHEN 'de' THEN ['
 
 
 def code_neighbourhood(spark, folder):
-    """Two steps around each language's shortest-named module, over all files."""
+    """Two steps around the entry of every hundredth module, over all files; with seeds that
+    match by a part of a name, and whether anything was left out."""
     facts = codemap.source_facts(code_files(spark, folder))
     symbols = codemap.facts_table(facts, "symbols")
     calls = codemap.resolve_references(facts).select("source", "target", "kind", "resolution", "line_start")
@@ -225,14 +226,17 @@ def code_neighbourhood(spark, folder):
             F.lit("unresolved_symbol").alias("kind"),
         )
     )
-    seeds = documents(spark, folder).groupBy("lang").agg(F.min("doc_id").alias("doc_id")).select(F.concat(F.lit("run_"), "doc_id").alias("seed"))
-    return codemap.neighbourhood(nodes, calls, seeds, depth=2).select("seed", "source", "target", F.col("step").cast("long").alias("step"))
+    seeds = documents(spark, folder).where("doc_id % 100 = 0").select(F.concat(F.lit("run_"), "doc_id").alias("seed"))
+    found = codemap.neighbourhood(nodes, calls, seeds, depth=2)
+    told = found.seeds.select("seed", F.size("matches").cast("long").alias("matches"), F.size("nodes").cast("long").alias("nodes"), "truncated")
+    return found.edges.join(told, "seed").select("seed", "source", "target", F.col("step").cast("long").alias("step"), "matches", "nodes", "truncated")
 
 
-CODE_NEIGHBOURHOOD = f"""WITH d AS (SELECT *, {_CODE} AS code FROM documents WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY lang)),
-c AS (SELECT 'run_' || doc_id AS seed, 'symbol:' || code || ':run_' || doc_id || ':3' AS run, 'symbol:' || code || ':helper:6' AS helper FROM d)
-SELECT seed, run AS source, helper AS target, CAST(1 AS BIGINT) AS step FROM c UNION ALL SELECT seed, run, 'unresolved:' || run || ':4:other', 1 FROM c
-UNION ALL SELECT seed, helper, 'unresolved:' || helper || ':7:len', 2 FROM c"""
+CODE_NEIGHBOURHOOD = f"""WITH d AS (SELECT *, {_CODE} AS code FROM documents WHERE doc_id % 100 = 0),
+c AS (SELECT 'run_' || doc_id AS seed, 'symbol:' || code || ':run_' || doc_id || ':3' AS run, 'symbol:' || code || ':helper:6' AS helper FROM d),
+e AS (SELECT seed, run AS source, helper AS target, CAST(1 AS BIGINT) AS step FROM c UNION ALL SELECT seed, run, 'unresolved:' || run || ':4:other', 1 FROM c
+UNION ALL SELECT seed, helper, 'unresolved:' || helper || ':7:len', 2 FROM c)
+SELECT *, CAST(1 AS BIGINT) AS matches, CAST(4 AS BIGINT) AS nodes, false AS truncated FROM e"""
 
 
 QUERIES = {

@@ -236,9 +236,52 @@ def test_neighbourhood_is_bounded(spark):
     edges = spark.createDataFrame([(a, b, "static_call_reference", "static_reference") for a, b in pairs], "source string, target string, kind string, resolution string")
     seeds = spark.createDataFrame([("name0",)], "seed string")
     walked = codemap.neighbourhood(nodes, edges, seeds, depth=3)
-    assert {(r.source, r.target, r.step) for r in walked.collect()} == {("n0", "n1", 1), ("n0", "leaf", 1), ("n1", "n2", 2), ("n2", "n3", 3)}
-    assert codemap.neighbourhood(nodes, edges, seeds, depth=3, limit=2).count() == 2
-    assert codemap.neighbourhood(nodes, edges, spark.createDataFrame([("AME7",)], "seed string"), depth=1).count() == 2
+    assert {(r.source, r.target, r.step) for r in walked.edges.collect()} == {("n0", "n1", 1), ("n0", "leaf", 1), ("n1", "n2", 2), ("n2", "n3", 3)}
+    assert not walked.seeds.first().truncated
+    two = codemap.neighbourhood(nodes, edges, seeds, depth=3, limit=2)
+    assert two.edges.count() == 1 and two.seeds.first().truncated and two.seeds.first().nodes == ["leaf", "n0"]
+    assert codemap.neighbourhood(nodes, edges, spark.createDataFrame([("AME7",), ("7",), ("absent",)], "seed string"), depth=1).edges.count() == 4
+
+
+def plain_walk(nodes, edges, seed, depth, limit):
+    """One edge after the other, as the operator is defined."""
+    exact = sorted(n[0] for n in nodes if seed in n[:4])
+    matches = exact or sorted(n[0] for n in nodes if seed.lower() in n[2].lower())
+    chosen, truncated, out = set(matches[:limit]), len(matches) > limit, []
+    walk, front = {n[0] for n in nodes if n[4] not in codemap.LEAF_KINDS}, set(matches[:limit])
+    order = sorted(edges, key=lambda e: (e[3] in ("unresolved", "ambiguous"), e[2] == "import_reference", e))
+    for step in range(1, depth + 1):
+        following = set()
+        for e in [e for e in order if e not in [o[:4] for o in out] and {e[0], e[1]} & front]:
+            if len(out) < limit and len(chosen | {e[0], e[1]}) <= limit:
+                out.append((*e, step))
+                following |= ({e[0], e[1]} - chosen) & walk
+                chosen |= {e[0], e[1]}
+            else:
+                truncated = True
+        front = following
+    return sorted(out), (matches[:limit], sorted(chosen), truncated)
+
+
+@pytest.mark.parametrize("limit", [1, 5, 12, 1000])
+def test_neighbourhood_equals_a_walk_over_edges(spark, limit):
+    rng = random.Random(limit)
+    kinds = ["function", "function", "class", "file", "external_module"]
+    nodes = [(f"n{i}", f"name{i}", f"mod.Name{i}", f"p{i % 5}.py", rng.choice(kinds)) for i in range(60)]
+    pairs = {(f"n{min(int(rng.paretovariate(0.8)), 59)}", f"n{rng.randrange(60)}") for _ in range(150)}
+    edges = sorted({(a, b, rng.choice(["static_call_reference", "import_reference"]), rng.choice(["static_reference", "unresolved", "ambiguous"])) for a, b in pairs if a != b})
+    seeds = ["n1", "name7", "p3.py", "NAME2", "name", "e5", "nothing", "mod.Name9"]
+    found = codemap.neighbourhood(
+        spark.createDataFrame(nodes, "id string, name string, qualified_name string, path string, kind string"),
+        spark.createDataFrame(edges, "source string, target string, kind string, resolution string").repartition(3), spark.createDataFrame([(s,) for s in seeds], "seed string"), 3, limit,
+    )
+    walked, told = {}, {r.seed: (r.matches, r.nodes, r.truncated) for r in found.seeds.collect()}
+    for r in found.edges.collect():
+        walked.setdefault(r.seed, []).append((r.source, r.target, r.kind, r.resolution, r.step))
+    for seed in seeds:
+        steps, about = plain_walk(nodes, edges, seed, 3, limit)
+        assert sorted(walked.get(seed, [])) == steps, seed
+        assert told.get(seed, ([], [], False)) == about, seed
 
 
 def test_relations_resolve_in_priority_order(spark):
