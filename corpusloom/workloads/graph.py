@@ -214,8 +214,8 @@ CHANGED_SYMBOLS = f"""SELECT {_CODE} AS path, unnest(CASE lang WHEN 'de' THEN ['
 
 
 def code_neighbourhood(spark, folder):
-    """Two steps around the entry of every hundredth module, over all files; with seeds that
-    match by a part of a name, and whether anything was left out."""
+    """Two steps around the entry of every hundredth module, over all files, and whether
+    anything was left out."""
     facts = codemap.source_facts(code_files(spark, folder))
     symbols = codemap.facts_table(facts, "symbols")
     calls = codemap.resolve_references(facts).select("source", "target", "kind", "resolution", "line_start")

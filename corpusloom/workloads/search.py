@@ -281,6 +281,46 @@ def search_hits(spark, folder):
     return _rounded(ranking.top_k(plan.lexical_route(asked, n, 32), 8), "query_id", "uri")
 
 
+def _released(spark, folder):
+    """Notes of which the shared English ones came with releases, one per source."""
+    n = notes(spark, folder)
+    imported = (F.col("layer") == "shared") & (F.get("topics", F.lit(0)) == "en")
+    place = F.concat(F.lit("note://resources/shared/"), F.get("topics", F.lit(1)), F.lit("/"), "doc_id", F.lit(".md"))
+    return n.withColumns({"uri": F.when(imported, place).otherwise(F.col("uri")), "root": F.when(imported, F.lit("")).otherwise(F.col("root"))})
+
+
+def _pointer(spark, folder):
+    return table(spark, folder, "documents").agg(F.concat(F.lit("note://resources/shared/"), F.max("source")).alias("root_uri"))
+
+
+def active_notes(spark, folder):
+    return plan.active_release(_released(spark, folder), _pointer(spark, folder)).select("uri", "layer")
+
+
+_RELEASED = f"""{q.NOTES}, released AS (SELECT doc_id, layer, layer = 'shared' AND lang = 'en' AS imported,
+  CASE WHEN layer = 'shared' AND lang = 'en' THEN 'note://resources/shared/' || source || '/' || doc_id || '.md' ELSE uri END AS uri FROM notes),
+pointer AS (SELECT 'note://resources/shared/' || max(source) || '/' AS prefix FROM documents)"""
+ACTIVE_NOTES = f"WITH {_RELEASED} SELECT uri, layer FROM released, pointer WHERE NOT imported OR starts_with(uri, prefix)"
+
+
+def valid_hits(spark, folder):
+    """A hit for every vector: on the note of its number, a deleted note, or a file of a release."""
+    n = _released(spark, folder)
+    prefix = _pointer(spark, folder).first()["root_uri"] + "/"
+    v = table(spark, folder, "embeddings").select("vec_id", "label").join(n.select(F.col("doc_id").alias("vec_id"), "uri"), "vec_id", "left")
+    gone = F.concat(F.lit("note://resources/project/gone-"), "vec_id", F.lit(".md"))
+    off = F.concat(F.lit("note://resources/shared/src"), F.col("vec_id") % 20, F.lit("/off-"), "vec_id", F.lit(".md"))
+    uri = F.when(F.col("vec_id") % 3 == 0, off).when(F.col("vec_id") % 3 == 1, gone).otherwise(F.coalesce("uri", gone))
+    hits = v.select(F.col("label").cast("long").alias("query_id"), uri.alias("uri"))
+    return plan.valid_hits(hits, n, ["project", "shared"], prefix).select("query_id", "uri")
+
+
+VALID_HITS = f"""WITH {_RELEASED}, hits AS (SELECT CAST(label AS BIGINT) AS query_id, CASE WHEN vec_id % 3 = 0 THEN 'note://resources/shared/src' || vec_id % 20 || '/off-' || vec_id || '.md'
+    WHEN vec_id % 3 = 1 OR r.uri IS NULL THEN 'note://resources/project/gone-' || vec_id || '.md' ELSE r.uri END AS uri FROM embeddings LEFT JOIN released r ON vec_id = doc_id)
+SELECT query_id, h.uri FROM hits h LEFT JOIN released r ON r.uri = h.uri, pointer
+WHERE starts_with(h.uri, prefix) OR r.layer = 'project' OR (r.layer = 'shared' AND NOT r.imported)"""
+
+
 def _cases(spark, folder):
     """Sources as cases: their notes by length as results, document labels as relevance."""
     d = table(spark, folder, "documents").select("doc_id", "source", "n_chars", "lang")
@@ -387,6 +427,8 @@ QUERIES = {
     "rank_fusion": (rank_fusion, RANK_FUSION),
     "search_hits": (search_hits, BM25_TOPK),
     "search_results": (search_results, SEARCH_RESULTS),
+    "active_notes": (active_notes, ACTIVE_NOTES),
+    "valid_hits": (valid_hits, VALID_HITS),
     "case_metrics": (case_metrics, CASE_METRICS),
     "evaluation_summary": (evaluation_summary, EVALUATION_SUMMARY),
     "nearest_rank": (nearest_rank, NEAREST_RANK),

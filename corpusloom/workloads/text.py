@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import markdown as md
 from corpusloom.functions import text as tx
 from corpusloom.functions.html import html_to_text
+from corpusloom.functions.redaction import Allowlist
 from corpusloom.operators import redact, structure
 from corpusloom.session import spread
 from corpusloom.sources.notes import is_selected
@@ -146,6 +147,19 @@ _FOUND = f"""hits AS (
 REDACTION_FINDINGS = f"WITH {q.NOTES}, {_FOUND} SELECT uri, rule, value, count(*) AS n FROM found GROUP BY ALL"
 
 
+ALLOWED = ("re:.*@mail[13579]\\.example\\.com", r"re:\d+\.\d+\.\d+\.\d*[02468]")
+
+
+def allowed_findings(spark, folder):
+    """Findings when mail hosts of odd number and even addresses are allowed."""
+    found = redact.scan_findings(notes(spark, folder), Allowlist(ALLOWED), show=True)
+    return found.groupBy("uri", "rule", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+ALLOWED_FINDINGS = f"""WITH {q.NOTES}, {_FOUND} SELECT uri, rule, value, count(*) AS n FROM found
+WHERE NOT regexp_full_match(value, '.*@mail[13579]\\.example\\.com') AND NOT regexp_full_match(value, '\\d+\\.\\d+\\.\\d+\\.\\d*[02468]') GROUP BY ALL"""
+
+
 def redaction_report(spark, folder):
     return redact.redaction_report(redact.scan_findings(notes(spark, folder)))
 
@@ -230,6 +244,7 @@ QUERIES = {
     "query_directives": (directives, DIRECTIVES),
     "note_lines": (note_lines, NOTE_LINES),
     "redaction_findings": (redaction_findings, REDACTION_FINDINGS),
+    "allowed_findings": (allowed_findings, ALLOWED_FINDINGS),
     "redaction_report": (redaction_report, REDACTION_REPORT),
     "public_copies": (public_copies, PUBLIC_COPIES),
     "corpus_contract": (corpus_contract, CORPUS_CONTRACT),
