@@ -74,9 +74,9 @@ def snapshot_renames(spark, folder):
     return snapshots.renames(snapshots.diff(before, after, "path", "sha256"), "path").select("renamed_from", "renamed_to")
 
 
-SNAPSHOT_RENAMES = f"""WITH {SNAPSHOTS}, {DIFF},
-gone AS (SELECT old AS h, min(path) AS path FROM changes WHERE change = 'removed' GROUP BY old HAVING count(*) = 1),
-fresh AS (SELECT new AS h, min(path) AS path FROM changes WHERE change = 'added' GROUP BY new HAVING count(*) = 1)
+MOVED = """gone AS (SELECT old AS h, min(path) AS path FROM changes WHERE change = 'removed' GROUP BY old HAVING count(*) = 1),
+fresh AS (SELECT new AS h, min(path) AS path FROM changes WHERE change = 'added' GROUP BY new HAVING count(*) = 1)"""
+SNAPSHOT_RENAMES = f"""WITH {SNAPSHOTS}, {DIFF}, {MOVED}
 SELECT gone.path AS renamed_from, fresh.path AS renamed_to FROM gone JOIN fresh USING (h)"""
 
 
@@ -325,14 +325,34 @@ FROM changes WHERE change <> 'unchanged'"""
 
 
 def export_manifest(spark, folder):
-    """Public rows of every source folder and the state against an export without English notes."""
+    """Public rows of every source folder with their metadata."""
     n = notes(spark, folder)
     rows = export.public_rows(n, [f"src{i}" for i in range(20)])
-    return rows.select("path", "size", "sha256", "source_sha256", "input_sha256", "blocked")
+    return rows.select("path", "size", "sha256", "source_sha256", "input_sha256", "metadata_size", "metadata_sha256", "blocked")
 
 
-EXPORT_MANIFEST = f"""WITH {q.NOTES}, {_MASKED}, r AS (SELECT uri, '# ' || title || chr(10) || chr(10) || body || chr(10) AS out FROM copies)
-SELECT relative_path AS path, CAST(strlen(out) AS BIGINT) AS size, sha256(out) AS sha256, sha256(out) AS source_sha256, sha256(raw) AS input_sha256, false AS blocked FROM notes JOIN r USING (uri)"""
+EXPORT_MANIFEST = f"""WITH {q.NOTES}, {_MASKED}, r AS (SELECT uri, '# ' || title || chr(10) || chr(10) || body || chr(10) AS out FROM copies),
+m AS (SELECT *, '{{"conditions":{{"language":"' || lang || '"}},"retrieval":{{"aliases":[],"topics":["' || lang || '","' || source || '"],"source_sha256":"' || sha256(out) || '"}}}}' AS metadata FROM notes JOIN r USING (uri))
+SELECT relative_path AS path, CAST(strlen(out) AS BIGINT) AS size, sha256(out) AS sha256, sha256(out) AS source_sha256, sha256(raw) AS input_sha256,
+  CAST(strlen(metadata) AS BIGINT) AS metadata_size, sha256(metadata) AS metadata_sha256, false AS blocked FROM m"""
+
+
+def export_changes(spark, folder):
+    """The export of a later snapshot against the previous one: notes come, go, change and move."""
+    n = notes(spark, folder).withColumns({"lang": F.get("topics", F.lit(0)), "source": F.get("topics", F.lit(1))})
+    name = F.concat(F.lit("/doc-"), "doc_id")
+    before = n.where("lang <> 'es'").withColumn("relative_path", F.concat("source", name))
+    place = F.when(F.col("source") == "src1", F.lit("archive")).otherwise(F.col("source"))
+    text = F.when(F.col("lang") == "de", F.concat("raw", F.lit(" (revised)"))).otherwise(F.col("raw"))
+    after = n.where("lang <> 'fr'").withColumns({"relative_path": F.concat(place, name), "raw": text})
+    folders = ["archive", *(f"src{i}" for i in range(20))]
+    previous, rows = (export.public_rows(x, folders) for x in (before, after))
+    return export.export_changes(previous, rows)
+
+
+EXPORT_CHANGES = f"""WITH {SNAPSHOTS}, {DIFF}, {MOVED},
+renamed AS (SELECT gone.path AS renamed_from, fresh.path FROM gone JOIN fresh USING (h))
+SELECT c.path, change, renamed_from FROM changes c LEFT JOIN renamed r ON r.path = c.path AND change = 'added' WHERE change <> 'unchanged'"""
 
 
 def public_queue(spark, folder):
@@ -447,6 +467,7 @@ QUERIES = {
     "export_check": (export_check, EXPORT_CHECK),
     "release_check": (release_check, RELEASE_CHECK),
     "export_manifest": (export_manifest, EXPORT_MANIFEST),
+    "export_changes": (export_changes, EXPORT_CHANGES),
     "public_queue": (public_queue, PUBLIC_QUEUE),
     "intake_decisions": (intake_decisions, INTAKE_DECISIONS),
     "import_notes": (import_notes, IMPORT_NOTES),
