@@ -2,14 +2,16 @@
 
 A text is cut into pieces by the tokenizer's pattern. The bytes of a piece become the ids of
 the one-byte tokens, written as two bytes each, and ``aggregate`` folds them: each step joins
-the leftmost adjacent pair of the lowest rank, read from a literal rank map. A literal of map
+the leftmost adjacent pair of the lowest rank, read from a constant rank map. A constant of map
 type is searched from end to end and one of array type is an object per element, so the rank
-map is one literal of bytes in which a pair has one of two places given by a hash.
+map is one run of bytes in which a pair has one of two places given by a hash. Constants of
+megabytes are scalar subqueries: their values never enter the text of a plan.
 
 Distinct pieces are folded once for the corpus where that pays: pieces are counted over all
 documents, the most frequent ones (at most ``HOT_WORDS`` pieces of at most ``HOT_BYTES``
-bytes, so the second literal has a bound) are folded in one small job, and every other
-piece is folded in the row where it occurs. The answer does not depend on that choice.
+bytes, so their table has a bound) are folded in one small job and looked up in a constant
+of buckets, and every other piece is folded in the row where it occurs. The answer does not
+depend on that choice.
 
 Decoding looks up the bytes of every id and joins them, in hexadecimal digits, once.
 
@@ -28,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import let
-from corpusloom.llm.native import table
+from corpusloom.llm.native import aside, table
 from corpusloom.session import materialize
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -107,9 +109,15 @@ class Codec:
         slots = _two_choices(list(zip(found.column("x").to_pylist(), found.column("y").to_pylist(), strict=True)))
         self.slots = len(slots)
         # No pair is made of the highest number twice, so it marks an empty place.
-        self.pairs = b"".join(b"\xff" * SLOT if k is None else pairs[k][0] + pairs[k][1] for k in slots)
+        self.pairs = self._constant(b"".join(b"\xff" * SLOT if k is None else pairs[k][0] + pairs[k][1] for k in slots))
         self.bytes = b"".join(two(ranks.get(bytes([b]), 0)) for b in range(256))
 
+    def _constant(self, value: bytes) -> Column:
+        """A value of some megabytes that the plan names but does not spell out: every plan
+        that Spark describes, logs and keeps would hold a copy of a literal."""
+        row = self.spark.createDataFrame(pa.table({"value": pa.array([value], pa.binary())})).coalesce(1)
+        return materialize(row, "ranks").scalar()
+
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.vocabulary.pattern), F.lit(0))
 
@@ -155,8 +163,9 @@ class Codec:
         letters = F.split(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), "")
         return let(F.transform(letters, lambda c: F.substr(F.lit(self.bytes), F.ascii(c) * 2 + 1, F.lit(2))), whole)
 
-    def hot_words(self, docs: DataFrame, text: str = "text", most: int = HOT_WORDS) -> list[str]:
-        """Buckets of known pieces with their ids: whole tokens, and frequent pieces."""
+    def known_pieces(self, docs: DataFrame, text: str = "text", most: int = HOT_WORDS) -> Column:
+        """Known pieces with their ids (whole tokens, and frequent pieces) in buckets by the
+        hash of the piece, as one constant that Spark puts together."""
         piece = F.explode(self.pieces(F.col(text))).alias("piece")
         counts = docs.select(piece).groupBy("piece").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_COUNT)
         storable = (F.octet_length("piece") <= HOT_BYTES) & ~F.col("piece").rlike(f"[{ENTRY}{VALUE}{CUT}]")
@@ -168,31 +177,37 @@ class Codec:
             if room < 0:
                 break
             least = row.step
-        hot = counts.filter(F.col("step") >= least).repartition(self.spark.sparkContext.defaultParallelism)
-        folded = let(F.lit(self.pairs), lambda table: self._fold(F.col("piece"), table))
-        known = dict(hot.select("piece", folded.alias("ids")).toLocalIterator())
-        for token, rank in self.vocabulary.ranks.items():
-            text_of = token.decode("utf-8", "replace")
-            if text_of.encode() == token and not {ENTRY, VALUE, CUT} & set(text_of):
-                known[text_of] = str(rank)
-        frame = self.spark.createDataFrame(pa.table({"piece": list(known)})).coalesce(1)
-        places = frame.select(F.hash("piece").bitwiseAND(BUCKETS - 1).alias("at")).toArrow().column("at").to_pylist()
-        buckets: list[list[str]] = [[] for _ in range(BUCKETS)]
-        for (word, ids), at in zip(known.items(), places, strict=True):
-            buckets[at].append(f"{ENTRY}{word}{VALUE}{ids}")
-        return ["".join(b) + ENTRY if b else "" for b in buckets]
-
-    def encode(self, text: Column, hot: list[str]) -> Column:
-        """Ids joined by commas."""
+        hot = counts.filter(F.col("step") >= least).repartition(self.spark.sparkContext.defaultParallelism).withColumn("pairs", self.pairs)
+        folded = let(F.col("pairs"), lambda table: self._fold(F.col("piece"), table))
+        whole = [(token.decode("utf-8", "replace"), rank) for token, rank in self.vocabulary.ranks.items()]
+        whole = [(word, str(rank)) for word, rank in whole if word.encode() in self.vocabulary.ranks and not {ENTRY, VALUE, CUT} & set(word)]
+        tokens = self.spark.createDataFrame(pa.table({"piece": [w for w, _ in whole], "ids": [i for _, i in whole]}))
+        # A piece that is a token is that token.
+        known = hot.select("piece", folded.alias("ids"), F.lit(1).alias("source")).unionByName(tokens.withColumn("source", F.lit(0)))
+        known = known.groupBy("piece").agg(F.min_by("ids", "source").alias("ids"))
+        entry = F.concat(F.lit(ENTRY), "piece", F.lit(VALUE), "ids")
+        filled = known.groupBy(F.hash("piece").bitwiseAND(BUCKETS - 1).alias("at")).agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("entries"))
+        every = self.spark.range(BUCKETS).select(F.col("id").cast("int").alias("at")).join(filled, "at", "left")
+        bucket = F.struct("at", F.coalesce(F.concat("entries", F.lit(ENTRY)), F.lit("")).alias("entries"))
+        one = every.groupBy().agg(F.array_sort(F.collect_list(bucket)).alias("rows"))
+        return materialize(one.select(F.transform("rows", lambda r: r["entries"]).alias("buckets")), "known").scalar()
+
+    def encode(self, docs: DataFrame, text: str, name: str) -> DataFrame:
+        """``docs`` with ``name``: the ids joined by commas, and as an array."""
 
         def one(piece: Column, buckets: Column, table: Column) -> Column:
             bucket = F.get(buckets, F.hash(piece).bitwiseAND(BUCKETS - 1))
             after = F.split_part(bucket, F.concat(F.lit(ENTRY), piece, F.lit(VALUE)), F.lit(2))
             return let(after, lambda a: F.when(a == "", self._fold(piece, table)).otherwise(F.split_part(a, F.lit(ENTRY), F.lit(1))))
 
-        # Each literal is bound once: written at every use, it would fill the plan's text.
-        each = lambda table, buckets: F.transform(self.pieces(text), lambda p: one(p, buckets, table))
-        return F.array_join(let(F.lit(self.pairs), lambda table: let(_literal(hot), lambda buckets: each(table, buckets))), ",")
+        split = lambda j: F.struct(
+            j.alias("joined"), F.when(j == "", F.array().cast("array<int>")).otherwise(F.split(j, ",", -1).cast("array<int>")).alias("ids")
+        )
+        # Each constant is named once, so it ends up inside the one expression and in no row.
+        each = lambda table, buckets: F.transform(self.pieces(F.col(text)), lambda p: one(p, buckets, table))
+        joined = F.array_join(let(F.col("_pairs"), lambda table: let(F.col("_known"), lambda buckets: each(table, buckets))), ",")
+        held = docs.withColumns({"_pairs": self.pairs, "_known": self.known_pieces(docs, text)})
+        return held.select(*docs.columns, let(joined, split).alias(name))
 
     def decode(self, ids: Column) -> Column:
         """Bytes of an array of ids."""
@@ -200,24 +215,23 @@ class Codec:
         return F.unhex(F.array_join(digits, ""))
 
 
-def encode(docs: DataFrame, codec: Codec, text: str = "text", name: str = "ids") -> DataFrame:
-    """``docs`` with the comma-joined ids and the ids of each text."""
-    hot = codec.hot_words(docs, text)
-    joined = docs.withColumn("_joined", codec.encode(F.col(text), hot))
-    ids = F.when(F.col("_joined") == "", F.array().cast("array<int>")).otherwise(F.split("_joined", ",", -1).cast("array<int>"))
-    return joined.withColumn(name, ids)
+def encode(docs: DataFrame, codec: Codec, text: str = "text", name: str = "coded") -> DataFrame:
+    """``docs`` with a struct of the comma-joined ids and the array of ids of each text."""
+    docs, back = aside(docs, "_pairs", "_known")
+    return codec.encode(docs, text, name).withColumnsRenamed(back)
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, ids_sha256 and decoded_sha256."""
     codec = Codec(docs.sparkSession, vocabulary)
-    coded = encode(docs, codec, text, "_ids")
+    docs, back = aside(docs, "_coded")
+    ids = F.col("_coded.ids")
     results = {
-        "n_tokens": F.size("_ids").cast("long"),
-        "ids_sha256": F.sha2("_joined", 256),
-        "decoded_sha256": F.sha2(codec.decode(F.col("_ids")), 256),
+        "n_tokens": F.size(ids).cast("long"),
+        "ids_sha256": F.sha2("_coded.joined", 256),
+        "decoded_sha256": F.sha2(codec.decode(ids), 256),
     }
-    return coded.withColumns(results).drop("_ids", "_joined")
+    return encode(docs, codec, text, "_coded").withColumns(results).drop("_coded").withColumnsRenamed(back)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
