@@ -14,6 +14,9 @@ it can give (``peak``). For a batch of queries:
 
 Every note that can be among the k best is a candidate, and scores are complete, so ranks
 equal those of scoring every match. What is gathered per query follows its candidates.
+
+A batch with few matches (``PLAIN_ROWS``, known from the document frequencies) is scored
+match by match, as bounds then cost more than they save; the answer is the same.
 """
 
 from __future__ import annotations
@@ -31,6 +34,7 @@ BLOCK = 512
 # Blocks per unit of weight; weights lie between 0 and 2.2.
 STEPS = 5
 FIRST_BLOCKS = 2
+PLAIN_ROWS = 50_000_000
 SHORTLIST = 4
 # Bounds are compared with this slack, as ranks compare scores of RANK_DIGITS digits.
 SLACK = 10.0 ** -(RANK_DIGITS - 2)
@@ -142,6 +146,20 @@ def pruned_scores(
     live: Pairs = lambda posts: posts, allowed: Pairs = lambda pairs: pairs, gain: float = 1.0,
 ) -> DataFrame:
     """(query_id, uri, score) of all notes that can be among the k best of their query."""
-    asked = materialize(asked_terms(terms_by_query, stats, frequencies), "asked")
+    asked = asked_terms(terms_by_query, stats, frequencies)
+    matches = terms_by_query.join(frequencies, "term").agg(F.sum("df")).first()[0] or 0
+    if matches <= PLAIN_ROWS:
+        return score_matches(asked, blocks, live, allowed)
+    asked = materialize(asked, "asked")
     pairs = materialize(candidates(asked, blocks, k, live, allowed, gain), "candidates")
     return score_pairs(pairs, asked, blocks, live).where("score > 0")
+
+
+def score_matches(asked: DataFrame, blocks: DataFrame, live: Pairs, allowed: Pairs) -> DataFrame:
+    """Full scores of every match. A posting weighs the same for every query, so postings
+    are weighed first and meet the queries after."""
+    terms = asked.groupBy("term").agg(F.first("idf").alias("idf"), F.first("mean").alias("mean"))
+    found = _opened(blocks.join(terms.select("term"), "term", "left_semi"), live).join(terms, "term")
+    weighed = found.select("uri", "term", (F.col("idf") * _weight(_relative(F.col("tf"), F.col("doc_len"), F.col("mean")))).alias("weight"))
+    scores = weighed.join(asked.select("query_id", "term"), "term").groupBy("query_id", "uri").agg(F.sum("weight").alias("score"))
+    return allowed(scores.where("score > 0"))

@@ -33,6 +33,7 @@ def best(scores, k):
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(pruned, "BLOCK", 20)
+    monkeypatch.setattr(pruned, "PLAIN_ROWS", 0)
 
 
 @pytest.mark.parametrize("k", [1, 8])
@@ -47,6 +48,9 @@ def test_equals_scoring_every_match(spark, small_blocks, k):
     every = lexical.bm25(terms, posts, stats, counts)
     found = pruned.pruned_scores(terms, blocks, stats, counts, k)
     assert best(found, k) == best(every, k)
+    # The other way for batches of few matches.
+    asked = pruned.asked_terms(terms, stats, counts)
+    assert best(pruned.score_matches(asked, blocks, lambda posts: posts, lambda pairs: pairs), k) == best(every, k)
     assert found.count() < every.count() / 2
 
 
