@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from corpusloom.operators import evaluation, lexical, lookup, ranking, vector
+from corpusloom.operators import evaluation, lexical, lookup, ranking, vector, vector_index
 from corpusloom.operators.excerpts import verify_evidence
 from corpusloom.plans import search as plan
+from corpusloom.session import shared_folder
 from corpusloom.workloads import sql as q
 from corpusloom.workloads.tables import aliased_notes, benchmark_queries, micro, notes, table
 
@@ -131,6 +134,14 @@ def vector_topk(spark, folder):
     return _rounded(vector.vector_topk(_label_queries(spark, folder), _vectors(spark, folder), 16), "query_id", "uri")
 
 
+def vector_index_topk(spark, folder):
+    """The same answers from stored tiles, of which only those that can matter are read."""
+    place = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    vector_index.build_index(_vectors(spark, folder).select("uri", "vector"), place, 500)
+    found = vector_index.indexed_topk(vector_index.open_index(spark, place), _label_queries(spark, folder), 16)
+    return _rounded(found, "query_id", "uri")
+
+
 _CENTROIDS = """vecs AS (SELECT 'vec-' || lpad(CAST(vec_id AS VARCHAR), 9, '0') AS uri, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
 flat AS (SELECT label, generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM vecs),
 centers AS (SELECT CAST(label AS BIGINT) AS query_id, list(x ORDER BY pos) AS c FROM (SELECT label, pos, avg(x) AS x FROM flat GROUP BY ALL) GROUP BY label),
@@ -419,6 +430,7 @@ QUERIES = {
     "lookup_refs": (lookup_refs, LOOKUP_REFS),
     "title_matches": (title_matches, TITLE_MATCHES),
     "vector_topk": (vector_topk, VECTOR_TOPK),
+    "vector_index_topk": (vector_index_topk, VECTOR_TOPK),
     "vector_audit": (vector_audit, VECTOR_AUDIT),
     "vector_differences": (vector_differences, VECTOR_DIFFERENCES),
     "index_freshness": (index_freshness, INDEX_FRESHNESS),
