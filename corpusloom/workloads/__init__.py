@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from corpusloom.workloads import graph, search, streams, text, upkeep
+from corpusloom.workloads import files, graph, search, streams, text, upkeep
 
-ALL = {**text.QUERIES, **search.QUERIES, **upkeep.QUERIES, **graph.QUERIES, **streams.QUERIES}
+ALL = {**text.QUERIES, **search.QUERIES, **upkeep.QUERIES, **graph.QUERIES, **streams.QUERIES, **files.QUERIES}
