@@ -13,7 +13,8 @@ more trees (ten at 0.80), so that it loses no more.
 Comparing in a leaf takes two steps. Minhash agreement first joins what might be linked
 (``agreement``, more than five standard deviations below the threshold: 28 of 48 at 0.85
 lose a pair with probability 2e-6, 24 at 0.80 with 8e-7) into clusters; then the full shingle sets of each cluster (of each leaf, where a cluster
-exceeds ``LEAF``) are compared exactly. Only spanning edges leave a task, never all pairs,
+exceeds ``LEAF``) are compared exactly. A task holds ``MEMBERS`` shingles of a group: heavier
+ones are compared in pairs of blocks, each block with every other and with itself. Only spanning edges leave a task, never all pairs,
 and sets found equal are one vertex from the start.
 
 No words (null, empty or blank text): an empty set, linked with nothing. Fewer words than
@@ -42,6 +43,8 @@ THRESHOLD = 85
 COORDINATES = 48
 TREES = 8
 LEAF = 4096
+# 64 MB of shingle hashes in a group; one text may hold more.
+MEMBERS = 8_000_000
 BRANCHES = 4
 DEPTH = 4
 DEVIATIONS = 5.25
@@ -226,10 +229,27 @@ def _verified(batches: Iterator[pd.DataFrame], threshold: int) -> Iterator[pd.Da
                 yield pd.DataFrame(edges, columns=["a", "b"])
 
 
-def find_links(docs: DataFrame, described: DataFrame, id_column: str, text: str, leaf: int = LEAF, threshold: int = THRESHOLD, **tree) -> DataFrame:
+def lighter(groups: DataFrame, members: int) -> DataFrame:
+    """(node, sid) of ``groups(node, sid, n_shingles)``: each pair of a node's sets is in some
+    node, and a node holds about ``members`` shingles at most."""
+    light = groups.select("node", "sid")
+    heavy = groups.groupBy("node").agg(F.sum("n_shingles").alias("weight")).filter(F.col("weight") > members)
+    heavy = materialize(heavy.select("node", F.ceil(F.col("weight") * 2 / members).alias("blocks")), "heavy")
+    if heavy.isEmpty():
+        return light
+    own = F.pmod(F.xxhash64("sid"), F.col("blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    rows = light.join(heavy, "node").select("node", "sid", own.alias("own"), other.alias("other"))
+    pair = F.concat_ws(":", "node", F.least("own", "other"), F.greatest("own", "other"))
+    return light.join(heavy, "node", "left_anti").union(rows.select(pair.alias("node"), "sid"))
+
+
+def find_links(
+    docs: DataFrame, described: DataFrame, id_column: str, text: str, leaf: int = LEAF, threshold: int = THRESHOLD, members_most: int = MEMBERS, **tree
+) -> DataFrame:
     """(a, b): spanning edges between the distinct sets of linked documents."""
-    sets = described.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("id", "text_hash")).alias("row"), F.first("sig").alias("sig"))
-    sets = materialize(sets.select("sid", "row.id", "row.text_hash", "sig"), "sets")
+    sets = described.filter("n_shingles > 0").groupBy("sid").agg(F.min(F.struct("id", "text_hash")).alias("row"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles"))
+    sets = materialize(sets.select("sid", "row.id", "row.text_hash", "sig", "n_shingles"), "sets")
     tree = {"trees": trees_for(threshold)} | tree
     nodes = materialize(leaves(sets.select("sid", "sig"), leaf=leaf, **tree), "leaves")
     least = agreement(threshold)
@@ -240,7 +260,8 @@ def find_links(docs: DataFrame, described: DataFrame, id_column: str, text: str,
     sized = clusters.join(sizes, "component")
     together = sized.filter(F.col("n") <= leaf).select(F.col("component").alias("node"), F.col("vertex").alias("sid"))
     apart = nodes.join(sized.filter(F.col("n") > leaf).select(F.col("vertex").alias("sid")), "sid").select(F.col("node").cast("string"), "sid")
-    groups = materialize(together.union(apart).distinct(), "groups")
+    groups = together.union(apart).distinct().join(sets.select("sid", "n_shingles"), "sid").select("node", "sid", "n_shingles")
+    groups = lighter(materialize(groups, "groups"), members_most)
 
     @F.pandas_udf("binary")
     def members(texts: pd.Series) -> pd.Series:

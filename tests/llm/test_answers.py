@@ -62,11 +62,11 @@ def family(size, length=120):
     return out
 
 
-@pytest.mark.parametrize("leaf", [512, 8])
-def test_components_match_all_pairs(spark, texts, leaf):
+@pytest.mark.parametrize(("leaf", "members"), [(512, set_join.MEMBERS), (8, set_join.MEMBERS), (512, 900), (8, 400)])
+def test_components_match_all_pairs(spark, texts, leaf, members):
     docs = dict(texts) | {10_000 + i: t for i, t in enumerate(family(60))} | {20_000 + i: "same text again" for i in range(40)}
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    found = {r.id: (r.component_id, r.n_shingles, r.kept) for r in set_join.group_duplicates(df, leaf=leaf, depth=2).collect()}
+    found = {r.id: (r.component_id, r.n_shingles, r.kept) for r in set_join.group_duplicates(df, leaf=leaf, depth=2, members_most=members).collect()}
     sets = {i: shingle_set(t) for i, t in docs.items()}
     assert found == {i: (c, len(sets[i]), c == i) for i, c in components_of(sets).items()}
 
