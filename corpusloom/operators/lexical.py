@@ -11,6 +11,10 @@ from corpusloom.functions.text import let, merge_term_counts, term_counts, token
 # Alias weight, field weights of the catalog ranking.
 ALIAS_WEIGHT = 0.5
 FIELD_WEIGHTS = {"title": 2.0, "body": 1.0, "aliases": 0.5}
+# Pairs of queries and notes that one task scores, and the most query terms whose counts
+# are sent to all tasks; with more of them Spark chooses the join.
+TASK_PAIRS = 1_000_000
+SENT_TERMS = 200_000
 
 
 def query_terms(queries: DataFrame, limit: int | None = None) -> DataFrame:
@@ -20,8 +24,9 @@ def query_terms(queries: DataFrame, limit: int | None = None) -> DataFrame:
     return queries.select("query_id", F.explode_outer(kept).alias("term")).where("term is not null")
 
 
-def note_terms(notes: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """One row per note: uri, layer, terms array<struct<term, tf, doc_len>>.
+def note_terms(notes: DataFrame, weights: dict[str, float] | None = None, marked: bool = False) -> DataFrame:
+    """One row per note: uri, layer, terms array<struct<term, tf, doc_len>>; if ``marked``,
+    with a last entry of the empty term, which stands for the note itself.
 
     Counting happens inside the row, so no shuffle and no skew: a term that occurs in
     every note is only a short array entry here. The length sits in each entry, so that
@@ -45,10 +50,10 @@ def note_terms(notes: DataFrame, weights: dict[str, float] | None = None) -> Dat
 
     def with_length(terms):
         total = F.aggregate(terms, F.lit(0.0), lambda n, t: n + t["tf"])
-        return let(
-            total,
-            lambda n: F.transform(terms, lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), n.alias("doc_len"))),
-        )
+        entry = lambda term, tf, n: F.struct(term.alias("term"), tf.alias("tf"), n.alias("doc_len"))
+        own = lambda n: F.transform(terms, lambda t: entry(t["term"], t["tf"], n))
+        mark = lambda n: F.array(entry(F.lit(""), F.lit(0.0), n))
+        return let(total, lambda n: F.concat(own(n), mark(n)) if marked else own(n))
 
     return notes.select(*keep, let(counted, with_length).alias("terms"))
 
@@ -84,19 +89,39 @@ def term_frequencies(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def score_tasks(queries: DataFrame, notes: DataFrame) -> int:
+    """Tasks for the scores of a batch: as many as keep the pairs of each bounded."""
+    usual = int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, -(-queries.count() * notes.count() // TASK_PAIRS))
+
+
 def bm25(terms_by_query: DataFrame, posts: DataFrame, stats: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
     """(query_id, uri, score) for every note sharing a term with a query.
 
     posts(uri, term, tf, doc_len). With stored ``frequencies`` the postings are read once.
     Without, the matched postings pass one exchange on uri that both the counting and
     the scoring reuse; uris spread evenly however hot a term is, and the score sum needs
-    no further exchange. Joins with query terms and frequencies are left to Spark, which
-    broadcasts them only below its size threshold and splits skewed terms otherwise.
+    no further exchange. Other joins are left to Spark, which broadcasts only below its
+    size threshold and splits skewed terms otherwise.
     """
     matched = posts.select("uri", "term", "tf", "doc_len").join(terms_by_query.select("term").distinct(), "term", "left_semi")
     if frequencies is None:
         matched = matched.repartition("uri")
-        frequencies = term_frequencies(matched)
+        frequencies = _counted(matched, terms_by_query)
+    return _scored(terms_by_query, matched, stats, frequencies)
+
+
+def _counted(matched: DataFrame, terms_by_query: DataFrame) -> DataFrame:
+    """Notes per term. It reads all columns, so that it shares the exchange of the scoring.
+
+    There is a row per query term; up to ``SENT_TERMS`` they are sent to the postings, which
+    else would be shuffled by term and their scores once more.
+    """
+    counts = matched.groupBy("term").agg(F.count_if((F.col("tf") >= 0) & (F.col("doc_len") >= 0)).alias("df"))
+    return F.broadcast(counts) if terms_by_query.select("term").distinct().count() <= SENT_TERMS else counts
+
+
+def _scored(terms_by_query: DataFrame, matched: DataFrame, stats: DataFrame, frequencies: DataFrame) -> DataFrame:
     facts = stats.select(F.struct("n_notes", "avg_len")).scalar()
     idf = F.log(1 + (F.col("facts.n_notes") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("doc_len") / F.col("facts.avg_len"))
@@ -115,7 +140,19 @@ def bm25(terms_by_query: DataFrame, posts: DataFrame, stats: DataFrame, frequenc
 
 
 def lexical_search(queries: DataFrame, notes: DataFrame, weights: dict[str, float] | None = None, limit: int | None = None) -> DataFrame:
-    """BM25 straight from notes, without stored postings."""
-    return bm25(
-        query_terms(queries, limit), postings(note_terms(notes, weights)), corpus_stats(note_lengths(notes, weights))
-    )
+    """BM25 straight from notes, without stored postings.
+
+    Texts are tokenised once: the exchange that frequencies and scores share also carries a
+    row per note, of the empty term, from which number and mean length of the notes come.
+    """
+    terms = query_terms(queries, limit)
+    named = terms.select("term").distinct()
+    wanted = named.unionByName(named.sparkSession.range(1).select(F.lit("").alias("term")))
+    posts = postings(note_terms(notes, weights, marked=True)).select("uri", "term", "tf", "doc_len")
+    matched = posts.join(wanted, "term", "left_semi").repartition(score_tasks(queries, notes), "uri")
+    own = (F.col("term") == "") & (F.col("tf") >= 0)
+    lengths = matched.select(F.when(own, F.col("doc_len")).alias("doc_len"))
+    total, n = F.coalesce(F.sum("doc_len"), F.lit(0.0)), F.count("doc_len")
+    mean = total / F.greatest(n, F.lit(1))
+    stats = lengths.agg(n.alias("n_notes"), F.when(mean == 0, 1.0).otherwise(mean).alias("avg_len"))
+    return _scored(terms, matched, stats, _counted(matched, terms))

@@ -87,21 +87,26 @@ def prefers(topics: Column, wanted: Column) -> Column:
     return F.coalesce(F.arrays_overlap(F.transform(topics, F.lower), F.transform(wanted, F.lower)), F.lit(False))
 
 
+def _with_topics(scores: DataFrame, note_topics: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``scores`` with ``fits`` (the note carries a topic its query wants) and ``asking``.
+
+    The topics of a note are one thin row, hashed where the scores of the note already are:
+    the pairs of queries and notes are neither shuffled nor sorted nor listed twice.
+    """
+    held = note_topics.groupBy("uri").agg(F.collect_set("topic").alias("held"))
+    asked = wanted.groupBy("query_id").agg(F.collect_set("topic").alias("asked"))
+    joined = scores.join(held.hint("shuffle_hash"), "uri", "left").join(asked, "query_id", "left")
+    fits = F.coalesce(F.arrays_overlap("held", "asked"), F.lit(False)).alias("fits")
+    return joined.select(*scores.columns, fits, F.col("asked").isNotNull().alias("asking"))
+
+
 def boost_preferred(scores: DataFrame, note_topics: DataFrame, wanted: DataFrame) -> DataFrame:
     """Preference reorders and never hides: score x 1.25 where a wanted topic matches.
 
     scores(query_id, uri, score), note_topics(uri, topic), wanted(query_id, topic).
     """
-    preferred = (
-        scores.select("query_id", "uri")
-        .join(note_topics, "uri")
-        .join(wanted, ["query_id", "topic"], "left_semi")
-        .select("query_id", "uri", F.lit(True).alias("preferred"))
-        .distinct()
-    )
-    return scores.join(preferred, ["query_id", "uri"], "left").withColumn(
-        "score", F.col("score") * F.when(F.col("preferred"), TOPIC_BOOST).otherwise(1.0)
-    )
+    judged = _with_topics(scores, note_topics, wanted).withColumn("preferred", F.when(F.col("fits"), F.lit(True)))
+    return judged.withColumn("score", F.col("score") * F.when(F.col("fits"), TOPIC_BOOST).otherwise(1.0)).drop("fits", "asking")
 
 
 def only_topics(scores: DataFrame, note_topics: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -110,12 +115,4 @@ def only_topics(scores: DataFrame, note_topics: DataFrame, wanted: DataFrame) ->
     Topics are looked up for the hits, so a topic of very many notes never meets all the
     queries that ask for it.
     """
-    allowed = (
-        scores.select("query_id", "uri")
-        .join(note_topics, "uri")
-        .join(wanted, ["query_id", "topic"], "left_semi")
-        .select("query_id", "uri")
-        .distinct()
-    )
-    asking = wanted.select("query_id").distinct()
-    return scores.join(asking, "query_id", "left_anti").unionByName(scores.join(allowed, ["query_id", "uri"], "left_semi").select(*scores.columns))
+    return _with_topics(scores, note_topics, wanted).where(F.col("fits") | ~F.col("asking")).drop("fits", "asking")

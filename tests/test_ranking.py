@@ -3,7 +3,9 @@ import random
 
 import pytest
 
-from corpusloom.operators import ranking, vector
+from pyspark.sql import functions as F
+
+from corpusloom.operators import lexical, ranking, vector
 
 
 def route(spark, items):
@@ -66,3 +68,32 @@ def test_topics_prefer_reorders_and_only_filters(spark):
     boosted = ranking.top_k(ranking.boost_preferred(scores, topics, wanted), 5).where("query_id = 'q'").orderBy("rank").collect()
     assert [r.uri for r in boosted] == ["b", "a"]
     assert {(r.query_id, r.uri) for r in ranking.only_topics(scores, topics, wanted).collect()} == {("q", "b"), ("p", "a")}
+
+
+def test_topics_over_pairs(spark):
+    scores = spark.createDataFrame([(q, f"n{u}", float(u)) for q in range(3) for u in range(4)], "query_id int, uri string, score double")
+    topics = spark.createDataFrame([("n0", "a"), ("n1", "a"), ("n1", "b"), ("n2", "b")], "uri string, topic string")
+    wanted = spark.createDataFrame([(0, "a"), (0, "b"), (1, "b")], "query_id int, topic string")
+    fits = {(0, "n0"), (0, "n1"), (0, "n2"), (1, "n1"), (1, "n2")}
+    kept = {(r.query_id, r.uri) for r in ranking.only_topics(scores, topics, wanted).collect()}
+    assert kept == fits | {(2, f"n{u}") for u in range(4)}
+    boosted = ranking.boost_preferred(scores, topics, wanted).collect()
+    assert len(boosted) == 12 and all(r.score == float(r.uri[1]) * (1.25 if (r.query_id, r.uri) in fits else 1.0) for r in boosted)
+
+
+def test_texts_are_tokenised_once_and_pairs_stay_where_they_are(spark):
+    notes = spark.createDataFrame([(f"n{i}", "t", f"alpha beta w{i} alpha") for i in range(20)] + [("e", "", "")], "uri string, title string, body string")
+    queries = spark.createDataFrame([(1, "alpha w3"), (2, "beta w5 w6")], "query_id int, text string")
+    topics = notes.select("uri", F.lit("x").alias("topic"))
+    found = ranking.top_k(ranking.only_topics(lexical.lexical_search(queries, notes), topics, queries.select("query_id", F.lit("x").alias("topic"))), 3)
+    rows = found.collect()
+    assert {(r.query_id, r.uri) for r in rows if r["rank"] == 1} == {(1, "n3"), (2, "n5")}
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "hashpartitioning(query_id#" in plan and not any("query_id" in line and "uri" in line for line in plan.split("\n") if "hashpartitioning" in line)
+    assert "ReusedExchange" in plan or plan.count("hashpartitioning(uri") <= 2
+
+
+def test_tasks_grow_with_the_pairs(spark):
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert lexical.score_tasks(spark.range(200), spark.range(1000)) == usual
+    assert lexical.score_tasks(spark.range(200), spark.range(3_000_000)) == 600
