@@ -13,6 +13,7 @@ from corpusloom.functions.redaction import PROFILE, Allowlist
 from corpusloom.functions.text import lines
 from corpusloom.operators import snapshots
 from corpusloom.operators.redact import public_projection
+from corpusloom.session import materialize
 
 ROW = "path string, size long, sha256 string, source_sha256 string, input_sha256 string, metadata_size long, metadata_sha256 string"
 SHA = "^[0-9a-f]{64}$"
@@ -31,13 +32,11 @@ def public_rows(notes: DataFrame, includes: list[str], allow: Allowlist | None =
         F.array_except(md.mined_aliases(lines(F.col("raw"))), F.transform("aliases", lambda a: a["text"])),
         lambda t: F.struct(t.alias("text"), F.lit("related").alias("relation"), F.array().cast("array<string>").alias("scope")),
     )
-    selected = notes.where(chosen).select("uri", F.col("relative_path").alias("path"), "raw", "conditions", F.concat("aliases", mined).alias("aliases"), "topics")
-    inputs = selected.select("uri", F.sha2("raw", 256).alias("input_sha256"))
+    selected = notes.where(chosen).select("uri", F.col("relative_path").alias("path"), "raw", "conditions", F.concat("aliases", mined).alias("aliases"), "topics", F.sha2("raw", 256).alias("input_sha256"))
     metadata = F.to_json(F.struct("conditions", F.struct("aliases", "topics", "source_sha256").alias("retrieval")))
     return (
-        public_projection(selected, allow)
+        public_projection(selected, allow, ("input_sha256",))
         .withColumn("metadata", metadata)
-        .join(inputs, "uri")
         .select(
             "path",
             F.octet_length("text").cast("long").alias("size"),
@@ -57,8 +56,10 @@ def public_rows(notes: DataFrame, includes: list[str], allow: Allowlist | None =
 def export_changes(previous: DataFrame, rows: DataFrame) -> DataFrame:
     """(path, change, renamed_from): a rename stays listed as added and removed too."""
     whole = F.sha2(F.concat_ws("\0", "size", "sha256", "source_sha256", "input_sha256", "metadata_size", "metadata_sha256"), 256)
-    changes = snapshots.diff(previous.withColumn("row", whole), rows.withColumn("row", whole), "path", "row")
-    moved = snapshots.renames(snapshots.diff(previous, rows, "path", "input_sha256"), "path")
+    # Two hashes per path and side, written once: changes and renames both read them.
+    both = F.struct(whole.alias("whole"), "input_sha256")
+    changes = materialize(snapshots.diff(previous.withColumn("row", both), rows.withColumn("row", both), "path", "row"), "changes")
+    moved = snapshots.renames(changes.select("path", "change", *[F.col(side)["input_sha256"].alias(side) for side in ("before", "after")]), "path")
     return changes.where("change <> 'unchanged'").join(
         moved.select(F.col("renamed_to").alias("path"), "renamed_from"), "path", "left"
     ).select("path", "change", F.when(F.col("change") == "added", F.col("renamed_from")).alias("renamed_from"))
