@@ -15,8 +15,8 @@ it can give (``peak``). For a batch of queries:
 Every note that can be among the k best is a candidate, and scores are complete, so ranks
 equal those of scoring every match. What is gathered per query follows its candidates.
 
-A batch with few matches (``PLAIN_ROWS``, known from the document frequencies) is scored
-match by match, as bounds then cost more than they save; the answer is the same.
+A batch of up to ``PLAIN_ROWS`` matches, known from the document frequencies, is scored match
+by match, as bounds then cost more than they save; the answer is the same.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.lexical import SENT_TERMS, TASK_PAIRS
 from corpusloom.operators.ranking import RANK_DIGITS
 from corpusloom.session import materialize
 
@@ -34,7 +35,7 @@ BLOCK = 512
 # Blocks per unit of weight; weights lie between 0 and 2.2.
 STEPS = 5
 FIRST_BLOCKS = 2
-PLAIN_ROWS = 50_000_000
+PLAIN_ROWS = 5_000_000_000
 SHORTLIST = 4
 # Bounds are compared with this slack, as ranks compare scores of RANK_DIGITS digits.
 SLACK = 10.0 ** -(RANK_DIGITS - 2)
@@ -63,12 +64,16 @@ def build_blocks(posts: DataFrame, stats: DataFrame, frequencies: DataFrame) ->
     """
     # Only terms of many notes need their count; all others are one part.
     common = frequencies.where(F.col("df") > BLOCK).select("term", F.ceil(F.col("df") / BLOCK).cast("long").alias("parts"))
-    sized = posts.join(common, "term", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # Up to ``SENT_TERMS`` of them are sent; postings then pass one exchange, dealt by their part.
+    sent = F.broadcast if common.count() <= SENT_TERMS else lambda rows: rows
+    sized = posts.join(sent(common), "term", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     mean = stats.select("avg_len").scalar()
     rated = sized.withColumn("mean", mean).withColumn("relative", _relative(F.col("tf"), F.col("doc_len"), F.col("mean")))
     step = F.when(F.col("parts") > 1, F.floor(_weight(F.col("relative")) * STEPS)).otherwise(0).cast("int")
+    placed = rated.withColumn("part", _part(F.col("uri"), F.col("parts"))).withColumn("step", step)
     return (
-        rated.groupBy("term", "parts", _part(F.col("uri"), F.col("parts")).alias("part"), step.alias("step"))
+        placed.repartition("term", "part")
+        .groupBy("term", "parts", "part", "step")
         .agg(
             F.max("relative").alias("peak"), F.first("mean").alias("mean"), F.count(F.lit(1)).alias("size"),
             F.collect_list(F.struct("uri", "tf", "doc_len")).alias("posts"),
@@ -149,17 +154,27 @@ def pruned_scores(
     asked = asked_terms(terms_by_query, stats, frequencies)
     matches = terms_by_query.join(frequencies, "term").agg(F.sum("df")).first()[0] or 0
     if matches <= PLAIN_ROWS:
-        return score_matches(asked, blocks, live, allowed)
+        return score_matches(asked, blocks, live, allowed, stats)
     asked = materialize(asked, "asked")
     pairs = materialize(candidates(asked, blocks, k, live, allowed, gain), "candidates")
     return score_pairs(pairs, asked, blocks, live).where("score > 0")
 
 
-def score_matches(asked: DataFrame, blocks: DataFrame, live: Pairs, allowed: Pairs) -> DataFrame:
+def score_matches(asked: DataFrame, blocks: DataFrame, live: Pairs, allowed: Pairs, stats: DataFrame | None = None) -> DataFrame:
     """Full scores of every match. A posting weighs the same for every query, so postings
-    are weighed first and meet the queries after."""
+    are weighed first and pass one exchange by note; they meet the queries behind it, where
+    a task holds about ``TASK_PAIRS`` sums, if ``stats`` tell the number of notes, and nothing
+    else is shuffled. Up to ``SENT_TERMS`` query terms are sent to the blocks, which else would
+    be shuffled with their postings."""
+    asked = materialize(asked, "asked")
+    n_queries, n_asked = asked.agg(F.count_distinct("query_id"), F.count(F.lit(1))).first()
+    sent = F.broadcast if n_asked <= SENT_TERMS else lambda rows: rows
+    usual = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_notes = stats.first()["n_notes"] if stats else 0
+    tasks = max(usual, -(-n_queries * n_notes // TASK_PAIRS))
     terms = asked.groupBy("term").agg(F.first("idf").alias("idf"), F.first("mean").alias("mean"))
-    found = _opened(blocks.join(terms.select("term"), "term", "left_semi"), live).join(terms, "term")
-    weighed = found.select("uri", "term", (F.col("idf") * _weight(_relative(F.col("tf"), F.col("doc_len"), F.col("mean")))).alias("weight"))
-    scores = weighed.join(asked.select("query_id", "term"), "term").groupBy("query_id", "uri").agg(F.sum("weight").alias("score"))
+    found = _opened(blocks.join(sent(terms.select("term")), "term", "left_semi"), live).join(sent(terms), "term")
+    weight = F.col("idf") * _weight(_relative(F.col("tf"), F.col("doc_len"), F.col("mean")))
+    weighed = found.select("uri", "term", weight.alias("weight")).repartition(tasks, "uri")
+    scores = weighed.join(sent(asked.select("query_id", "term")), "term").groupBy("query_id", "uri").agg(F.sum("weight").alias("score"))
     return allowed(scores.where("score > 0"))
