@@ -1,5 +1,6 @@
 """Batches scored match by match: bounded tasks, and the answers of scoring from postings."""
 
+import test_pruned
 from pyspark.sql import functions as F
 
 from corpusloom.functions import markdown as md
@@ -28,3 +29,8 @@ def test_titles_and_folds_of_odd_texts(spark):
     assert [r.b for r in got] == [None, "", "", "plain #1\nmore", "a\n\nb", "#x", "first second"]
     folded = spark.createDataFrame([(c, w) for c, w in text.FOLDS.items()], "c string, w string")
     assert folded.where(text.fold(F.concat(F.lit("Aé"), "c")) != F.concat(F.lit("aé"), "w")).count() == 0
+
+
+def test_snapshots_scored_match_by_match(spark, monkeypatch, place):
+    monkeypatch.setattr(pruned, "BLOCK", 20)
+    test_pruned.test_snapshots_topics_and_changed_means(spark, None, place)
