@@ -1,17 +1,19 @@
 """Byte-level BPE with Spark's higher-order functions.
 
-A text is cut into pieces by the tokenizer's pattern. The bytes of a piece become the ids of
-the one-byte tokens, written as two bytes each, and ``aggregate`` folds them: each step joins
-the leftmost adjacent pair of the lowest rank, read from a constant rank map. A constant of map
-type is searched from end to end and one of array type is an object per element, so the rank
-map is one run of bytes in which a pair has one of two places given by a hash. Constants of
-megabytes are scalar subqueries: their values never enter the text of a plan.
+A text is cut into pieces by the tokenizer's pattern. The bytes of a piece become an array
+with one number for each token, which starts as the one-byte tokens: the rank of the token
+joined with the next one, its place in the piece and its id. ``aggregate`` folds that array:
+each step takes the least number, which is the leftmost adjacent pair of the lowest rank,
+joins the two tokens and reads two new ranks from a constant rank map. A constant of map type
+is searched from end to end, so the rank map is one array in which the pairs of a left token
+stand at its own offset plus the right token. Constants of megabytes are scalar subqueries:
+their values never enter the text of a plan.
 
 Distinct pieces are folded once for the corpus where that pays: pieces are counted over all
 documents, the most frequent ones (at most ``HOT_WORDS`` pieces of at most ``HOT_BYTES``
 bytes, so their table has a bound) are folded in one small job and looked up in a constant
-of buckets, and every other piece is folded in the row where it occurs. The answer does not
-depend on that choice.
+of buckets, each a map of a few pieces, and every other piece is folded in the row where it
+occurs. The answer does not depend on that choice.
 
 Decoding looks up the bytes of every id and joins them, in hexadecimal digits, once.
 
@@ -25,6 +27,7 @@ from __future__ import annotations
 import base64
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +41,11 @@ HOT_WORDS = 100_000
 HOT_BYTES = 48
 HOT_COUNT = 4
 BUCKETS = 1 << 16
-SLOT = 6
-# Sorts behind every rank, which is two bytes.
-NO_RANK = b"\xff\xff\xff"
-# Around, inside and between the entries of a literal; pieces that hold one are never put into it.
-ENTRY, VALUE, CUT = "\ue000", "\ue001", "\ue002"
+# A number of a piece: rank of the pair that starts here, place in the piece, id of the token.
+RANK, PLACE = 1 << 47, 1 << 16
+# Sorts behind every rank, and is no id.
+NONE = 0xFFFF
+CUT = "\ue002"
 
 
 @dataclass(frozen=True)
@@ -62,29 +65,38 @@ class Vocabulary:
         return cls(ranks, pattern.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}"))
 
 
-def _places(a: Column, b: Column) -> tuple[Column, Column]:
-    """The two hashes that give an entry its places."""
-    return F.hash(a, b), F.hash(b, a)
-
-
-def _two_choices(hashes: list[tuple[int, int]]) -> list[int | None]:
-    """A table of a power of two places: each entry's number in one of its two places."""
-    size = 1 << (2 * len(hashes) + 1).bit_length()
-    while True:
-        slots: list[int | None] = [None] * size
-        for number in range(len(hashes)):
-            moving, place = number, hashes[number][0] & (size - 1)
-            for _ in range(500):
-                slots[place], moving = moving, slots[place]
-                if moving is None:
-                    break
-                first, second = (h & (size - 1) for h in hashes[moving])
-                place = second if place == first else first
-            else:
+def _rank_map(pairs: dict[tuple[int, int], int], single: list[int]) -> tuple[np.ndarray, int]:
+    """The rank map as one array, and where its part for bytes begins.
+
+    First come the offsets of all left tokens; then, for each byte and the next byte or the
+    end (256), the number a piece starts with; then the pairs, each with its rank and its left
+    token, which tells whether a place belongs to that token.
+    """
+    rows: dict[int, list[int]] = {}
+    for left, right in pairs:
+        rows.setdefault(left, []).append(right)
+    draw = np.random.default_rng(0)
+    offsets, size = np.zeros(NONE + 1, np.int64), NONE + 1
+    taken, numbers = np.zeros(size + NONE + 1, bool), {}
+    # Long rows first; where none of some offsets has all its places free, the array grows.
+    for left, right in sorted(rows.items(), key=lambda row: -len(row[1])):
+        columns = np.array(right)
+        while True:
+            tries = draw.integers(0, size, 256)
+            free = ~taken[tries[:, None] + columns].any(axis=1)
+            if free.any():
                 break
-        else:
-            return slots
-        size *= 2
+            size += size // 16
+            taken = np.concatenate([taken, np.zeros(size + NONE + 1 - len(taken), bool)])
+        offsets[left] = at = tries[free.argmax()]
+        taken[at + columns] = True
+        numbers.update({int(at) + r: pairs[left, r] * RANK + left for r in right})
+    byte_pairs = [pairs.get((a, b), NONE) * RANK + a for a in single for b in [*single, NONE]]
+    begin = len(offsets) + len(byte_pairs)
+    # No left token: any place, as every place names another one.
+    places = np.full(len(taken), NONE * RANK + NONE, np.int64)
+    places[list(numbers)] = list(numbers.values())
+    return np.concatenate([offsets + begin, byte_pairs, places]), len(offsets)
 
 
 def _literal(values: list[str]) -> Column:
@@ -98,78 +110,69 @@ class Codec:
     def __init__(self, spark: SparkSession, vocabulary: Vocabulary):
         self.spark, self.vocabulary = spark, vocabulary
         ranks = vocabulary.ranks
-        two = lambda n: n.to_bytes(2, "big")
         self.tokens = [""] * (1 + max(ranks.values()))
         for token, rank in ranks.items():
             self.tokens[rank] = token.hex()
-        # Every way to join two tokens to a token: both ids, and the rank of the two together.
-        pairs = [(two(left) + two(right), two(rank)) for token, rank in ranks.items() for k in range(1, len(token)) if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None]
-        frame = spark.createDataFrame(pa.table({"pair": pa.array([key for key, _ in pairs], pa.binary())})).coalesce(1)
-        found = frame.select(*[h.alias(n) for h, n in zip(_places(F.col("pair"), F.lit(0)), ("x", "y"), strict=True)]).toArrow()
-        slots = _two_choices(list(zip(found.column("x").to_pylist(), found.column("y").to_pylist(), strict=True)))
-        self.slots = len(slots)
-        # No pair is made of the highest number twice, so it marks an empty place.
-        self.pairs = self._constant(b"".join(b"\xff" * SLOT if k is None else pairs[k][0] + pairs[k][1] for k in slots))
-        self.bytes = b"".join(two(ranks.get(bytes([b]), 0)) for b in range(256))
-
-    def _constant(self, value: bytes) -> Column:
+        # Every way to join two tokens to a token.
+        pairs = {(left, right): rank for token, rank in ranks.items() for k in range(1, len(token)) if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None}
+        numbers, self.bytes = _rank_map(pairs, [ranks.get(bytes([b]), 0) for b in range(256)])
+        self.pairs = self._constant(pa.array([numbers.tolist()], pa.list_(pa.int64())))
+
+    def _constant(self, value: pa.Array) -> Column:
         """A value of some megabytes that the plan names but does not spell out: every plan
         that Spark describes, logs and keeps would hold a copy of a literal."""
-        row = self.spark.createDataFrame(pa.table({"value": pa.array([value], pa.binary())})).coalesce(1)
+        row = self.spark.createDataFrame(pa.table({"value": value})).coalesce(1)
         return materialize(row, "ranks").scalar()
 
     def pieces(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.vocabulary.pattern), F.lit(0))
 
-    def _rank(self, table: Column, a: Column, b: Column) -> Column:
-        """Rank of two adjacent tokens joined, which is also the id of both."""
-        pair = F.concat(a, b)
-        out = F.lit(NO_RANK)
-        for place in reversed(_places(pair, F.lit(0))):
-            slot = F.substr(table, place.bitwiseAND(self.slots - 1) * SLOT + 1, F.lit(SLOT))
-            out = F.when(F.substr(slot, F.lit(1), F.lit(4)) == pair, F.substr(slot, F.lit(5), F.lit(2))).otherwise(out)
-        return out
-
     def _fold(self, piece: Column, table: Column) -> Column:
         """Ids of one piece, joined by commas.
 
-        The state is the ids and, for every adjacent pair, the rank of both together. A step
-        replaces the best pair and looks up the two pairs beside it.
+        The state is an array with a number for each token. It begins and ends with a number
+        that joins nothing, so that every pair has both neighbours.
         """
-        part = lambda values, start, end: F.slice(values, start, F.greatest(end - start + 1, F.lit(0)))
-        none = F.array().cast("array<binary>")
+        edge = F.lit(NONE * RANK + NONE)
+        ident = lambda number: number.bitwiseAND(NONE)
 
-        def step(state: Column, _: Column) -> Column:
-            best = F.array_min(state["ranks"])
+        def paired(number: Column, left: Column, right: Column) -> Column:
+            """A token's number beside another next token; ``number`` is its place and id."""
+            # Read twice: to bind a value costs more than to look it up.
+            entry = F.get(table, (F.get(table, left.cast("int")) + right).cast("int"))
+            return number + F.when(ident(entry) == left, entry - left).otherwise(F.lit(NONE * RANK))
 
-            def joined(at: Column) -> Column:
-                ids, ranks, n = state["ids"], state["ranks"], F.size(state["ids"])
-                new = F.concat(part(ids, F.lit(1), at - 1), F.array(best), part(ids, at + 2, n))
-                left = F.when(at > 1, F.array(self._rank(table, F.get(ids, at - 2), best))).otherwise(none)
-                right = F.when(at + 2 <= n, F.array(self._rank(table, best, F.get(ids, at + 1)))).otherwise(none)
-                beside = F.concat(part(ranks, F.lit(1), at - 2), left, right, part(ranks, at + 2, n - 1))
-                return F.struct(new.alias("ids"), beside.alias("ranks"))
-
-            going = F.coalesce(best < F.lit(NO_RANK), F.lit(False))
-            return F.when(going, let(F.array_position(state["ranks"], best).cast("int"), joined)).otherwise(state)
+        def step(state: Column, _: Column) -> Column:
+            def joined(around: Column) -> Column:
+                before, best, after = F.get(around, F.lit(0)), F.get(around, F.lit(1)), F.get(around, F.lit(3))
+                new, at = F.shiftright(best, 47), F.array_position(state, best).cast("int")
+                two = F.array(
+                    paired(before.bitwiseAND(RANK - 1), ident(before), new),
+                    paired(best.bitwiseAND(RANK - PLACE) + new, new, ident(after)),
+                )
+                return F.concat(F.slice(state, F.lit(1), at - 2), two, F.slice(state, at + 2, F.size(state)))
+
+            best = F.array_min(state)
+            # The pair with the tokens before and after it.
+            around = F.slice(state, F.array_position(state, best).cast("int") - 1, F.lit(4))
+            return F.when(best < NONE * RANK, let(around, joined)).otherwise(state)
 
         def whole(codes: Column) -> Column:
-            ranks = F.transform(part(codes, F.lit(2), F.size(codes)), lambda b, i: self._rank(table, F.get(codes, i), b))
-            start = F.struct(codes.alias("ids"), ranks.alias("ranks"))
+            first = lambda c, i: F.get(table, c * 257 + F.coalesce(F.get(codes, i + 1), F.lit(256)) + self.bytes) + i.cast("long") * PLACE
+            start = F.concat(F.array(edge), F.transform(codes, first), F.array(edge))
             folded = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(codes) - 1, F.lit(1))), start, step)
-            return F.array_join(F.transform(folded["ids"], lambda i: F.conv(F.hex(i), 16, 10)), ",")
+            return F.array_join(F.transform(F.filter(folded, lambda e: e != edge), lambda e: ident(e).cast("string")), ",")
 
         # One character, U+0000 to U+00FF, for each UTF-8 byte.
         letters = F.split(F.decode(F.encode(piece, "UTF-8"), "ISO-8859-1"), "")
-        return let(F.transform(letters, lambda c: F.substr(F.lit(self.bytes), F.ascii(c) * 2 + 1, F.lit(2))), whole)
+        return let(F.transform(letters, F.ascii), whole)
 
     def known_pieces(self, docs: DataFrame, text: str = "text", most: int = HOT_WORDS) -> Column:
         """Known pieces with their ids (whole tokens, and frequent pieces) in buckets by the
         hash of the piece, as one constant that Spark puts together."""
         piece = F.explode(self.pieces(F.col(text))).alias("piece")
         counts = docs.select(piece).groupBy("piece").agg(F.count("*").alias("n")).filter(F.col("n") >= HOT_COUNT)
-        storable = (F.octet_length("piece") <= HOT_BYTES) & ~F.col("piece").rlike(f"[{ENTRY}{VALUE}{CUT}]")
-        counts = materialize(counts.filter(storable).withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "pieces")
+        counts = materialize(counts.filter(F.octet_length("piece") <= HOT_BYTES).withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "pieces")
         # Steps of the count, at most 1,024 of them, decide where the frequent pieces end.
         room, least = most, 1 << 30
         for row in counts.groupBy("step").agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
@@ -180,25 +183,23 @@ class Codec:
         hot = counts.filter(F.col("step") >= least).repartition(self.spark.sparkContext.defaultParallelism).withColumn("pairs", self.pairs)
         folded = let(F.col("pairs"), lambda table: self._fold(F.col("piece"), table))
         whole = [(token.decode("utf-8", "replace"), rank) for token, rank in self.vocabulary.ranks.items()]
-        whole = [(word, str(rank)) for word, rank in whole if word.encode() in self.vocabulary.ranks and not {ENTRY, VALUE, CUT} & set(word)]
+        whole = [(word, str(rank)) for word, rank in whole if word.encode() in self.vocabulary.ranks]
         tokens = self.spark.createDataFrame(pa.table({"piece": [w for w, _ in whole], "ids": [i for _, i in whole]}))
         # A piece that is a token is that token.
         known = hot.select("piece", folded.alias("ids"), F.lit(1).alias("source")).unionByName(tokens.withColumn("source", F.lit(0)))
         known = known.groupBy("piece").agg(F.min_by("ids", "source").alias("ids"))
-        entry = F.concat(F.lit(ENTRY), "piece", F.lit(VALUE), "ids")
-        filled = known.groupBy(F.hash("piece").bitwiseAND(BUCKETS - 1).alias("at")).agg(F.array_join(F.array_sort(F.collect_list(entry)), "").alias("entries"))
+        entries = F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("entries")
+        filled = known.groupBy(F.hash("piece").bitwiseAND(BUCKETS - 1).alias("at")).agg(entries)
         every = self.spark.range(BUCKETS).select(F.col("id").cast("int").alias("at")).join(filled, "at", "left")
-        bucket = F.struct("at", F.coalesce(F.concat("entries", F.lit(ENTRY)), F.lit("")).alias("entries"))
-        one = every.groupBy().agg(F.array_sort(F.collect_list(bucket)).alias("rows"))
-        return materialize(one.select(F.transform("rows", lambda r: r["entries"]).alias("buckets")), "known").scalar()
+        one = every.groupBy().agg(F.array_sort(F.collect_list(F.struct("at", "entries"))).alias("rows"))
+        return materialize(one.select(F.transform("rows", lambda r: F.map_from_entries(r["entries"])).alias("buckets")), "known").scalar()
 
     def encode(self, docs: DataFrame, text: str, name: str) -> DataFrame:
         """``docs`` with ``name``: the ids joined by commas, and as an array."""
 
         def one(piece: Column, buckets: Column, table: Column) -> Column:
             bucket = F.get(buckets, F.hash(piece).bitwiseAND(BUCKETS - 1))
-            after = F.split_part(bucket, F.concat(F.lit(ENTRY), piece, F.lit(VALUE)), F.lit(2))
-            return let(after, lambda a: F.when(a == "", self._fold(piece, table)).otherwise(F.split_part(a, F.lit(ENTRY), F.lit(1))))
+            return F.coalesce(bucket[piece], self._fold(piece, table))
 
         split = lambda j: F.struct(
             j.alias("joined"), F.when(j == "", F.array().cast("array<int>")).otherwise(F.split(j, ",", -1).cast("array<int>")).alias("ids")

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -182,6 +183,23 @@ def test_tokens_equal_the_library(spark, texts):
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
 
 
+def test_rank_map_answers_in_one_place():
+    ranks = byte_bpe.Vocabulary.load(public_tokenizers.path(byte_bpe.RANKS), public_tokenizers.PATTERN).ranks
+    pairs = {(ranks[t[:k]], ranks[t[k:]]): rank for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
+    single = [ranks[bytes([b])] for b in range(256)]
+    table, begin = byte_bpe._rank_map(pairs, single)
+    table = table.tolist()
+    some = random.Random(5)
+    other = [(some.randrange(len(ranks)), some.randrange(len(ranks))) for _ in range(50_000)]
+    for left, right in [*pairs, *other, (byte_bpe.NONE, 0), (0, byte_bpe.NONE), (len(ranks) - 1, byte_bpe.NONE)]:
+        entry = table[table[left] + right]
+        rank = (entry - left) // byte_bpe.RANK if entry % byte_bpe.PLACE == left else byte_bpe.NONE
+        assert rank == pairs.get((left, right), byte_bpe.NONE)
+    for a in (0, 32, 101, 255):
+        for b in range(256):
+            assert table[begin + 257 * a + b] == pairs.get((single[a], single[b]), byte_bpe.NONE) * byte_bpe.RANK + single[a]
+
+
 # Pseudonyms -------------------------------------------------------------------------
 
 def luhn(number):
