@@ -116,7 +116,7 @@ class Codec:
         # Every way to join two tokens to a token.
         pairs = {(left, right): rank for token, rank in ranks.items() for k in range(1, len(token)) if (left := ranks.get(token[:k])) is not None and (right := ranks.get(token[k:])) is not None}
         numbers, self.bytes = _rank_map(pairs, [ranks.get(bytes([b]), 0) for b in range(256)])
-        self.pairs = self._constant(pa.array([numbers.tolist()], pa.list_(pa.int64())))
+        self.pairs = self._constant(pa.ListArray.from_arrays(pa.array([0, len(numbers)], pa.int32()), pa.array(numbers)))
 
     def _constant(self, value: pa.Array) -> Column:
         """A value of some megabytes that the plan names but does not spell out: every plan
