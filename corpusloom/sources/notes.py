@@ -168,9 +168,11 @@ def check_identity(notes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def notes_from_texts(documents: DataFrame, uri_root: str = md.URI_ROOT) -> DataFrame:
     """A table (doc_id, text, lang, source) in note shape: one layer per source."""
-    layer = F.element_at(
+    by_number = F.element_at(
         F.array(*[F.lit(name) for name in md.LAYERS]), F.pmod(F.regexp_extract("source", r"(\d+)", 1).cast("int"), F.lit(3)) + 1
     )
+    # A text without a source has a layer, but neither path nor uri.
+    layer = F.coalesce(by_number, F.lit(md.LAYERS[-1]))
     relative = F.concat(F.col("source"), F.lit("/doc-"), F.col("doc_id"), F.lit(".md"))
     raw = F.col("text")
     return documents.select(
@@ -178,7 +180,7 @@ def notes_from_texts(documents: DataFrame, uri_root: str = md.URI_ROOT) -> DataF
         F.concat(F.lit("/corpus/"), layer).alias("root"),
         F.concat(F.lit("/corpus/"), layer, F.lit("/"), relative).alias("path"),
         relative.alias("relative_path"),
-        md.uri_for(layer, relative, uri_root).alias("uri"),
+        F.when(relative.isNotNull(), md.uri_for(layer, relative, uri_root)).alias("uri"),
         md.title_of(raw).alias("title"),
         F.regexp_replace(relative, r"\.md$", "").alias("slug"),
         md.body_of(raw).alias("body"),
