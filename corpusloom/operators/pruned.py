@@ -16,7 +16,8 @@ Every note that can be among the k best is a candidate, and scores are complete,
 equal those of scoring every match. What is gathered per query follows its candidates.
 
 A batch of up to ``PLAIN_ROWS`` matches, known from the document frequencies, is scored match
-by match, as bounds then cost more than they save; the answer is the same.
+by match, as bounds then cost more than they save; the answer is the same. With the postings
+at hand such a batch asks for no blocks.
 """
 
 from __future__ import annotations
@@ -147,12 +148,19 @@ def candidates(
 
 
 def pruned_scores(
-    terms_by_query: DataFrame, blocks: DataFrame, stats: DataFrame, frequencies: DataFrame, k: int,
-    live: Pairs = lambda posts: posts, allowed: Pairs = lambda pairs: pairs, gain: float = 1.0,
+    terms_by_query: DataFrame, blocks: DataFrame | Callable[[], DataFrame], stats: DataFrame, frequencies: DataFrame, k: int,
+    live: Pairs = lambda posts: posts, allowed: Pairs = lambda pairs: pairs, gain: float = 1.0, posts: DataFrame | None = None,
 ) -> DataFrame:
-    """(query_id, uri, score) of all notes that can be among the k best of their query."""
+    """(query_id, uri, score) of all notes that can be among the k best of their query.
+
+    ``blocks`` may be a function that gives them; valid ``posts``(uri, term, tf, doc_len) serve
+    batches that are scored match by match.
+    """
     asked = asked_terms(terms_by_query, stats, frequencies)
     matches = terms_by_query.join(frequencies, "term").agg(F.sum("df")).first()[0] or 0
+    if matches <= PLAIN_ROWS and posts is not None:
+        return score_matches(asked, None, live, allowed, stats, posts)
+    blocks = blocks if isinstance(blocks, DataFrame) else blocks()
     if matches <= PLAIN_ROWS:
         return score_matches(asked, blocks, live, allowed, stats)
     asked = materialize(asked, "asked")
@@ -160,12 +168,14 @@ def pruned_scores(
     return score_pairs(pairs, asked, blocks, live).where("score > 0")
 
 
-def score_matches(asked: DataFrame, blocks: DataFrame, live: Pairs, allowed: Pairs, stats: DataFrame | None = None) -> DataFrame:
+def score_matches(
+    asked: DataFrame, blocks: DataFrame | None, live: Pairs, allowed: Pairs, stats: DataFrame | None = None, posts: DataFrame | None = None
+) -> DataFrame:
     """Full scores of every match. A posting weighs the same for every query, so postings
     are weighed first and pass one exchange by note; they meet the queries behind it, where
     a task holds about ``TASK_PAIRS`` sums, if ``stats`` tell the number of notes, and nothing
-    else is shuffled. Up to ``SENT_TERMS`` query terms are sent to the blocks, which else would
-    be shuffled with their postings."""
+    else is shuffled. Up to ``SENT_TERMS`` query terms are sent to the postings, in ``posts`` or
+    in their blocks, which else would be shuffled."""
     asked = materialize(asked, "asked")
     n_queries, n_asked = asked.agg(F.count_distinct("query_id"), F.count(F.lit(1))).first()
     sent = F.broadcast if n_asked <= SENT_TERMS else lambda rows: rows
@@ -173,7 +183,9 @@ def score_matches(asked: DataFrame, blocks: DataFrame, live: Pairs, allowed: Pai
     n_notes = stats.first()["n_notes"] if stats else 0
     tasks = max(usual, -(-n_queries * n_notes // TASK_PAIRS))
     terms = asked.groupBy("term").agg(F.first("idf").alias("idf"), F.first("mean").alias("mean"))
-    found = _opened(blocks.join(sent(terms.select("term")), "term", "left_semi"), live).join(sent(terms), "term")
+    if posts is None:
+        posts = _opened(blocks.join(sent(terms.select("term")), "term", "left_semi"), live)
+    found = posts.join(sent(terms), "term")
     weight = F.col("idf") * _weight(_relative(F.col("tf"), F.col("doc_len"), F.col("mean")))
     weighed = found.select("uri", "term", weight.alias("weight")).repartition(tasks, "uri")
     scores = weighed.join(sent(asked.select("query_id", "term")), "term").groupBy("query_id", "uri").agg(F.sum("weight").alias("score"))

@@ -21,12 +21,13 @@ FETCH_FACTOR, MIN_FETCH = 4, 16
 
 @dataclass(frozen=True)
 class Index:
-    """Stored search tables of one catalog snapshot (see ``plans.catalog``)."""
+    """Stored search tables of one catalog snapshot (see ``plans.catalog``); ``blocks`` stores
+    the posting blocks when they are first asked for."""
 
     postings: DataFrame
     stats: DataFrame
     frequencies: DataFrame | None = None
-    blocks: DataFrame | None = None
+    blocks: Callable[[], DataFrame] | None = None
     valid: Callable[[DataFrame], DataFrame] = lambda posts: posts
 
 
@@ -94,7 +95,8 @@ def lexical_route(asked: DataFrame, notes: DataFrame, fetch: int, index: Index |
     elif index.blocks is not None:
         pool = notes.select("uri")
         live = lambda posts: index.valid(posts).join(pool, "uri", "left_semi")
-        kept = pruned.pruned_scores(terms, index.blocks, index.stats, index.frequencies, fetch, live, only, ranking.TOPIC_BOOST)
+        posts = index.postings.join(pool, "uri", "left_semi")
+        kept = pruned.pruned_scores(terms, index.blocks, index.stats, index.frequencies, fetch, live, only, ranking.TOPIC_BOOST, posts)
     else:
         posts = index.postings.join(notes.select("uri"), "uri", "left_semi")
         kept = only(lexical.bm25(terms, posts, index.stats, index.frequencies))
